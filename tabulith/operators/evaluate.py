@@ -21,9 +21,12 @@ NOISE = -1
 
 # --- classification --------------------------------------------------------
 
-def confusion_counts(pred: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
+def confusion_counts(
+    pred: DataFrame, actual: str = "label", predicted: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
     """Observed ``(actual, predicted, n)`` cells; everything else builds on it."""
     return pred.groupBy(
+        *by,
         F.col(actual).cast("string").alias("actual"),
         F.col(predicted).cast("string").alias("predicted"),
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -47,10 +50,11 @@ def confusion_matrix(pred: DataFrame, actual: str = "label", predicted: str = "p
     )
 
 
-def class_scores(cells: DataFrame) -> DataFrame:
+def class_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support, precision, recall and F1 per label from confusion cells."""
     per = (
         cells.select(
+            *by,
             F.explode(
                 F.array(
                     F.struct(F.col("actual").alias("label"), F.col("n").alias("support"),
@@ -62,12 +66,12 @@ def class_scores(cells: DataFrame) -> DataFrame:
                 )
             ).alias("r")
         )
-        .select("r.*").groupBy("label")
+        .select(*by, "r.*").groupBy(*by, "label")
         .agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return per.select(
-        "label", "support",
+        *by, "label", "support",
         ratio(F.col("hit"), F.col("called")).alias("precision"),
         ratio(F.col("hit"), F.col("support")).alias("recall"),
         ratio(2 * F.col("hit"), F.col("called") + F.col("support")).alias("f1"),
@@ -75,11 +79,13 @@ def class_scores(cells: DataFrame) -> DataFrame:
     )
 
 
-def classifier_metrics(pred: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
-    """Accuracy and support-weighted precision, recall, F1 in one row."""
-    scores = class_scores(confusion_counts(pred, actual, predicted))
+def classifier_metrics(
+    pred: DataFrame, actual: str = "label", predicted: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """Accuracy and support-weighted precision, recall, F1; one row (per group)."""
+    scores = class_scores(confusion_counts(pred, actual, predicted, by), by)
     weighted = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support"))
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         (F.sum("hit") / F.sum("support")).alias("accuracy"),
         weighted("precision").alias("precision"),
         weighted("recall").alias("recall"),
@@ -89,7 +95,7 @@ def classifier_metrics(pred: DataFrame, actual: str = "label", predicted: str =
 
 def roc_auc(
     pred: DataFrame, classes: Sequence[str], actual: str = "label",
-    probability: str = "probability",
+    probability: str = "probability", by: Sequence[str] = (),
 ) -> DataFrame:
     """Area under the ROC curve: binary, or one-vs-rest weighted by support.
 
@@ -101,6 +107,7 @@ def roc_auc(
         raise ValueError("At least two classes are required.")
     positions = [1] if len(classes) == 2 else list(range(len(classes)))
     long = pred.select(
+        *by,
         F.explode(
             F.array(
                 *[
@@ -111,23 +118,23 @@ def roc_auc(
                 ]
             )
         ).alias("p")
-    ).select("p.*")
-    ties = long.groupBy("class", "score").agg(
+    ).select(*by, "p.*")
+    ties = long.groupBy(*by, "class", "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("hit").alias("positives")
     )
-    ranked = running_sum(ties, ["class"], "score", {"n": "upto"})
+    ranked = running_sum(ties, [*by, "class"], "score", {"n": "upto"})
     # mean rank of a tie group of n rows ending at ``upto``
     mean_rank = F.col("upto") - (F.col("n") - 1) / 2.0
-    per_class = ranked.groupBy("class").agg(
+    per_class = ranked.groupBy(*by, "class").agg(
         F.sum(mean_rank * F.col("positives")).alias("rank_sum"),
         F.sum("positives").cast("double").alias("p"),
         F.sum(F.col("n") - F.col("positives")).cast("double").alias("q"),
     ).select(
-        "class", "p",
+        *by, "class", "p",
         F.when((F.col("p") > 0) & (F.col("q") > 0),
                (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"),
     )
-    return per_class.agg((F.sum(F.col("auc") * F.col("p")) / F.sum("p")).alias("roc_auc"))
+    return per_class.groupBy(*by).agg((F.sum(F.col("auc") * F.col("p")) / F.sum("p")).alias("roc_auc"))
 
 
 # --- regression ------------------------------------------------------------
