@@ -106,7 +106,7 @@ def text_of(field: T.StructField) -> Column:
     c = F.col(_q(field.name))
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         return F.round(c * 1_000_000).cast("bigint").cast("string")
-    if isinstance(field.dataType, T.TimestampType):
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return c.cast("string")
 
