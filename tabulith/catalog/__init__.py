@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from . import ingest, measuring, neighbours, preparing  # noqa: F401
+    from . import ingest, measuring, modelling, neighbours, preparing, running  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,7 +22,7 @@ from ..functions.scalar import argmax_index, number, softmax, sum_text
 from ..session import collect_bounded
 
 MAX_LABELS = 1000
-INLINE_TERMS = 4000      # longer score expressions run as a vectorised function
+INLINE_TERMS = 512       # longer score expressions run as a vectorised function
 
 
 @dataclass
