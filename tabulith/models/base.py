@@ -144,6 +144,23 @@ def vector_scores(function, n_out: int):
     return apply
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Persist rows that many passes will read, over at least one task per core.
+
+    A small input arrives in one or two pieces; it is dealt out once.  An input
+    with more pieces than cores is left where it is.
+    """
+    held = df.persist()
+    held.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if held.rdd.getNumPartitions() >= cores:
+        return held
+    dealt = held.repartition(cores).persist()
+    dealt.count()
+    held.unpersist()
+    return dealt
+
+
 def summed_systems(df: DataFrame, partial, keys: Sequence[Any], size: int) -> dict[Any, tuple]:
     """Loss, gradient and Hessian per key, added up over all tasks.
 
@@ -181,8 +198,8 @@ def newton(systems, keys: Sequence[Any], size: int, penalty, move, steps: int, t
     """Damped Newton steps on many small problems that share every pass.
 
     ``systems(trial)`` evaluates the open problems in one job; ``penalty(w)`` is
-    the part of the objective outside the data; ``move(w, g, h)`` proposes a
-    step, which is halved until the objective falls.
+    the part of the objective outside the data; ``move`` proposes the steps of all
+    problems at once, and a step is halved until its objective falls.
     """
     w = {k: np.zeros(size) for k in keys}
     step = {k: np.zeros(size) for k in keys}
@@ -193,10 +210,9 @@ def newton(systems, keys: Sequence[Any], size: int, penalty, move, steps: int, t
             break
         trial = {k: w[k] + step[k] for k in active}
         stats = systems(trial)
-        still = []
+        still, accepted = [], []
         for k in active:
-            loss, g, h = stats[k]
-            value = loss + penalty(trial[k])
+            value = stats[k][0] + penalty(trial[k])
             if value > best[k][0] * (1 + 1e-12):
                 step[k] = step[k] / 2
                 if np.abs(step[k]).max() >= 1e-7:
@@ -204,8 +220,14 @@ def newton(systems, keys: Sequence[Any], size: int, penalty, move, steps: int, t
                 continue
             if best[k][0] - value > tolerance * max(1.0, abs(value)):
                 still.append(k)
+                accepted.append(k)
             best[k] = (value, trial[k])
             w[k] = trial[k]
-            step[k] = move(w[k], g, h)
+        if accepted:
+            moves = move(
+                np.array([w[k] for k in accepted]), np.array([stats[k][1] for k in accepted]),
+                np.array([stats[k][2] for k in accepted]),
+            )
+            step.update(zip(accepted, moves))
         active = still
     return {k: v for k, (_, v) in best.items()}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from .base import Fitted, Model, batch_matrix, label_index, labels_of, vector_scores, with_scores
+from .base import Fitted, Model, batch_matrix, label_index, labels_of, spread, vector_scores, with_scores
 
 MIN_VARIANCE = 1e-3
 TOLERANCE = 1e-2
@@ -98,7 +98,7 @@ class HiddenMarkov(Model):
             raise ValueError(f"{d} features are not {self.lookback} equal steps.")
         steps, size, k = self.lookback, d // self.lookback, self.n_components
         classes = labels_of(train)
-        slim = train.select(label_index(classes).alias("c"), "features").persist()
+        slim = spread(train.select(label_index(classes).alias("c"), "features"))
         try:
             counts = {r["c"]: r["count"] for r in slim.groupBy("c").count().collect()}
             for i, c in enumerate(classes):

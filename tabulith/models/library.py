@@ -20,7 +20,7 @@ from ..functions.scalar import argmax_index, number, sum_text
 from ..operators.prepare import SEED, kfold, poly_expressions
 from .base import (
     INLINE_TERMS, Fitted, Model, array_text, batch_matrix, label_at, label_index, labels_of,
-    linear_text, newton, summed_systems, vector_scores, width,
+    linear_text, newton, spread, summed_systems, vector_scores, width,
 )
 from .moments import class_covariances
 
@@ -253,7 +253,7 @@ class SVM(_Classifier):
         expand = self._expander(train, d)
         base = train.withColumn("__h", F.xxhash64("features"))
         wide, column = expand(kfold(base, "__h", "label", self.folds).drop("__h"))
-        slim = wide.select(label_index(classes).alias("y"), "fold", F.col(column).alias("features")).persist()
+        slim = spread(wide.select(label_index(classes).alias("y"), "fold", F.col(column).alias("features")))
         try:
             size = width(slim) + 1
             targets = [1] if len(classes) == 2 else list(range(len(classes)))
@@ -295,10 +295,12 @@ def _squared_hinge(slim: DataFrame, trial, size: int, c: float):
 
 
 def _ridge_step(w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-8                     # the intercept is not penalised
-    g = g + np.append(w[:-1], 0.0)
-    return -np.linalg.solve(h + ridge, g)
+    """Newton moves of all problems; the last coordinate is the free intercept."""
+    ridge = np.eye(w.shape[1])
+    ridge[-1, -1] = 1e-8
+    g = g.copy()
+    g[:, :-1] += w[:, :-1]
+    return -np.linalg.solve(h + ridge, g[:, :, None])[:, :, 0]
 
 
 def _platt(slim: DataFrame, planes, targets, size: int) -> dict[int, tuple[float, float]]:
@@ -321,7 +323,7 @@ def _platt(slim: DataFrame, planes, targets, size: int) -> dict[int, tuple[float
         return summed_systems(slim, partial, keys, 2)
 
     found = newton(systems, list(targets), 2, lambda w: 0.0,
-                   lambda w, g, h: -np.linalg.solve(h + 1e-9 * np.eye(2), g), 25)
+                   lambda w, g, h: -np.linalg.solve(h + 1e-9 * np.eye(2), g[:, :, None])[:, :, 0], 25)
     return {c: (float(w[0]), float(w[1])) for c, w in found.items()}
 
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batch_matrix, labels_of, newton, summed_systems
+from ..session import fan_out
+from .base import batch_matrix, labels_of, newton, spread, summed_systems
 from .trees import TIE, Node, TreeClassifier, _Tree, global_edges, level_counts, route, score_features, threshold_rule
 
 STEPS = 1024             # candidate thresholds along a projection
@@ -25,7 +26,7 @@ class Oblique(_Tree):
     key, name, closed_left = "oblique_tree", "Sparse Oblique Decision Tree", True
 
     def __init__(self, max_depth: int = 5, min_samples_split: int = 20, min_samples_leaf: int = 5,
-                 criterion: str = "gini", oblique_C: float = 1.0, newton_steps: int = 12,
+                 criterion: str = "gini", oblique_C: float = 1.0, newton_steps: int = 10,
                  min_impurity_decrease: float = 0.0, max_candidates: int = 256) -> None:
         if criterion not in ("gini", "entropy"):
             raise ValueError("criterion must be 'gini' or 'entropy'.")
@@ -39,11 +40,11 @@ class Oblique(_Tree):
     def _fit(self, train: DataFrame, d: int) -> TreeClassifier:
         classes = labels_of(train)
         k = len(classes)
-        rows = self._rows(train, classes).persist()
+        rows = spread(self._rows(train, classes))
         rule = threshold_rule(self.criterion, self.min_samples_leaf)
         try:
             nodes = [self._root(rows, k)]
-            edges = global_edges(rows, d, self.max_candidates, nodes[0].n)
+            edges = global_edges(rows, d, self.max_candidates, nodes[0].n, exact=False)
             level = [0]
             while level:
                 open_ids = [
@@ -97,7 +98,8 @@ class Oblique(_Tree):
         def systems(trial):
             return _curvature(rows, nodes, trial, d, self.closed_left, c)
 
-        found = newton(systems, problems, d + 1, lambda w: np.abs(w[:-1]).sum(), _l1_step, self.newton_steps)
+        found = newton(systems, problems, d + 1, lambda w: np.abs(w[:-1]).sum(), _l1_step,
+                       self.newton_steps, 1e-4)
         return {p: v for p, v in found.items() if np.abs(v[:-1]).max() > 0}
 
     def _best_planes(self, rows, nodes, planes, k: int, rule) -> dict:
@@ -123,24 +125,29 @@ class Oblique(_Tree):
 
 
 def _l1_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, sweeps: int = 200) -> np.ndarray:
-    """Minimise the quadratic model plus |w| by coordinate descent; returns the move."""
-    d = len(w) - 1
+    """Minimise each quadratic model plus |w| by coordinate descent; returns the moves.
+
+    All problems (first axis) are swept together; the last coordinate is the
+    unpenalised intercept.
+    """
+    d = w.shape[1] - 1
     move = np.zeros_like(w)
     slope = g.copy()
+    curve = np.einsum("pjj->pj", h) + 1e-10
     for _ in range(sweeps):
         largest = 0.0
         for j in range(d + 1):
-            curve = h[j, j] + 1e-10
-            now = w[j] + move[j]
-            target = now - slope[j] / curve
+            now = w[:, j] + move[:, j]
+            target = now - slope[:, j] / curve[:, j]
             if j < d:
-                target = np.sign(target) * max(abs(target) - 1.0 / curve, 0.0)
+                target = np.sign(target) * np.maximum(np.abs(target) - 1.0 / curve[:, j], 0.0)
             change = target - now
-            if change:
-                move[j] += change
-                slope += h[:, j] * change
-                largest = max(largest, abs(change))
-        if largest < 1e-9:
+            size = float(np.abs(change).max())
+            if size:
+                move[:, j] += change
+                slope += h[:, :, j] * change[:, None]
+                largest = max(largest, size)
+        if largest < 1e-7:
             break
     return move
 
@@ -243,6 +250,6 @@ def _projection_counts(rows, nodes, planes, edges, n_classes, closed_left):
 
     schema = "node int, feature int, bin int, " + ", ".join(f"c{c} bigint" for c in range(n_classes))
     return (
-        rows.mapInArrow(partial, schema).repartition("node", "feature").groupBy("node", "feature", "bin")
+        fan_out(rows.mapInArrow(partial, schema), "node", "feature").groupBy("node", "feature", "bin")
         .agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(n_classes)])
     )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import collect_bounded
+from ..session import fan_out
 
 BLOCK_ROWS = 4096
 PIVOTS = 64
@@ -84,7 +84,9 @@ def block_pairs(
     # fresh column identities, so a table can be paired with itself
     b = b.select(*[F.col(c).alias(c) for c in b.columns])
     keys = [*cell, "__lb", "__rb"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernel, schema)
+    return (
+        fan_out(a, *keys).groupBy(*keys).cogroup(fan_out(b, *keys).groupBy(*keys)).applyInPandas(kernel, schema)
+    )
 
 
 # --- nearest neighbours ----------------------------------------------------

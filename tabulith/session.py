@@ -49,3 +49,15 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
 def single_row(df: DataFrame) -> dict[str, Any]:
     """The one row of a full aggregate as a dict."""
     return df.first().asDict()
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread groups that need real work over all cores.
+
+    Such tables are small in bytes but heavy per group; with a fixed number of
+    partitions they are not merged into one task by size, and a grouping on the
+    same keys needs no further shuffle.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
