@@ -114,12 +114,12 @@ def check_features_query(spark, sf):
 
 
 @query("audit_predictions", """
-WITH truth AS (SELECT doc_id, quality FROM labels),
+WITH truth AS (SELECT doc_id, quality, toxic FROM labels),
 pred AS (
   SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 5 ELSE quality END AS prediction,
     CASE WHEN doc_id % 23 = 0 THEN -0.1 ELSE 0.25 END AS a, CASE WHEN doc_id % 19 = 0 THEN 0.9 WHEN doc_id % 23 = 0 THEN 1.1 ELSE 0.75 END AS b
-  FROM truth WHERE doc_id % 7 <> 0),
-twice AS (SELECT * FROM pred UNION ALL SELECT * FROM pred WHERE doc_id % 11 = 0),
+  FROM truth WHERE toxic = 0),
+twice AS (SELECT * FROM pred UNION ALL SELECT * FROM pred WHERE prediction = 0),
 per AS (SELECT doc_id, count(*) AS n FROM twice GROUP BY 1)
 SELECT count(*) FILTER (WHERE per.n IS NULL) AS rows_without_prediction, count(*) FILTER (WHERE t.doc_id IS NULL) AS unexpected_rows,
   count(*) FILTER (WHERE per.n > 1) AS rows_predicted_twice,
@@ -129,16 +129,17 @@ SELECT count(*) FILTER (WHERE per.n IS NULL) AS rows_without_prediction, count(*
   (SELECT count(*) FROM twice WHERE doc_id % 31 = 0) AS fits_disagree
 FROM truth t FULL JOIN per ON t.doc_id = per.doc_id""")
 def audit(spark, sf):
-    truth = S.read_table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    labels = S.read_table(spark, sf, "labels").withColumnsRenamed({"doc_id": "row_id", "quality": "label"})
+    truth = labels.select("row_id", "label")
     k = F.col("row_id")
-    pred = truth.where(k % 7 != 0).select(
+    pred = labels.where("toxic = 0").select(
         "row_id", F.when(k % 29 == 0, F.lit(5)).otherwise(F.col("label")).alias("prediction"),
         F.array(
             F.when(k % 23 == 0, F.lit(-0.1)).otherwise(F.lit(0.25)),
             F.when(k % 19 == 0, F.lit(0.9)).when(k % 23 == 0, F.lit(1.1)).otherwise(F.lit(0.75)),
         ).alias("probability"),
     )
-    twice = pred.unionByName(pred.where(k % 11 == 0))
+    twice = pred.unionByName(pred.where("prediction = 0"))
     second = pred.withColumn("prediction", F.when(k % 31 == 0, F.lit(-7)).otherwise(F.col("prediction")))
     return audit_predictions(twice, truth, truth, second)
 

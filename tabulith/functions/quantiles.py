@@ -44,8 +44,7 @@ def quantiles(
 
 
 def _bracketed(df, columns, probs, direct_rows):
-    accuracy = max(ACCURACY, 100)
-    slack = 2.0 / accuracy
+    slack = 2.0 / ACCURACY
     wanted: list[float] = []
     for p in probs:
         wanted += [max(0.0, p - slack), min(1.0, p + slack)]
@@ -53,113 +52,98 @@ def _bracketed(df, columns, probs, direct_rows):
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggregates += [
-            F.count(x).alias(f"n{i}"),
-            F.min(x).alias(f"lo{i}"),
-            F.max(x).alias(f"hi{i}"),
-            F.percentile_approx(x, wanted, accuracy).alias(f"a{i}"),
+            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+            F.percentile_approx(x, wanted, ACCURACY).alias(f"a{i}"),
         ]
     first = df.agg(*aggregates).first()
-    result: dict[str, list[float] | None] = {}
-    jobs: list[tuple[str, float, float, float, int]] = []
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        if not n:
-            result[c] = None
-            continue
-        result[c] = [math.nan] * len(probs)
+    live = [(i, c) for i, c in enumerate(columns) if first[f"n{i}"]]
+    # one bracket per wanted order statistic: (column, rank) -> [lo, hi]
+    brackets: dict[tuple[str, int], list[float]] = {}
+    for i, c in live:
         for j, p in enumerate(probs):
-            jobs.append((c, p, first[f"a{i}"][2 * j], first[f"a{i}"][2 * j + 1], n))
-    slot = {}
-    for c, p, _, _, _ in jobs:
-        slot.setdefault(c, [])
-        slot[c].append(p)
-    below = df.agg(
-        *[
-            F.count_if(F.col(c).cast("double") < F.lit(lo)).alias(f"b{k}")
-            for k, (c, _, lo, _, _) in enumerate(jobs)
-        ],
-        *[
-            F.count_if(F.col(c).cast("double").between(lo, hi)).alias(f"i{k}")
-            for k, (c, _, lo, hi, _) in enumerate(jobs)
-        ],
-    ).first()
-    for k, (c, p, lo, hi, n) in enumerate(jobs):
-        position = p * (n - 1)
-        low_rank, high_rank = math.floor(position), math.ceil(position)
-        under, inside = below[f"b{k}"], below[f"i{k}"]
-        if low_rank < under or high_rank >= under + inside:
-            lo, hi, under, inside = _widen(df, c, low_rank, high_rank)
-        if lo == hi:
-            value = lo
-        else:
-            value = _select(df, c, lo, hi, low_rank - under, high_rank - under,
-                            position - low_rank, inside, direct_rows)
-        index = [m for m, q in enumerate(probs) if q == p and math.isnan(result[c][m])][0]
-        result[c][index] = value
+            position = p * (first[f"n{i}"] - 1)
+            for rank in {math.floor(position), math.ceil(position)}:
+                brackets[(c, rank)] = [first[f"a{i}"][2 * j], first[f"a{i}"][2 * j + 1]]
+    keys = list(brackets)
+    counted = df.agg(
+        *[F.count_if(F.col(c).cast("double") < F.lit(brackets[(c, r)][0])).alias(f"b{k}")
+          for k, (c, r) in enumerate(keys)],
+        *[F.count_if(F.col(c).cast("double").between(*brackets[(c, r)])).alias(f"i{k}")
+          for k, (c, r) in enumerate(keys)],
+    ).first() if keys else None
+    state = {}
+    for k, (c, r) in enumerate(keys):
+        lo, hi = brackets[(c, r)]
+        below, inside = counted[f"b{k}"], counted[f"i{k}"]
+        if not below <= r < below + inside:
+            i = columns.index(c)                       # the estimate missed: whole range
+            lo, hi, below, inside = first[f"lo{i}"], first[f"hi{i}"], 0, first[f"n{i}"]
+        state[(c, r)] = (lo, hi, r - below, inside)
+    values = _narrow(df, state, direct_rows)
+    result: dict[str, list[float] | None] = {c: None for c in columns}
+    for i, c in live:
+        result[c] = []
+        for p in probs:
+            position = p * (first[f"n{i}"] - 1)
+            low, high = math.floor(position), math.ceil(position)
+            a, b = values[(c, low)], values[(c, high)]
+            result[c].append(a + (position - low) * (b - a))
     return result
 
 
-def _widen(df, column, low_rank, high_rank):
-    x = F.col(column).cast("double")
-    row = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
-    return row["lo"], row["hi"], 0, row["n"]
+def _inside(df: DataFrame, brackets: dict[int, tuple[str, float, float]]) -> DataFrame:
+    """``(k, x)`` for every value inside bracket ``k``; everything else is dropped early."""
+    items = [
+        F.when(F.col(c).cast("double").between(lo, hi), F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("x")))
+        for k, (c, lo, hi) in brackets.items()
+    ]
+    return df.select(F.explode(F.filter(F.array(*items), lambda v: v.isNotNull())).alias("v")).select("v.k", "v.x")
 
 
-def _select(df, column, lo, hi, low_rank, high_rank, fraction, inside, direct_rows):
-    """Order statistics inside ``[lo, hi]``, narrowing until they fit one task.
+def _narrow(df, state, direct_rows, bins: int = 1024):
+    """Order statistics of all brackets together, a round of bins at a time.
 
-    Each pass counts equal-width bins; copies of one value end in a zero-width
-    bin, so a heavy value cannot keep the bracket large.
+    Copies of one value end in a bracket of width zero, so a heavy value cannot
+    keep a bracket large.  At most ``direct_rows`` values reach the last sort.
     """
-    x = F.col(column).cast("double")
-    subset = df.where(x.between(lo, hi)).select(x.alias("__x"))
-    found = {}
-    for rank in {low_rank, high_rank}:
-        found[rank] = _order_statistic(subset, lo, hi, rank, inside, direct_rows)
-    return found[low_rank] + fraction * (found[high_rank] - found[low_rank])
-
-
-def _order_statistic(subset, lo, hi, rank, inside, direct_rows, bins: int = 4096):
-    while inside > direct_rows and lo < hi:
-        width = (hi - lo) / bins
-        if width <= 0 or lo + width == lo:
+    found: dict[tuple[str, int], float] = {}
+    while True:
+        for key, (lo, hi, _, _) in list(state.items()):
+            if lo == hi:
+                found[key] = lo
+                del state[key]
+        wide = {key: s for key, s in state.items() if s[3] > direct_rows and s[0] + (s[1] - s[0]) / bins > s[0]}
+        if not wide:
             break
-        code = F.least(F.floor((F.col("__x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        keys = list(wide)
+        long = _inside(df, {k: (key[0], wide[key][0], wide[key][1]) for k, key in enumerate(keys)})
+        lows = F.array(*[F.lit(wide[key][0]) for key in keys])
+        widths = F.array(*[F.lit((wide[key][1] - wide[key][0]) / bins) for key in keys])
+        code = F.least(F.floor((F.col("x") - lows[F.col("k")]) / widths[F.col("k")]), F.lit(bins - 1))
         rows = (
-            subset.where(F.col("__x").between(lo, hi))
-            .groupBy(code.alias("__code"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-            .orderBy("__code")
-            .collect()
+            long.groupBy("k", code.alias("code"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .orderBy("k", "code").collect()            # brackets * bins rows
         )
-        for row in rows:
-            if rank < row["n"]:
-                lo, hi, inside = row["lo"], row["hi"], row["n"]
-                break
-            rank -= row["n"]
-    if lo == hi:
-        return lo
-    counted = (
-        subset.where(F.col("__x").between(lo, hi))
-        .groupBy("__x").agg(F.count(F.lit(1)).alias("n"))
-    )
-    # at most ``direct_rows`` values are left here, so one sorted task is enough
-    upto = F.sum("n").over(W.orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
-    return (
-        counted.withColumn("upto", upto).where(F.col("upto") > rank)
-        .agg(F.min("__x")).first()[0]
-    )
-
-
-def grouped_quantiles(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact quantile arrays per group, one row per group.
-
-    Values are counted on the map side, so copies cost nothing; callers keep
-    groups with very many distinct values out (see ``quantiles``).
-    """
-    literal = F.array(*[F.lit(float(p)) for p in probabilities])
-    return df.groupBy(*by).agg(
-        *[F.percentile(F.col(c).cast("double"), literal).alias(c) for c in columns]
-    )
+        rest = {k: wide[key][2] for k, key in enumerate(keys)}
+        settled: set[int] = set()
+        for r in rows:
+            k = r["k"]
+            if k in settled:
+                continue
+            if rest[k] < r["n"]:
+                state[keys[k]] = (r["lo"], r["hi"], rest[k], r["n"])
+                settled.add(k)
+            else:
+                rest[k] -= r["n"]
+    if state:
+        keys = list(state)
+        long = _inside(df, {k: (key[0], state[key][0], state[key][1]) for k, key in enumerate(keys)})
+        upto = F.sum("n").over(W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+        ranks = F.array(*[F.lit(state[key][2]) for key in keys])
+        picked = (
+            long.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+            .where(F.col("upto") > ranks[F.col("k")]).groupBy("k").agg(F.min("x").alias("x"))
+        )
+        found.update({keys[r["k"]]: r["x"] for r in picked.collect()})
+    return found

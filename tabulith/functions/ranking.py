@@ -54,37 +54,30 @@ def with_hash_rank(
 
 
 def with_range_bucket(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Column,
-    bucket_rows: int = BUCKET_ROWS,
-    max_buckets: int = 4096,
+    df: DataFrame, by: Sequence[str], order: Column, bucket_rows: int = BUCKET_ROWS, pieces: int = 256
 ) -> DataFrame:
     """Add ``__bucket``: order-monotone pieces of each group, one piece if small.
 
-    Only groups above ``bucket_rows`` get boundaries, so the boundary table has
-    at most ``rows / bucket_rows`` groups; the join strategy is left to AQE.
+    Only groups above ``bucket_rows`` rows get boundaries, so the boundary table
+    has at most ``rows / bucket_rows`` groups; the join strategy is left to AQE.
     """
     by = list(by)
     keys = by or ["__all"]
     tagged = df.withColumn("__pos", order.cast("double"))
     if not by:
         tagged = tagged.withColumn("__all", F.lit(0))
-    probabilities = [i / 64.0 for i in range(1, 64)] if max_buckets >= 64 else [0.5]
     hot = (
-        tagged.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx("__pos", probabilities, 1000).alias("__edges"),
-        )
-        .where(F.col("__n") > bucket_rows)
-        .select(*keys, F.array_distinct("__edges").alias("__edges"))
+        tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > bucket_rows).select(*keys)
+    )
+    edges = tagged.join(hot, keys, "left_semi").groupBy(*keys).agg(
+        F.array_distinct(
+            F.percentile_approx("__pos", [i / pieces for i in range(1, pieces)], 10 * pieces)
+        ).alias("__edges")
     )
-    bucket = F.coalesce(
-        F.expr("size(filter(__edges, e -> e < __pos))"), F.lit(0)
-    ).cast("int")
-    joined = tagged.join(hot, keys, "left").withColumn(
-        "__bucket", F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(bucket)
+    bucket = F.expr("size(filter(__edges, e -> e < __pos))")
+    joined = tagged.join(edges, keys, "left").withColumn(
+        "__bucket", F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(bucket).cast("int")
     )
     drop = ["__edges", "__pos"] + ([] if by else ["__all"])
     return joined.drop(*drop)

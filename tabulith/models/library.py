@@ -262,7 +262,7 @@ class SVM(_Classifier):
                 lambda trial: _squared_hinge(slim, trial, size, self.C), problems, size,
                 lambda w: 0.5 * float(w[:-1] @ w[:-1]), _ridge_step, self.max_iter,
             )
-            lines = _platt(slim, found, targets, size)
+            lines = _platt(slim, found, targets, self.folds)
         finally:
             slim.unpersist()
         planes = [(found[(-1, c)][:-1], float(found[(-1, c)][-1])) for c in targets]
@@ -303,17 +303,17 @@ def _ridge_step(w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return -np.linalg.solve(h + ridge, g[:, :, None])[:, :, 0]
 
 
-def _platt(slim: DataFrame, planes, targets, size: int) -> dict[int, tuple[float, float]]:
+def _platt(slim: DataFrame, planes, targets, folds: int) -> dict[int, tuple[float, float]]:
     """Calibration line per class on the margins of rows each plane never saw."""
 
     def systems(trial):
         keys = sorted(trial)
+        by_fold = {t: np.array([planes[(f, t)] for f in range(folds)]) for t in keys}
 
         def partial(batch):
             x, y, fold = _batch_columns(batch)
             for k, target in enumerate(keys):
-                held = np.stack([planes[(int(f), target)] for f in fold])
-                m = np.einsum("ij,ij->i", x, held)
+                m = np.einsum("ij,ij->i", x, by_fold[target][fold])
                 one = np.column_stack([m, np.ones(len(m))])
                 sign = np.where(y == target, 1.0, -1.0)
                 z = sign * (one @ trial[target])

@@ -114,6 +114,11 @@ def knn_join(
     """
     if k < 1:
         raise ValueError("k must be at least 1.")
+    # of the copies of one point only the k smallest keys can ever be chosen, and
+    # equal query rows have equal neighbours: copies cost one point on both sides
+    copies = W.partitionBy(features).orderBy(train_key)
+    train = train.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k).drop("__copy")
+    asked = query.select(F.col(query_key).alias("query_id"), F.col(features).cast("array<double>").alias("features"))
     centers = _pivots(train, train_key, features, pivots)
     key_type = train.schema[train_key].dataType.simpleString()
     query_type = query.schema[query_key].dataType.simpleString()
@@ -165,8 +170,8 @@ def knn_join(
             out["cell"] = cell_ids[columns]
             yield out
 
-    left = query.select(
-        F.col(query_key).alias("query_id"), F.col(features).cast("array<double>").alias("features")
+    left = asked.groupBy("features").agg(F.min("query_id").alias("query_id")).select(
+        "query_id", "features"
     ).mapInPandas(visits, f"query_id {query_type}, features array<double>, cell int")
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +197,11 @@ def knn_join(
     )
     order = W.partitionBy("query_id").orderBy("distance", "train_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    points = asked.groupBy("features").agg(F.min("query_id").alias("first"))
+    named = asked.join(points, "features").select("first", "query_id")
+    ranked = ranked.withColumnRenamed("query_id", "first").join(named, "first").select(
+        "query_id", "train_id", "distance", "extra", "rank"
+    )
     return ranked.withColumnRenamed("extra", extra) if extra else ranked.drop("extra")
 
 
@@ -271,14 +281,20 @@ def radius_join(
     key_type = train.schema[train_key].dataType.simpleString()
     query_type = query.schema[query_key].dataType.simpleString()
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    right = train.select(
-        F.col(train_key).alias("train_id"), F.col(features).cast("array<double>").alias("features"),
-        w.alias("w"), _tile(features, a, side).alias("tx"), _tile(features, b, side).alias("ty"),
+    # copies are one point with a weight on the training side and one question on
+    # the other, so a large group of copies costs a single row
+    right = (
+        train.select(
+            F.col(train_key).alias("train_id"), F.col(features).cast("array<double>").alias("features"), w.alias("w")
+        )
+        .groupBy("features").agg(F.min("train_id").alias("train_id"), F.sum("w").alias("w"))
+        .select("train_id", "features", "w", _tile("features", a, side).alias("tx"), _tile("features", b, side).alias("ty"))
     )
     slim = query.select(
         F.col(query_key).alias("query_id"), F.col(features).cast("array<double>").alias("features")
     )
-    left = _touched(slim, "features", a, b, side, eps)
+    points = slim.groupBy("features").agg(F.min("query_id").alias("query_id"))
+    left = _touched(points.select("query_id", "features"), "features", a, b, side, eps)
 
     def count(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
@@ -306,7 +322,8 @@ def radius_join(
         F.sum("n").alias("n_within"),
         F.min(F.struct("distance", "train_id")).alias("best"),
     )
-    return slim.select("query_id").join(best, "query_id", "left").select(
+    answered = points.join(best, "query_id", "left").drop("query_id")
+    return slim.join(answered, "features").select(
         "query_id",
         F.coalesce("n_within", F.lit(0)).cast("bigint").alias("n_within"),
         F.col("best.train_id").alias("nearest_id"),

@@ -112,7 +112,15 @@ def train_run(
                 rows = train if model.supervised else train.drop("label")
                 fitted = model.fit(rows)
                 scored = fitted.transform(test)
-                results.append(Result(spec.model_key, fitted, evaluate(model.model_type, scored)))
+                # cluster metrics read the scored rows several times
+                several = model.model_type == "clusterer"
+                scored = scored.persist() if several else scored
+                try:
+                    metrics = evaluate(model.model_type, scored)
+                finally:
+                    if several:
+                        scored.unpersist()
+                results.append(Result(spec.model_key, fitted, metrics))
             except Exception as error:  # noqa: BLE001 - kept per model
                 results.append(Result(spec.model_key, None, {}, f"{type(error).__name__}: {error}"[:500]))
     finally:

@@ -16,12 +16,11 @@ from ..operators.prepare import SEED, kfold
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
-def out_of_fold(df: DataFrame, model: Model, k: int = 5, seed: int = SEED) -> DataFrame:
-    """Predictions of rows by the model that never saw them, with the fold number.
+def out_of_fold(folded: DataFrame, model: Model, k: int) -> DataFrame:
+    """Predictions of rows by the model that never saw them.
 
-    ``df`` is ``(row_id, label, features)``.
+    ``folded`` is ``(row_id, label, features, fold)``.
     """
-    folded = kfold(df, "row_id", "label", k, seed).persist()
     parts = None
     for f in range(k):
         fitted = model.fit(folded.where(F.col("fold") != f))
@@ -39,9 +38,13 @@ def fold_metrics(held: DataFrame, classes: Sequence[Any]) -> DataFrame:
 
 def cv_metrics(df: DataFrame, model: Model, k: int = 5, seed: int = SEED) -> DataFrame:
     """Mean and population deviation of each metric over the folds."""
-    per_fold = fold_metrics(out_of_fold(df, model, k, seed), labels_of(df))
-    items = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])
-    return per_fold.select(F.explode(items).alias("i")).select("i.*").groupBy("metric").agg(
+    folded = kfold(df, "row_id", "label", k, seed).persist()
+    try:
+        rows = fold_metrics(out_of_fold(folded, model, k), labels_of(folded)).collect()   # k rows
+    finally:
+        folded.unpersist()
+    per_fold = [(m, float(r[m])) for r in rows for m in METRICS if r[m] is not None]
+    return df.sparkSession.createDataFrame(per_fold, "metric string, v double").groupBy("metric").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("folds")
     )
 
