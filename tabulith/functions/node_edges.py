@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import fan_out
 
 DIRECT_ROWS = 200_000
-ROUND_CELLS = 400_000    # counted bins per round over all brackets
+ROUND_CELLS = 200_000    # counted bins per round over all brackets
 Place = Callable[[np.ndarray], np.ndarray]
 
 
@@ -185,37 +185,57 @@ def _ranges(rows, d, place, nodes: Sequence[int], limit: int):
 
 
 def _counts(rows, d, place, open_brackets: dict[tuple[int, int], list[_Bracket]], bins: int):
-    """Counts of ``bins`` equal-width bins inside every open bracket."""
+    """Count, least and largest value of the equal-width bins of every open bracket.
+
+    Returns sorted arrays ``(bin, n, lo, hi)`` of the filled bins per bracket.
+    """
     grid: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for (k, f), brackets in open_brackets.items():
         for b, bracket in enumerate(brackets):
             grid.setdefault(k, []).append((f, b, np.linspace(bracket.lo, bracket.hi, bins + 1)))
 
     def task(batches):
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for x in blocks(batches, _matrix):
+        for x in blocks(batches, _matrix, 262_144):
             at = place(x)
+            parts = []
             for k, items in grid.items():
                 own = x[at == k]
                 if not len(own):
                     continue
+                ordered: dict[int, np.ndarray] = {}
                 for f, b, edges in items:
-                    v = own[:, f]
-                    v = v[(v >= edges[0]) & (v <= edges[-1])]
-                    part = np.bincount(np.searchsorted(edges[1:-1], v, side="right"), minlength=bins)
-                    sums[(k, f, b)] = sums.get((k, f, b), 0) + part
-        if sums:
-            keys = np.array(list(sums), dtype=np.int32)
-            yield pa.RecordBatch.from_pydict(
-                {"node": pa.array(keys[:, 0]), "feature": pa.array(keys[:, 1]), "bracket": pa.array(keys[:, 2]),
-                 "n": pa.array(list(sums.values()), pa.list_(pa.int64()))}
-            )
-
-    counted = rows.mapInArrow(task, "node int, feature int, bracket int, n array<bigint>")
-    summed = counted.groupBy("node", "feature", "bracket").agg(
-        *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(bins)]
+                    if f not in ordered:
+                        ordered[f] = np.sort(own[:, f])
+                    v = ordered[f]
+                    cuts = np.concatenate([
+                        [np.searchsorted(v, edges[0], side="left")], np.searchsorted(v, edges[1:-1], side="left"),
+                        [np.searchsorted(v, edges[-1], side="right")],
+                    ])
+                    n = np.diff(cuts)
+                    live = np.flatnonzero(n)
+                    if len(live):
+                        head = np.tile([k, f, b], (len(live), 1))
+                        parts.append((head, live, n[live], v[cuts[live]], v[cuts[live + 1] - 1]))
+            if parts:
+                head = np.vstack([p[0] for p in parts]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(head[:, 0]), pa.array(head[:, 1]), pa.array(head[:, 2]),
+                     pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
+                     pa.array(np.concatenate([p[2] for p in parts]).astype(np.int64)),
+                     pa.array(np.concatenate([p[3] for p in parts])), pa.array(np.concatenate([p[4] for p in parts]))],
+                    names=["node", "feature", "bracket", "bin", "n", "lo", "hi"],
+                )
+
+    counted = rows.mapInArrow(task, "node int, feature int, bracket int, bin int, n bigint, lo double, hi double")
+    summed = (
+        counted.groupBy("node", "feature", "bracket", "bin")
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow().to_pandas()
     )
-    return {(r[0], r[1], r[2]): np.array(r[3:], dtype=np.int64) for r in summed.collect()}
+    summed = summed.sort_values(["node", "feature", "bracket", "bin"])
+    return {
+        tuple(int(v) for v in key): (g["bin"].to_numpy(), g["n"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy())
+        for key, g in summed.groupby(["node", "feature", "bracket"], sort=False)
+    }
 
 
 def _large(rows, d, place, sizes, n_bins, direct, exact):
@@ -253,15 +273,13 @@ def _large(rows, d, place, sizes, n_bins, direct, exact):
         for (k, f), items in brackets.items():
             narrowed: list[_Bracket] = []
             for b, bracket in enumerate(items):
-                edges = np.linspace(bracket.lo, bracket.hi, bins + 1)
-                upto = bracket.below + np.cumsum(counts[(k, f, b)])
+                _, n, lo, hi = counts[(k, f, b)]
+                upto = bracket.below + np.cumsum(n)
                 where = np.searchsorted(upto, bracket.ranks, side="right")
                 for i in np.unique(where):
-                    # bins are half-open except the last one
-                    high = edges[i + 1] if i == bins - 1 else np.nextafter(edges[i + 1], -np.inf)
                     narrowed.append(
-                        _Bracket(float(edges[i]), float(max(high, edges[i])), int(upto[i] - counts[(k, f, b)][i]),
-                                 int(counts[(k, f, b)][i]), [r for r, w in zip(bracket.ranks, where) if w == i])
+                        _Bracket(float(lo[i]), float(hi[i]), int(upto[i] - n[i]), int(n[i]),
+                                 [r for r, w in zip(bracket.ranks, where) if w == i])
                     )
             brackets[(k, f)] = narrowed
     if not exact:

@@ -171,14 +171,35 @@ def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, unique_count)`` of numeric columns.
+
+    Whole numbers and fractions keep their own slots, so nothing is turned into
+    text and no digit is lost.
+    """
+
+    def slots(c: str) -> Column:
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, T.IntegralType)
+        real = isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)
+        return F.struct(
+            F.lit(c).alias("column"),
+            (F.col(c).cast("bigint") if whole else F.lit(None).cast("bigint")).alias("whole"),
+            (F.col(c).cast("double") if real else F.lit(None).cast("double")).alias("real"),
+            (F.lit(None).cast("string") if whole or real else F.col(c).cast("string")).alias("text"),
+        )
+
+    long = df.select(F.explode(F.array(*[slots(c) for c in columns])).alias("p")).select("p.*")
+    present = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    return long.where(present).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+
+
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing, unique, mean, sample std, min, max, median; one row per column."""
     df = normalize_missing(df)
     columns = list(columns) if columns is not None else column_kinds(df)[0]
     df = df.select(*columns)
-    unique = frequencies(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_count")
-    )
+    unique = distinct_counts(df, columns)
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
