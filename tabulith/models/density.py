@@ -83,7 +83,7 @@ def _lowest_cluster(border: DataFrame, labelled: DataFrame, eps: float, block_ro
 
     def lowest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({"id": [], "cluster": []})
+            return pd.DataFrame()
         d = np.sqrt(squared_distances(matrix(q["features"]), matrix(t["features"])))
         c = np.where(d <= eps, t["cluster"].to_numpy()[None, :], np.iinfo(np.int32).max).min(axis=1)
         hit = c < np.iinfo(np.int32).max

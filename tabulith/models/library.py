@@ -46,7 +46,7 @@ class LibraryClassifier(Fitted):
             probability = vector_to_array(shown[0])
         else:
             # one-vs-rest gives margins only; each is squashed, then normalised
-            margins = vector_to_array("__raw")
+            margins = vector_to_array("rawPrediction")
             squashed = F.transform(margins, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v)))
             total = F.aggregate(squashed, F.lit(0.0), lambda a, v: a + v)
             probability = F.transform(squashed, lambda v: v / total)
@@ -136,7 +136,9 @@ class BoostedTrees(_Classifier):
                       subsamplingRate=self.subsample, seed=SEED)
         if n_classes == 2:
             return GBTClassifier(featuresCol="__vec", labelCol="__y", predictionCol="__pred", **shared)
-        return OneVsRest(classifier=GBTClassifier(**shared), parallelism=2, **_COLUMNS)
+        return OneVsRest(
+            classifier=GBTClassifier(**shared), parallelism=2, featuresCol="__vec", labelCol="__y", predictionCol="__pred"
+        )
 
     def _importance_of(self, model):
         parts = getattr(model, "models", [model])

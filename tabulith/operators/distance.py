@@ -176,7 +176,7 @@ def knn_join(
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({"query_id": [], "train_id": [], "distance": [], "extra": []})
+            return pd.DataFrame()
         t = t.sort_values("train_id", kind="stable").reset_index(drop=True)
         d = squared_distances(matrix(q["features"]), matrix(t["features"]))
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -298,7 +298,7 @@ def radius_join(
 
     def count(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({"query_id": [], "n": [], "train_id": [], "distance": []})
+            return pd.DataFrame()
         t = t.sort_values("train_id", kind="stable").reset_index(drop=True)
         d = np.sqrt(squared_distances(matrix(q["features"]), matrix(t["features"])))
         inside = d <= eps
@@ -360,7 +360,7 @@ def radius_links(
     left = _touched(slim, "features", a, b, side, eps)
 
     def forest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": [], "dst": []})
+        empty = pd.DataFrame()
         if not len(q) or not len(t):
             return empty
         q = q.sort_values("id", kind="stable").reset_index(drop=True)
@@ -418,7 +418,7 @@ def silhouette_rows(
 
     def sums(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({"id": [], "label": [], "other": [], "total": []})
+            return pd.DataFrame()
         d = np.sqrt(squared_distances(matrix(q["features"]), matrix(t["features"])))
         d = d * t["w"].to_numpy()[None, :]
         others = np.unique(t["label"].to_numpy())
