@@ -158,7 +158,7 @@ def _vector_fit(name, model):
 
 
 _vector_fit("fit_kmeans", lambda: library.KMeansClusters(3, n_init=3))
-_vector_fit("fit_gmm", lambda: library.Mixture(3, max_iter=20))
+_vector_fit("fit_gmm", lambda: library.Mixture(3, max_iter=20, n_init=2))
 _vector_fit("micro_linkage", lambda: density.MicroLinkage(3, micro=32))
 
 

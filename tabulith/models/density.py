@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -35,19 +36,28 @@ def density_clusters(
     if eps <= 0 or min_samples < 1:
         raise ValueError("eps must be positive and min_samples at least 1.")
     rows = df.select(F.col(key).alias("row_id"), F.col(features).cast("array<double>").alias("features"))
+    first = rows.select(F.size("features").alias("d")).first()
+    if first is None:
+        raise ValueError("The table has no rows.")
+    # rows of one small cell are always within eps of each other
+    side = eps / np.sqrt(first["d"]) * (1 - 1e-9)
+    cell = F.transform("features", lambda v: F.floor(v / F.lit(float(side))))
     points = cut_lineage(
-        rows.groupBy("features").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("w"))
+        rows.groupBy("features").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("w")).withColumn("cell", cell)
     )
-    around = radius_join(points, points, eps, "features", "id", "id", "w", block_rows)
+    weights = points.groupBy("cell").agg(F.sum("w").alias("cell_w"))
+    flagged = points.join(weights, "cell").withColumn("dense", F.col("cell_w") >= min_samples)
+    # only rows of thin cells have to count their neighbours
+    thin = flagged.where(~F.col("dense")).select("id", "features")
+    around = radius_join(thin, points, eps, "features", "id", "id", "w", block_rows)
     counted = cut_lineage(
-        points.join(around.select(F.col("query_id").alias("id"), "n_within"), "id")
-        .withColumn("is_core", F.col("n_within") >= min_samples)
+        flagged.join(around.select(F.col("query_id").alias("id"), "n_within"), "id", "left")
+        .select("id", "features", "cell", (F.col("dense") | (F.coalesce("n_within", F.lit(0)) >= min_samples)).alias("is_core"))
     )
-    core = counted.where("is_core").select("id", "features")
+    core = counted.where("is_core").select("id", "features", "cell")
     if core.limit(1).count() == 0:
         return rows.select("row_id", F.lit(NOISE).alias("prediction"), F.lit(False).alias("is_core"))
-    linked = connected_components(radius_links(core, eps, "features", "id", block_rows), core.select("id"))
-    linked = cut_lineage(linked)
+    linked = cut_lineage(connected_components(_links(core, first["d"], eps, block_rows), core.select("id")))
     numbers = _number(linked.select("component").distinct())
     labelled = core.join(linked, "id").join(numbers, "component").select("id", "features", "cluster")
     border = _lowest_cluster(counted.where(~F.col("is_core")).select("id", "features"), labelled, eps, block_rows)
@@ -58,6 +68,71 @@ def density_clusters(
     return rows.join(by_point, "features").select("row_id", F.col("cluster").alias("prediction"), "is_core")
 
 
+def _links(core: DataFrame, d: int, eps: float, block_rows: int) -> DataFrame:
+    """Edges that connect the core points exactly as "within eps" does.
+
+    Points of a cell hang on the cell's first one.  Cells are linked through
+    their outermost points first; only cells that still touch a cell of another
+    part compare all their points.  A crowded region is thus settled by a few
+    points per cell.
+    """
+    extremes = [F.min_by(F.struct("id", "features"), F.col("features")[j]) for j in range(d)] + [
+        F.max_by(F.struct("id", "features"), F.col("features")[j]) for j in range(d)
+    ]
+    cells = cut_lineage(
+        core.groupBy("cell").agg(
+            F.min("id").alias("head"),
+            F.array_distinct(F.array(*extremes)).alias("outer"),
+            F.array(*[F.min(F.col("features")[j]) for j in range(d)]).alias("low"),
+            F.array(*[F.max(F.col("features")[j]) for j in range(d)]).alias("high"),
+        )
+    )
+    stars = core.join(cells.select("cell", "head"), "cell").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    outer = cells.select("head", F.explode("outer").alias("p")).select("head", "p.id", "p.features")
+    quick = cut_lineage(
+        radius_links(outer.select("id", "features"), eps, "features", "id", block_rows)
+        .unionByName(outer.select(F.col("id").alias("src"), F.col("head").alias("dst")))
+    )
+    parts = connected_components(quick, outer.select("id"))
+    placed = cells.join(parts.select(F.col("id").alias("head"), "component"), "head")
+    unsettled = _touching_other_parts(placed, eps, block_rows)
+    rest = core.join(cells.join(unsettled, "head").select("cell"), "cell", "left_semi")
+    edges = stars.unionByName(quick)
+    if rest.limit(1).count():
+        edges = edges.unionByName(radius_links(rest.select("id", "features"), eps, "features", "id", block_rows))
+    return edges
+
+
+def _touching_other_parts(cells: DataFrame, eps: float, block_rows: int) -> DataFrame:
+    """Heads of cells whose box comes within ``eps`` of a box of another part."""
+    from ..operators.distance import _tile, _tiles, block_pairs, matrix
+
+    a, b, side = _tiles(cells, "low", eps, block_rows)
+    slim = cells.select("head", "component", "low", "high")
+    right = slim.select("*", _tile("low", a, side).alias("tx"), _tile("low", b, side).alias("ty"))
+    # a box is narrower than eps, so boxes in reach start within two eps
+    pad = 2 * eps * (1 + 1e-9)
+    left = slim.withColumn("tx", F.explode(F.sequence(_tile("low", a, side, -pad), _tile("low", a, side, pad)))).withColumn(
+        "ty", F.explode(F.sequence(_tile("low", b, side, -pad), _tile("low", b, side, pad)))
+    )
+
+    def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame()
+        ql, qh, tl, th = matrix(q["low"]), matrix(q["high"]), matrix(t["low"]), matrix(t["high"])
+        hit = np.zeros(len(q), dtype=bool)
+        component = t["component"].to_numpy()
+        for s in range(0, len(q), 256):
+            part = slice(s, s + 256)
+            gap = np.maximum(0.0, np.maximum(tl[None] - qh[part, None], ql[part, None] - th[None]))
+            close = (gap**2).sum(axis=2) <= eps * eps * (1 + 1e-9)
+            hit[part] = (close & (q["component"].to_numpy()[part, None] != component[None])).any(axis=1)
+        return pd.DataFrame({"head": q["head"].to_numpy()[hit]}) if hit.any() else pd.DataFrame()
+
+    kind = cells.schema["head"].dataType.simpleString()
+    return block_pairs(left, right, ["tx", "ty"], "head", "head", near, f"head {kind}", block_rows).distinct()
+
+
 def _number(components: DataFrame) -> DataFrame:
     """Cluster numbers 0.. in the order of the smallest member."""
     from ..operators.prepare import sorted_codes
@@ -71,7 +146,6 @@ def _number(components: DataFrame) -> DataFrame:
 def _lowest_cluster(border: DataFrame, labelled: DataFrame, eps: float, block_rows: int) -> DataFrame:
     """Smallest cluster number within reach of each border point, else noise."""
     from ..operators.distance import _tile, _tiles, _touched, block_pairs, matrix, squared_distances
-    import pandas as pd
 
     if border.limit(1).count() == 0:
         return border.select("id", F.lit(NOISE).alias("cluster"))

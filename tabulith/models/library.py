@@ -446,17 +446,30 @@ class MixtureClusters(Fitted):
 class Mixture(Model):
     key, name, model_type, supervised = "gmm", "Gaussian Mixture", "clusterer", False
 
-    def __init__(self, n_components: int = 3, covariance_type: str = "full", max_iter: int = 100) -> None:
+    def __init__(self, n_components: int = 3, covariance_type: str = "full", max_iter: int = 100, n_init: int = 3) -> None:
         if covariance_type != "full":
             raise ValueError("Only covariance_type='full' is available.")
-        self.n_components, self.covariance_type, self.max_iter = n_components, covariance_type, max_iter
+        if n_components < 1 or n_init < 1:
+            raise ValueError("n_components and n_init must be positive.")
+        self.n_components, self.covariance_type = n_components, covariance_type
+        self.max_iter, self.n_init = max_iter, n_init
 
     def _fit(self, train: DataFrame, d: int) -> MixtureClusters:
-        model = GaussianMixture(
-            k=self.n_components, maxIter=self.max_iter, seed=SEED, featuresCol="__vec",
-            predictionCol="__pred", probabilityCol="__prob",
-        ).fit(as_vectors(train).select("__vec"))
-        return self._new(MixtureClusters, d, model=model)
+        """The likeliest of ``n_init`` seeded starts."""
+        slim = as_vectors(train).select("__vec").persist()
+        best = None
+        try:
+            for i in range(self.n_init):
+                model = GaussianMixture(
+                    k=self.n_components, maxIter=self.max_iter, seed=SEED + i, featuresCol="__vec",
+                    predictionCol="__pred", probabilityCol="__prob",
+                ).fit(slim)
+                value = model.summary.logLikelihood
+                if best is None or value > best[0]:
+                    best = (value, model)
+        finally:
+            slim.unpersist()
+        return self._new(MixtureClusters, d, model=best[1], details={"log_likelihood": best[0]})
 
 
 # --- principal components ----------------------------------------------------

@@ -93,6 +93,20 @@ def test_dbscan(spark, cloud, block):
     assert (out["prediction"].to_numpy() == want).all() and (out["is_core"].to_numpy() == core).all()
 
 
+@pytest.mark.parametrize("block", [4096, 25])
+def test_dbscan_crowded_cells(spark, block):
+    """Dense clumps whose nearest points are not the outermost ones of a cell."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([
+        rng.normal(0, 0.05, (150, 2)), rng.uniform(0, 3, (120, 2)), rng.normal(1.0, 0.3, (80, 2)),
+        np.column_stack([np.linspace(4, 6, 40), np.full(40, 0.3)]), np.column_stack([np.linspace(4, 6, 40), np.full(40, 0.82)]),
+    ])
+    for eps, m in ((0.2, 5), (0.5, 8), (0.53, 3)):
+        want, core = brute_dbscan(x, eps, m)
+        out = density_clusters(rows(spark, x), eps, m, block_rows=block).toPandas().sort_values("row_id")
+        assert (out["is_core"].to_numpy() == core).all() and (out["prediction"].to_numpy() == want).all()
+
+
 def test_dbscan_text_keys_and_high_dimension(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 0.05, (20, 5)), rng.normal(3, 0.05, (20, 5))])
