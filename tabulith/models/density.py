@@ -57,7 +57,7 @@ def density_clusters(
     core = counted.where("is_core").select("id", "features", "cell")
     if core.limit(1).count() == 0:
         return rows.select("row_id", F.lit(NOISE).alias("prediction"), F.lit(False).alias("is_core"))
-    linked = cut_lineage(connected_components(_links(core, first["d"], eps, block_rows), core.select("id")))
+    linked = cut_lineage(_parts(core, first["d"], eps, block_rows))
     numbers = _number(linked.select("component").distinct())
     labelled = core.join(linked, "id").join(numbers, "component").select("id", "features", "cluster")
     border = _lowest_cluster(counted.where(~F.col("is_core")).select("id", "features"), labelled, eps, block_rows)
@@ -68,13 +68,13 @@ def density_clusters(
     return rows.join(by_point, "features").select("row_id", F.col("cluster").alias("prediction"), "is_core")
 
 
-def _links(core: DataFrame, d: int, eps: float, block_rows: int) -> DataFrame:
-    """Edges that connect the core points exactly as "within eps" does.
+def _parts(core: DataFrame, d: int, eps: float, block_rows: int) -> DataFrame:
+    """``(id, component)`` of the core points, connected exactly as "within eps" does.
 
     Points of a cell hang on the cell's first one.  Cells are linked through
     their outermost points first; only cells that still touch a cell of another
     part compare all their points.  A crowded region is thus settled by a few
-    points per cell.
+    points per cell, and the second round runs on the parts of the first.
     """
     extremes = [F.min_by(F.struct("id", "features"), F.col("features")[j]) for j in range(d)] + [
         F.max_by(F.struct("id", "features"), F.col("features")[j]) for j in range(d)
@@ -87,20 +87,28 @@ def _links(core: DataFrame, d: int, eps: float, block_rows: int) -> DataFrame:
             F.array(*[F.max(F.col("features")[j]) for j in range(d)]).alias("high"),
         )
     )
-    stars = core.join(cells.select("cell", "head"), "cell").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     outer = cells.select("head", F.explode("outer").alias("p")).select("head", "p.id", "p.features")
-    quick = cut_lineage(
-        radius_links(outer.select("id", "features"), eps, "features", "id", block_rows)
-        .unionByName(outer.select(F.col("id").alias("src"), F.col("head").alias("dst")))
+    quick = radius_links(outer.select("id", "features"), eps, "features", "id", block_rows).unionByName(
+        outer.select(F.col("id").alias("src"), F.col("head").alias("dst"))
     )
-    parts = connected_components(quick, outer.select("id"))
-    placed = cells.join(parts.select(F.col("id").alias("head"), "component"), "head")
+    found = connected_components(quick, cells.select(F.col("head").alias("id")))
+    placed = cut_lineage(cells.join(found.select(F.col("id").alias("head"), "component"), "head"))
+    own = core.join(placed.select("cell", "component"), "cell").select("id", "component")
     unsettled = _touching_other_parts(placed, eps, block_rows)
-    rest = core.join(cells.join(unsettled, "head").select("cell"), "cell", "left_semi")
-    edges = stars.unionByName(quick)
-    if rest.limit(1).count():
-        edges = edges.unionByName(radius_links(rest.select("id", "features"), eps, "features", "id", block_rows))
-    return edges
+    rest = cut_lineage(
+        core.join(placed.join(unsettled, "head").select("cell", "component"), "cell").select("id", "features", "component")
+    )
+    if rest.limit(1).count() == 0:
+        return own
+    near = radius_links(rest.select("id", "features"), eps, "features", "id", block_rows)
+    name = rest.select("id", "component")
+    bridges = (
+        near.join(name.select(F.col("id").alias("src"), F.col("component").alias("a")), "src")
+        .join(name.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+        .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    )
+    merged = connected_components(bridges).withColumnsRenamed({"id": "component", "component": "whole"})
+    return own.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
 
 
 def _touching_other_parts(cells: DataFrame, eps: float, block_rows: int) -> DataFrame:
