@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, topk, url_filter
+from . import decontaminate, packing, secrets, suffix_dedup, topk, url_filter
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def digest(text) -> F.Column:
     return F.sha2(text, 256)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), digest("kept").alias("kept_sha256"),
+    )
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.judge(decontaminate.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
