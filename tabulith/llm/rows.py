@@ -34,7 +34,7 @@ def keyed(rows: DataFrame, id_col: str, **columns: str | Column) -> DataFrame:
             F.max("n").alias("n"), F.max(F.col("id").isNull().cast("int")).alias("gap")
         ).first()
         if (state["n"] or 1) == 1 and not state["gap"]:
-            return base.withColumn("rid", F.col("id").cast("long"))
+            return base.withColumn("rid", F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")))
     ordered = base.orderBy("id", *[k for k, t in base.dtypes if k != "id" and not t.startswith("map")])
     return cut_lineage(ordered.withColumn("rid", F.monotonically_increasing_id()))
 

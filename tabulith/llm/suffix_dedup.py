@@ -1,7 +1,7 @@
 """Removal of repeated byte windows by depth-limited radix sorting of suffixes.
 
 Only the order of suffixes through the first ``window`` bytes matters: equal groups
-at that depth are exactly the repeated windows.  The sort takes three passes of
+at that depth are exactly the repeated windows.  The sort takes passes of
 growing digits, and a suffix leaves as soon as it is alone.
 
 1. Suffixes are sampled at positions chosen by their own bytes (the smallest hash
@@ -14,7 +14,13 @@ growing digits, and a suffix leaves as soon as it is alone.
    As the document is part of the key, a passage of a third of the corpus is spread
    over many tasks.
 3. Samples that share the first digit but not the second, and those at the ends of
-   a task, are spread into single windows and sorted by their full digest.
+   a task, are divided into short stretches of window starts, counted from the chosen
+   position.  Their digits are the bytes common to all windows of the stretch and
+   then all its bytes; they are sorted and settled in the same way.
+4. What is still open is spread into single windows, sorted by their full digest.
+
+The texts are shuffled once by document; all passes and the final cut read that
+exchange.
 
 Nulls are empty texts; texts shorter than a window stay.  Of repeated rows the one
 with the smaller key stays (see ``keyed``).  Windows are compared by 128 bits of hash.
@@ -29,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import keyed, pieces, signed, stored
+from .rows import keyed, mix, pieces, signed, stored
 
 WINDOW = 100
 GRAIN = 34
+#: Window starts in a stretch of the third pass.
+STRETCH = 16
+#: Text bytes hashed at once by a task.
+PIECE = 1_000_000
 _CHUNK = 1 << 16
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -75,9 +85,12 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, ...]:
-    """``(first digit, second digit, row, start, n)`` of each run of window starts."""
+    """``(first digit, second digit, row, start, n, lead)`` of each run of window starts.
+
+    The chosen position is ``lead`` bytes after the first start of the run.
+    """
     first = Polynomials(data, 0)
-    rolled = first.rolling(grain)
+    rolled = mix(first.rolling(grain))
     span = window - grain + 1
     total = len(rolled) - span + 1
     marks = np.zeros(max(1, len(data) + 1), np.int32)
@@ -87,7 +100,7 @@ def samples(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> t
     starts = np.flatnonzero(np.cumsum(marks))
     if not len(starts):
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     chosen = np.empty(total, np.int64)
     low = np.uint64(_CHUNK - 1)
     step = _CHUNK - span
@@ -109,40 +122,42 @@ def samples(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> t
     row = np.searchsorted(offsets, left, "right") - 1
     n = right - left + 1
     second = Polynomials(data, 1).of(left, right + window) ^ (n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return rolled[anchor], second, row, left - offsets[row], n
+    return rolled[anchor], second, row, left - offsets[row], n, anchor - left
 
 
 def _sampler(window: int, grain: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             data, offsets = buffer_of(batch.column("text"))
-            d1, d2, row, start, n = samples(data, offsets, window, grain)
+            d1, d2, row, start, n, lead = samples(data, offsets, window, grain)
             rid = batch.column("rid").to_numpy()
             yield pa.record_batch(
-                [pa.array(signed(d1)), pa.array(signed(d2)), pa.array(rid[row]), pa.array(start), pa.array(n.astype(np.int32))],
-                ["d1", "d2", "rid", "start", "n"],
+                [pa.array(signed(d1)), pa.array(signed(d2)), pa.array(rid[row]), pa.array(start), pa.array(n.astype(np.int16)), pa.array(lead.astype(np.int16))],
+                _SAMPLE,
             )
 
     return sample
 
 
+_SAMPLE = ["d1", "d2", "rid", "start", "n", "lead"]
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads sorted samples; gives repeated ones and those still open.
 
     The first row of a task and its last group stay open, as their neighbours are
     in another task.
     """
-    last = None
-    waiting: tuple[int, ...] | None = None
-    names = ["rid", "start", "n", "open"]
+    last = waiting = None
 
-    def batch_of(rid, start, n, open_):
-        return pa.record_batch([pa.array(rid, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(open_, pa.bool_())], names)
+    def out(rows: pa.RecordBatch, open_: bool) -> pa.RecordBatch:
+        flag = pa.array(np.full(rows.num_rows, open_))
+        return pa.record_batch([*(rows.column(c) for c in _SAMPLE[2:]), flag], [*_SAMPLE[2:], "open"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        d1, d2, rid, start, n = (batch.column(c).to_numpy() for c in ("d1", "d2", "rid", "start", "n"))
+        d1, d2 = batch.column("d1").to_numpy(), batch.column("d2").to_numpy()
         before1, before2 = np.r_[d1[:1], d1[:-1]], np.r_[d2[:1], d2[:-1]]
         known = np.ones(len(d1), bool)
         if last is None:
@@ -152,36 +167,61 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = known & (d1 == before1) & (d2 == before2)
         heads = np.flatnonzero(~same)
         if len(heads):
-            if waiting is not None and (waiting[3] or waiting[4] == d1[heads[0]]):
-                yield batch_of([waiting[0]], [waiting[1]], [waiting[2]], [True])
-            with_left = (d1[heads] == before1[heads]) | ~known[heads]
-            with_right = np.r_[d1[heads[1:]] == d1[heads[:-1]], False]
-            shared = heads[:-1][(with_left | with_right)[:-1]]
-            if len(shared):
-                yield batch_of(rid[shared], start[shared], n[shared], np.ones(len(shared), bool))
-            h = heads[-1]
-            waiting = (int(rid[h]), int(start[h]), int(n[h]), bool(with_left[-1]), int(d1[h]))
-        if same.any():
-            yield batch_of(rid[same], start[same], n[same], np.zeros(int(same.sum()), bool))
+            if waiting is not None and (waiting[1] or waiting[2] == d1[heads[0]]):
+                yield out(waiting[0], True)
+            left = (d1[heads] == before1[heads]) | ~known[heads]
+            right = np.r_[d1[heads[1:]] == d1[heads[:-1]], False]
+            yield out(batch.take(pa.array(heads[:-1][(left | right)[:-1]])), True)
+            waiting = (batch.slice(int(heads[-1]), 1), bool(left[-1]), d1[heads[-1]])
+        yield out(batch.take(pa.array(np.flatnonzero(same))), False)
         last = (d1[-1], d2[-1])
     if waiting is not None:
-        yield batch_of([waiting[0]], [waiting[1]], [waiting[2]], [True])
+        yield out(waiting[0], True)
 
 
-def _flat_ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, start, n)`` of an array-of-structs column."""
+def _flat_ranges(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """``(row, start, n, lead)`` of an array-of-structs column."""
     sizes = np.array([0 if v is None else v for v in column.value_lengths().to_pylist()], np.int64)
     flat = column.flatten()
-    return np.repeat(np.arange(len(sizes)), sizes), flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64), flat.field("lead").to_numpy().astype(np.int64)
+
+
+def _divider(window: int, stretch: int):
+    """Stretches of open samples, with their common and their whole bytes as digits."""
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", PIECE):
+            data, offsets = buffer_of(batch.column("text"))
+            row, start, n, lead = _flat_ranges(batch.column("ranges"))
+            high = lead // stretch
+            low = (lead - n + 1) // stretch
+            count = high - low + 1
+            each = np.repeat(np.arange(len(row)), count)
+            number = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            base = offsets[row[each]]
+            chosen = base + start[each] + lead[each]
+            floor = chosen - number * stretch - stretch + 1
+            first = np.maximum(floor, base + start[each])
+            final = np.minimum(floor + stretch - 1, base + start[each] + n[each] - 1)
+            d1 = Polynomials(data, 0).of(floor + stretch - 1, floor + window) ^ mix(number + 1)
+            shape = ((first - floor) * (stretch + 1) + final - first).astype(np.uint64)
+            d2 = Polynomials(data, 1).of(first, final + window) ^ mix(shape + np.uint64(1))
+            none = np.zeros(len(each), np.int16)
+            yield pa.record_batch([
+                pa.array(signed(d1)), pa.array(signed(d2)), pa.array(batch.column("rid").to_numpy()[row[each]]),
+                pa.array(first - base), pa.array((final - first + 1).astype(np.int16)), pa.array(none),
+            ], _SAMPLE)
+
+    return divide
 
 
 def _spread(window: int):
     """Digests of the single windows of open samples."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             data, offsets = buffer_of(batch.column("text"))
-            row, start, n = _flat_ranges(batch.column("ranges"))
+            row, start, n, lead = _flat_ranges(batch.column("ranges"))
             each = np.repeat(np.arange(len(row)), n)
             within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             position = start[each] + within
@@ -217,9 +257,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         data, offsets = buffer_of(batch.column("text"))
-        row, start, n = _flat_ranges(batch.column("ranges"))
+        row, start, n, lead = _flat_ranges(batch.column("ranges"))
         marks = np.zeros(len(data) + 1, np.int32)
         np.add.at(marks, offsets[row] + start, 1)
         np.add.at(marks, offsets[row] + start + n - 1 + window, -1)
@@ -249,27 +289,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     given = keyed(docs, id_col, text=docs[text_col].cast("string").cast("binary")).select("rid", "id", "text")
     kind = dict(given.dtypes)["id"]
+    sample = "d1 long, d2 long, rid long, start long, n short, lead short"
     order = ["d1", "d2", "rid", "start"]
-    sampled = given.select("rid", "text").mapInArrow(_sampler(window, grain), "d1 long, d2 long, rid long, start long, n int")
-    settled = sampled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_settle, "rid long, start long, n int, open boolean")
-    settled = stored(settled, "suffix-samples")
-    open_ = settled.where("open").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    windows = given.join(open_, "rid").mapInArrow(_spread(window), "a long, b long, rid long, start long")
-    order = ["a", "b", "rid", "start"]
-    found = windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeats, "a long, b long, rid long, start long, edge byte")
-    found = stored(found, "suffix-windows")
-    edges = found.where("edge > 0")
+
+    def settle(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_settle, "rid long, start long, n short, lead short, open boolean")
+
+    def with_text(ranges: DataFrame, how: str) -> DataFrame:
+        grouped = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "lead")).alias("ranges"))
+        return given.join(grouped, "rid", how)
+
+    runs = stored(settle(given.select("rid", "text").mapInArrow(_sampler(window, grain), sample)), "suffix-samples")
+    stretches = settle(with_text(runs.where("open"), "inner").mapInArrow(_divider(window, STRETCH), sample))
+    windows = with_text(stretches.where("open"), "inner").mapInArrow(_spread(window), "a long, b long, rid long, start long")
+    order_w = ["a", "b", "rid", "start"]
+    found = windows.repartitionByRange(*order_w).sortWithinPartitions(*order_w).mapInArrow(_repeats, "a long, b long, rid long, start long, edge byte")
     behind = Window.orderBy("a", "b", "rid", "start", "edge")
-    crossing = edges.select("rid", "start", "edge", (
+    crossing = found.where("edge > 0").select("rid", "start", "edge", (
         (F.lag("a").over(behind) == F.col("a")) & (F.lag("b").over(behind) == F.col("b"))
         & ((F.lag("rid").over(behind) != F.col("rid")) | (F.lag("start").over(behind) != F.col("start")))
     ).alias("again")).where("edge = 1 and again")
-    one = F.lit(1).cast("int").alias("n")
-    ranges = settled.where("not open").select("rid", "start", "n").unionByName(
-        found.where("edge = 0").select("rid", "start", one)
-    ).unionByName(crossing.select("rid", "start", one))
-    grouped = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return given.join(grouped, "rid", "left").mapInArrow(
+    single = [F.lit(1).cast("short").alias("n"), F.lit(0).cast("short").alias("lead")]
+    ranges = runs.where("not open").drop("open").unionByName(stretches.where("not open").drop("open"))
+    for part in (found.where("edge = 0"), crossing):
+        ranges = ranges.unionByName(part.select("rid", "start", *single))
+    return with_text(ranges, "left").mapInArrow(
         lambda batches: _cut(batches, window),
         f"rid long, id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary",
     )
