@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, suffix_dedup, topk, url_filter
+from . import decontaminate, near_dup, packing, secrets, suffix_dedup, topk, url_filter
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,33 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 10"""
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    groups = near_dup.near_duplicate_groups(table(spark, sf, "documents"), width=4, numer=85, denom=100)
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+SQL["op6_ngram_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i : i + 3], 'string_agg', ' ')) END) AS g
+  FROM w WHERE w IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (
+  SELECT doc_id AS v, doc_id AS c FROM documents
+  UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) m ON m.v = d.doc_id"""
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"))
