@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, secrets, suffix_dedup, topk, url_filter
+from . import decontaminate, near_dup, packing, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) m ON m.v = d.doc_id"""
 
 
+def fold(parts: int) -> F.Column:
+    """True for the held-out fold: CRC-32 of the id as text leaves 2."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % parts == 2
+
+
+@query
+def op7_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = suffix_tree_lm.SuffixTreeModel(docs, ~fold(7))
+    return model.score(docs).withColumnRenamed("id", "doc_id").select(
+        "doc_id", fold(7).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tree.total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"))

@@ -23,3 +23,23 @@ def repeats(docs, window=100):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out[doc_id] = (len(data), sum(gone), spans, sha(kept))
     return out
+
+
+def unigram_scores(docs):
+    """``docs``: (doc_id, text); n_tokens, n_known, base score and N of the contract."""
+    import math
+    import zlib
+    from collections import Counter
+
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) + [None] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs}
+    c = Counter(w for d, ws in words.items() if not held[d] for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {
+        d: (held[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        for d, ws in words.items()
+    }
+
+
+def lower(text: str) -> str:
+    return text.translate({i: i + 32 for i in range(65, 91)})
