@@ -9,11 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulith.llm.decontaminate import remove_contaminated
+from tabulith.llm.language import fit_field, keep_known
+from tabulith.llm.near_dup import keep_one
 from tabulith.llm.packing import pack
 from tabulith.llm.rows import stored, table
 from tabulith.llm.secrets import redact_secrets
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the field knows."""
+    return keep_known(docs, fit_field(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, 0.8."""
+    return keep_one(docs, width=5, numer=80, denom=100)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -29,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("decontamination", decontaminate), ("secrets", secrets), ("packing", packing)]
+STAGES = [("language", language), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("secrets", secrets), ("packing", packing)]
 
 #: SQL cannot express the stages; the tests compare them with plain versions.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
+from . import decontaminate, language, near_dup, packing, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,15 @@ def op7_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op9_language_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    field = language.fit_field(docs, ~fold(4))
+    return language.predict_language(docs, field).withColumnRenamed("id", "doc_id").select(
+        "doc_id", fold(4).alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"))
