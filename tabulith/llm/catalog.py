@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dup, packing, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
+from . import decontaminate, language, near_dup, packing, pii, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,17 @@ def op7_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_pii_boosting(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    likely = F.transform("added", lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
+        digest(pii.named(F.array_sort("base"))).alias("base_sha256"), pii.named(F.array_sort(F.concat("base", likely))).alias("spans"),
+    )
+
+
 @query
 def op9_language_crf(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -43,3 +43,65 @@ def unigram_scores(docs):
 
 def lower(text: str) -> str:
     return text.translate({i: i + 32 for i in range(65, 91)})
+
+
+def personal_spans(text):
+    """Base spans ``(kind, start, end)`` of the contract by kind and start."""
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    text = text or ""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def secret_spans(text):
+    """Base spans ``(kind, start, end)`` of the contract by start and kind."""
+    text = text or ""
+    order = ["assign", "access", "hex"]
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 8:
+            out.append(("assign", *m.span()))
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def contamination(docs, items, window=13):
+    """``docs``: (doc_id, text), ``items``: (item_id, text); the columns of the contract."""
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    sizes = {len(w) for w in wins}
+    out = {}
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                own = wins.get(tuple(w[k : k + n]))
+                if own:
+                    hit |= set(range(k, k + n))
+                    found |= own
+        ids = ",".join(sorted(found))
+        out[d] = (len(w), len(hit), len(found), sha(ids), bool(hit) and 20 * len(hit) >= len(w))
+    return out
