@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .rows import Hashes, hash_words, keyed, mix, pieces, plain_words, signed, stored
+from .rows import Hashes, free, hash_words, keyed, mix, pieces, plain_words, signed, stored
 
 #: Text bytes handled at once by a task.
 PIECE = 2_000_000
@@ -342,14 +342,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = near_duplicate_groups(docs, id_col, text_col, **options)
     if docs.select(id_col).groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
-        gone = groups.where("rid <> component").select(F.col("id").alias("__gone"))
-        return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+        own = free(docs, "gone")
+        gone = groups.where("rid <> component").select(F.col("id").alias(own))
+        return docs.join(gone, docs[id_col].eqNullSafe(F.col(own)), "left_anti")
     text = F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0))
-    order = Window.partitionBy(id_col, text).orderBy(F.lit(1))
-    numbered = docs.withColumn("__copy", F.row_number().over(order)).withColumn("__text", text)
+    copy, mark, own, key, n = (free(docs, c) for c in ("copy", "mark", "own", "key", "held"))
+    numbered = docs.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.lit(1)))).withColumn(mark, text)
     keys = keyed(docs, id_col, text=docs[text_col].cast("string").cast("binary"))
     kept = groups.where("rid = component").select("rid").join(keys, "rid").groupBy(
-        F.col("id").alias("__id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("__t")
-    ).agg(F.count(F.lit(1)).alias("__n"))
-    held = numbered.join(kept, numbered[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")))
-    return held.where("__copy <= __n").select(*docs.columns)
+        F.col("id").alias(own), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias(key)
+    ).agg(F.count(F.lit(1)).alias(n))
+    both = numbered.join(kept, numbered[id_col].eqNullSafe(F.col(own)) & (F.col(mark) == F.col(key)))
+    return both.where(F.col(copy) <= F.col(n)).select(*docs.columns)

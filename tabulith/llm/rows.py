@@ -39,6 +39,14 @@ def keyed(rows: DataFrame, id_col: str, **columns: str | Column) -> DataFrame:
     return cut_lineage(ordered.withColumn("rid", F.monotonically_increasing_id()))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keyed, stored
+from .rows import free, keyed, stored
 
 #: Base patterns in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -139,9 +139,10 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their ``length_col`` with them.  Rows that share an id are masked together.
     """
     found = scan_secrets(docs, id_col, text_col, owner_col)
-    live = found.select("id", F.filter("spans", lambda s: s["live"]).alias("__live")).where(F.size("__live") > 0)
-    live = live.groupBy("id").agg(F.flatten(F.collect_list("__live")).alias("__live"))
-    held = docs.join(live, docs[id_col].eqNullSafe(live["id"]), "left").drop(live["id"])
+    mark, own = free(docs, "live"), free(docs, "owner_id")
+    live = found.select(F.col("id").alias(own), F.filter("spans", lambda s: s["live"]).alias(mark)).where(F.size(mark) > 0)
+    live = live.groupBy(own).agg(F.flatten(F.collect_list(mark)).alias(mark))
+    held = docs.join(live, docs[id_col].eqNullSafe(F.col(own)), "left")
 
     @F.pandas_udf("string")
     def masked(texts, spans):
@@ -158,8 +159,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append("".join([*parts, text[at:]]))
         return type(texts)(out, dtype=object)
 
-    text = F.when(F.col("__live").isNotNull(), masked(F.col(text_col), F.col("__live"))).otherwise(F.col(text_col))
+    text = F.when(F.col(mark).isNotNull(), masked(F.col(text_col), F.col(mark))).otherwise(F.col(text_col))
     new = held.withColumn(text_col, text)
     if length_col:
-        new = new.withColumn(length_col, F.when(F.col("__live").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+        new = new.withColumn(length_col, F.when(F.col(mark).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return new.select(*docs.columns)
