@@ -136,15 +136,13 @@ def chi2_tail(statistic: float, dof: int) -> float:
 
 def chi_square(table: np.ndarray) -> tuple[float, int, float]:
     """Statistic, degrees of freedom and log p-value of a contingency table."""
-    table = np.asarray(table, dtype=float)
-    total = table.sum()
-    if total <= 0:
+    seen = np.asarray(table, dtype=float)
+    seen = seen[seen.any(axis=1)][:, seen.any(axis=0)]
+    if not seen.size:
         return 0.0, 0, 0.0
-    rows, columns = table.sum(axis=1), table.sum(axis=0)
-    expected = np.outer(rows, columns) / total
-    live = expected > 0
-    statistic = float((((table - expected) ** 2)[live] / expected[live]).sum())
-    dof = (int((rows > 0).sum()) - 1) * (int((columns > 0).sum()) - 1)
-    if dof <= 0:
-        return statistic, 0, 0.0
-    return statistic, dof, log_chi2_tail(statistic, dof)
+    n = seen.sum()
+    share_of_row = seen / seen.sum(axis=1, keepdims=True)
+    share_of_column = seen / seen.sum(axis=0)
+    statistic = max(0.0, float(n * ((share_of_row * share_of_column).sum() - 1)))
+    dof = (seen.shape[0] - 1) * (seen.shape[1] - 1)
+    return statistic, dof, log_chi2_tail(statistic, dof) if dof else 0.0

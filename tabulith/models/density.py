@@ -186,10 +186,16 @@ class DensityClusters(Fitted):
     eps: float = 0.5
 
     def transform(self, df: DataFrame) -> DataFrame:
+        known = self.labels.select("row_id", F.col("prediction").alias("trained"))
         if self.cores is None:
-            return df.withColumn("prediction", F.lit(NOISE))
-        near = nearest_core(df, self.cores, self.eps, cluster="prediction")
-        return df.join(near, "row_id")
+            found = df.withColumn("prediction", F.lit(NOISE))
+        else:
+            fresh = df.join(known, "row_id", "left_anti")
+            near = nearest_core(fresh, self.cores, self.eps, cluster="prediction")
+            found = df.join(near, "row_id", "left")
+        return found.join(known, "row_id", "left").withColumn(
+            "prediction", F.coalesce("trained", "prediction").cast("int")
+        ).drop("trained")
 
 
 class DBSCAN(Model):

@@ -14,7 +14,7 @@ from ..session import cut_lineage
 
 
 def connected_components(
-    edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60
+    edges: DataFrame, vertices: DataFrame | None = None
 ) -> DataFrame:
     """``(id, component)`` where the component is its smallest member.
 
@@ -26,7 +26,7 @@ def connected_components(
         .distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_small_star(_large_star(current)))
         state = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
@@ -35,8 +35,6 @@ def connected_components(
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("Components did not settle; raise max_rounds.")
     members = current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         current.select("v", F.col("v").alias("component"))
     ).distinct()

@@ -122,7 +122,7 @@ def train_run(
                         scored.unpersist()
                 results.append(Result(spec.model_key, fitted, metrics))
             except Exception as error:  # noqa: BLE001 - kept per model
-                results.append(Result(spec.model_key, None, {}, f"{type(error).__name__}: {error}"[:500]))
+                results.append(Result(spec.model_key, None, {}, f"{type(error).__name__}: {error}"))
     finally:
         train.unpersist()
         test.unpersist()

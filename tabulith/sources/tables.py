@@ -23,21 +23,26 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header row; missing-value texts become NULL.
 
     With a schema the file is read once.  Without one, a first text-only pass
     decides for every column whether all its values are whole numbers, numbers,
     booleans or text.  Rows with the wrong number of fields fail the read.
+
+    Quoted fields may hold commas, doubled quotes and, with ``multi_line``, line
+    breaks.  A file that may hold line breaks is read by one task; set the argument
+    to False for large files without them.
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    quoting = {"quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(header=True, inferSchema=False, **quoting).csv(path)
     if not header.columns:
         raise ValueError("The CSV has no columns.")
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
     raw = (
         spark.read.schema(text_schema)
-        .options(header=True, mode="FAILFAST", enforceSchema=False)
+        .options(header=True, mode="FAILFAST", enforceSchema=False, **quoting)
         .csv(path)
     )
     cleaned = raw.select(
