@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keyed
+from .rows import keyed, stored
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -93,6 +93,7 @@ def pack(
         "rid", "id", "piece", (F.col("piece").cast("long") * top).alias("start"),
         F.least(F.lit(top).cast("long"), F.col("tokens") - F.col("piece").cast("long") * top).alias("n_tokens"),
     )
+    split = stored(split, "pack-pieces")
     total = split.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard_pieces))
     dealt = split.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("rid", "piece"), F.lit(shards)).cast("int"))
