@@ -230,7 +230,7 @@ def judge(found: DataFrame, share: int = 20) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; same columns.
 
-    Rows with the same id and text stand or fall together.
+    Rows that share an id (or have none) go together if one of them is contaminated.
     """
     bad = judge(find_matches(docs, items, id_col, text_col)).where("contaminated").select("id").distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]), "left_anti")
