@@ -5,16 +5,19 @@ what links reach.  Every link is found, in these steps.
 
 * Each set is ordered by a global order of shingles (frequent ones last); two
   linked sets share one of their first shingles, so only documents that share such
-  a shingle can link.
+  a shingle can link.  A shingle's leader is its smallest document; documents that
+  share a first shingle share its leader, and a document stands under a leader once,
+  however many shingles they share.
 * First, every document is paired with the leader it shares most first shingles
   with, and the pair is verified.  Copies and verified pairs give provisional groups.
-* What remains are shingles whose documents are in several groups.  Their documents
-  form tiles, ordered by set size and cut into bounded blocks; inside a tile only
-  sizes within the threshold's band meet.  Hashed bitmaps of the sets bound the
-  overlap from above by bit counts; pairs of different groups that pass go on, at
-  first the best one for each pair of groups, after the groups have been merged all
-  that are left.
-* Survivors are decided by intersecting the sorted arrays.
+* What remains are leaders with documents of several groups.  Their documents form
+  tiles, ordered by set size and cut into bounded blocks; inside a tile only sizes
+  within the threshold's band meet.  Hashed bitmaps of the sets bound the overlap
+  from above by bit counts; a document goes on if some pair of it with a document
+  of another group may link.
+* The tiles of what went on are laid once more, now with the sorted arrays, whose
+  intersection decides.  A pair already connected inside its tile is skipped, so a
+  tile gives fewer links than it has rows, and never lists its pairs.
 
 Hot shingles are combined before shuffling, long lists are cut into blocks and hot
 keys of joins are left to adaptive execution.  Null, blank and empty texts have an
@@ -41,6 +44,8 @@ PIECE = 2_000_000
 FREQUENT = 0.01
 #: Rows of one block of a tile.
 TILE = 1024
+#: Shingles of one block of a tile, about.
+ITEMS = 2_000_000
 #: Slots of the filter that keeps texts of unwanted documents out of a verification.
 SLOTS = 1 << 24
 
@@ -65,12 +70,11 @@ def shingle_sets(texts: list[bytes | None], width: int, cache: Hashes) -> list[n
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """A bitmap of at least one bit per value, at most 16384 and at least 128 bits."""
-    bits = min(16384, max(128, 1 << max(0, int(len(values)) - 1).bit_length()))
-    at = values & np.uint64(bits - 1)
-    out = np.zeros(bits // 64, np.uint64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    """A bitmap of four to eight bits per value, at least 256 and at most 2**17 bits."""
+    bits = min(1 << 17, max(256, 1 << max(0, 4 * len(values) - 1).bit_length()))
+    flags = np.zeros(bits, bool)
+    flags[(values & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -144,97 +148,177 @@ def _wanted(width: int, slots):
     return wanted
 
 
+def reach(x: np.ndarray, y: np.ndarray, numer: int, denom: int) -> bool:
+    """Exact test of two sorted arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return denom * common >= numer * (len(x) + len(y) - common)
+
+
+def _likely(numer: int, denom: int):
+    """The pairs whose bitmaps do not exclude a link."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "left", "right"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                x, y = folded(x, w), folded(y, w)
+                common, own, other = (int(np.bitwise_count(b).sum()) for b in (x & y, x, y))
+                keep.append(min(m - own, n - other) + common >= -(-numer * (m + n) // (numer + denom)))
+            yield pa.record_batch([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return likely
+
+
 def _decide(numer: int, denom: int):
     """Exact intersection of the two sorted arrays of each pair."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(denom * common >= numer * (len(x) + len(y) - common))
+            keep = [
+                reach(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numer, denom)
+                for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            ]
             yield pa.record_batch([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return decide
 
 
-def tile_pairs(n: np.ndarray, group: np.ndarray, bits: list[np.ndarray], block: np.ndarray | None, numer: int, denom: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(row, other rows, slack)`` of pairs that the bit counts cannot exclude.
+class Stack:
+    """Bitmaps of rows in order of set size, laid out so that a row meets a slice.
 
-    ``n`` ascends.  With ``block``, only rows of different blocks meet.  ``slack``
-    is the bound of the overlap minus the overlap that a link needs.
+    Rows of one width stand together with the rows of the next width, folded; sizes
+    within a threshold of at least one half differ by one width at most, and rows
+    that are wider still are folded as well.
     """
-    words = min(len(b) for b in bits)
-    shape = np.array([len(b) for b in bits])
+
+    def __init__(self, bits: list[np.ndarray]):
+        self.width = np.array([len(b) for b in bits])
+        self.first, self.rows, self.ones = {}, {}, {}
+        for w in np.unique(self.width).tolist():
+            start = int(np.searchsorted(self.width, w))
+            self.first[w] = start
+            self.rows[w] = [folded(b, w) for b in bits[start:]] if w < self.width[-1] else bits[start:]
+            self.rows[w] = np.stack(self.rows[w])
+            self.ones[w] = np.bitwise_count(self.rows[w]).sum(axis=1).astype(np.int64)
+
+    def overlap(self, a: int, n: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Upper bounds of the overlap of row ``a`` with rows ``start`` to ``end``."""
+        w = int(self.width[a])
+        rows, ones, first = self.rows[w], self.ones[w], self.first[w]
+        common = np.bitwise_count(rows[start - first : end - first] & rows[a - first]).sum(axis=1).astype(np.int64)
+        return common + np.minimum(n[a] - ones[a - first], n[start:end] - ones[start - first : end - first])
+
+
+def tile_survivors(n: np.ndarray, group: np.ndarray, mask: np.ndarray, bits: list[np.ndarray], block: np.ndarray | None, numer: int, denom: int) -> np.ndarray:
+    """Rows that may link with a row of another group; ``n`` ascends.
+
+    ``mask`` has a bit for each first shingle of the row under this leader; pairs
+    without a common bit share none.  With ``block``, only rows of different blocks
+    meet.
+    """
+    stack, alive = Stack(bits), np.zeros(len(n), bool)
+    ends = np.searchsorted(n, n * denom // numer, "right")
     for a in range(len(n) - 1):
-        end = int(np.searchsorted(n, n[a] * denom // numer, "right"))
-        other = np.arange(a + 1, max(a + 1, end))
-        other = other[group[other] != group[a]]
+        start, end = a + 1, int(ends[a])
+        if start >= end:
+            continue
+        meets = (group[start:end] != group[a]) & ((mask[start:end] & mask[a]) != 0)
         if block is not None:
-            other = other[block[other] != block[a]]
-        if not len(other):
+            meets &= block[start:end] != block[a]
+        if not meets.any():
             continue
-        for words in np.unique(shape[other]):
-            some = other[shape[other] == words]
-            w = min(int(words), len(bits[a]))
-            mine = folded(bits[a], w)
-            theirs = np.stack([folded(bits[o], w) for o in some])
-            only_a = np.bitwise_count(mine & ~theirs).sum(axis=1).astype(np.int64)
-            only_b = np.bitwise_count(theirs & ~mine).sum(axis=1).astype(np.int64)
-            most = np.minimum(n[a] - only_a, n[some] - only_b)
-            need = -(-numer * (n[a] + n[some]) // (numer + denom))
-            ok = most >= need
-            if ok.any():
-                yield a, some[ok], (most - need)[ok]
-
-
-def _tiles(numer: int, denom: int, best_only: bool):
-    """Walks tiles (rows sorted by tile and size) and gives the surviving pairs."""
+        need = -(-numer * (n[a] + n[start:end]) // (numer + denom))
+        ok = meets & (stack.overlap(a, n, start, end) >= need)
+        if ok.any():
+            alive[a] = True
+            alive[start:end] |= ok
+    return alive
+
+
+def tile_links(n: np.ndarray, group: np.ndarray, sets: list[np.ndarray], block: np.ndarray | None, numer: int, denom: int) -> list[tuple[int, int]]:
+    """Exact links that connect the groups of a tile, no more than connect them."""
+    names, root = np.unique(group, return_inverse=True)
+    ends, links = np.searchsorted(n, n * denom // numer, "right"), []
+    for a in range(len(n) - 1):
+        at, end = a + 1, int(ends[a])
+        while at < end and len(names) > 1:
+            open_ = root[at:end] != root[a]
+            if block is not None:
+                open_ &= block[at:end] != block[a]
+            for b in (np.flatnonzero(open_) + at).tolist():
+                at = b + 1
+                if reach(sets[a], sets[b], numer, denom):
+                    links.append((a, b))
+                    root[root == root[b]] = root[a]
+                    break
+            else:
+                break
+    return links
+
+
+def _walk(finish):
+    """Hands each tile (rows sorted by leader, block pair and size) to ``finish``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-
-        def finish():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            n, group, rid = (rows.column(c).to_numpy() for c in ("n", "component", "rid"))
-            if len(np.unique(group)) < 2:
-                return
-            bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
-            block = rows.column("block").to_numpy() if key[1] != key[2] else None
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            src, dst = [], []
-            for a, other, slack in tile_pairs(n, group, bits, block, numer, denom):
-                if best_only:
-                    for o, s in zip(other.tolist(), slack.tolist()):
-                        g = (min(group[a], group[o]), max(group[a], group[o]))
-                        best[g] = max(best.get(g, (-1, 0, 0)), (s, int(rid[a]), int(rid[o])))
-                else:
-                    src.append(np.full(len(other), rid[a]))
-                    dst.append(rid[other])
-            if best:
-                src, dst = [np.array([v[1] for v in best.values()])], [np.array([v[2] for v in best.values()])]
-            if src:
-                yield pa.record_batch([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
-
         for batch in batches:
-            t, i, j = (batch.column(c).to_numpy() for c in ("token", "i", "j"))
+            t, i, j = (batch.column(c).to_numpy() for c in ("leader", "i", "j"))
             cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for s, e in zip(np.r_[0, cut], np.r_[cut, len(t)]):
                 if s == e:
                     continue
                 now = (t[s], i[s], j[s])
                 if now != key and held:
-                    yield from finish()
+                    yield from finish(key, pa.Table.from_batches(held).combine_chunks())
                     held = []
                 key = now
                 held.append(batch.slice(int(s), int(e - s)))
         if held:
-            yield from finish()
+            yield from finish(key, pa.Table.from_batches(held).combine_chunks())
 
     return walk
 
 
+def _columns(key, rows):
+    n, group, rid, block = (rows.column(c).to_numpy() for c in ("n", "component", "rid", "block"))
+    return n, group, rid, block if key[1] != key[2] else None
+
+
+def _survivors(numer: int, denom: int):
+    """The rows of each tile that some pair may link."""
+
+    def finish(key, rows):
+        n, group, rid, block = _columns(key, rows)
+        if group.min() == group.max():
+            return
+        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
+        alive = tile_survivors(n, group, rows.column("mask").to_numpy(), bits, block, numer, denom)
+        for batch in rows.filter(pa.array(alive)).select(["leader", "i", "j", "block", "n", "rid", "component"]).to_batches():
+            yield batch
+
+    return _walk(finish)
+
+
+def _links(numer: int, denom: int):
+    """The links that connect the groups of each tile."""
+
+    def finish(key, rows):
+        n, group, rid, block = _columns(key, rows)
+        sets = [np.frombuffer(b, np.uint64) for b in rows.column("tokens").to_pylist()]
+        links = tile_links(n, group, sets, block, numer, denom)
+        if links:
+            at = np.array(links)
+            yield pa.record_batch([pa.array(rid[at[:, 0]]), pa.array(rid[at[:, 1]])], ["src", "dst"])
+
+    return _walk(finish)
+
+
 class NearDuplicates:
     """The join over one table; ``groups()`` gives the result."""
 
@@ -262,66 +346,93 @@ class NearDuplicates:
         order = np.argsort(tokens)
         return tokens[order], ranks[order]
 
-    def members(self) -> DataFrame:
-        """``token, rid, n, leader, size`` of first shingles that several sets share."""
+    def copies(self) -> DataFrame:
+        """``src, dst``: the first document with a set, and each later one."""
+        full = self.profiles.where("n > 0")
+        first = full.groupBy("digest").agg(F.min("rid").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "src")
+        return stored(full.select("digest", F.col("rid").alias("dst")).join(first, "digest").where("src <> dst").select("src", "dst"), "near-copies")
+
+    def members(self, copies: DataFrame) -> DataFrame:
+        """``leader, rid, n, votes, mask``: once for each document under a leader.
+
+        ``votes`` counts the first shingles under the leader, ``mask`` hashes them.
+        Copies are left out but for the first.
+        """
         heavy = self.spark.sparkContext.broadcast(self.frequent())
         lead = self.given.select("rid", "text").mapInArrow(_leading(self.width, self.numer, self.denom, heavy), "token long, rid long, n int")
+        lead = lead.join(copies.select(F.col("dst").alias("rid")), "rid", "left_anti")
         shared = lead.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rid")).alias("low")).where("size > 1")
-        return stored(lead.join(shared.select("token", "size", F.col("low.rid").alias("leader")), "token"), "near-members")
+        return stored(lead.join(shared.select("token", F.col("low.rid").alias("leader")), "token").groupBy("leader", "rid").agg(
+            F.min("n").cast("long").alias("n"), F.count(F.lit(1)).alias("votes"), F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("mask")
+        ), "near-members")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``src, dst`` whose sets reach the threshold."""
-        pairs = stored(pairs, "near-pairs")
+    def arrays(self, rids: DataFrame) -> DataFrame:
+        """``rid, tokens`` of at least the documents in ``rids``.
+
+        A fixed number of slots is marked, so that the sets of most other documents
+        are not built.
+        """
         slot = F.pmod(F.xxhash64("rid"), F.lit(SLOTS)).cast("int")
-        ends = pairs.select(F.explode(F.array("src", "dst")).alias("rid")).select(slot.alias("slot"))
+        ends = rids.select(slot.alias("slot"))
         marks = ends.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
         filled = np.zeros(SLOTS // 64, np.uint64)
         filled[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
         slots = self.spark.sparkContext.broadcast(filled)
-        sets = self.given.select("rid", slot.alias("slot"), "text").mapInArrow(_wanted(self.width, slots), "rid long, tokens binary")
+        return self.given.select("rid", slot.alias("slot"), "text").mapInArrow(_wanted(self.width, slots), "rid long, tokens binary")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``src, dst`` whose sets reach the threshold."""
+        left = self.profiles.select(F.col("rid").alias("src"), F.col("n").alias("m"), F.col("bits").alias("left"))
+        right = self.profiles.select(F.col("rid").alias("dst"), "n", F.col("bits").alias("right"))
+        banded = pairs.join(left, "src").join(right, "dst").where(
+            (F.col("m") * self.denom >= F.col("n") * self.numer) & (F.col("n") * self.denom >= F.col("m") * self.numer)
+        )
+        pairs = stored(banded.select("src", "dst", "m", "n", "left", "right").mapInArrow(
+            _likely(self.numer, self.denom), "src long, dst long"
+        ), "near-pairs")
+        sets = self.arrays(pairs.select(F.explode(F.array("src", "dst")).alias("rid")))
         left = sets.select(F.col("rid").alias("src"), F.col("tokens").alias("left"))
         right = sets.select(F.col("rid").alias("dst"), F.col("tokens").alias("right"))
         return stored(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(
             _decide(self.numer, self.denom), "src long, dst long"
         ), "near-links")
 
-    def across(self, members: DataFrame, components: DataFrame, best_only: bool) -> DataFrame:
-        """Surviving pairs of different components that share a first shingle."""
+    def across(self, members: DataFrame, components: DataFrame) -> DataFrame:
+        """Links that connect the different components under each leader."""
         known = members.join(components.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
             "component", F.coalesce("component", "rid")
         )
-        mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        rows = known.join(mixed, "token").join(self.profiles.select("rid", "bits"), "rid")
-        blocks = F.ceil(F.col("size") / TILE).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+        mixed = known.groupBy("leader").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")
+        ).where("low < high").select("leader", F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / ITEMS)).cast("int").alias("blocks"))
+        rows = known.join(mixed, "leader").join(self.profiles.select("rid", "bits"), "rid")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         ).select(
-            "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-            F.col("n").cast("long").alias("n"), "rid", "component", "bits",
+            "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+            "n", "rid", "component", "mask", "bits",
         )
-        tile = ["token", "i", "j"]
-        return rows.repartition(*tile).sortWithinPartitions(*tile, "n", "rid").mapInArrow(
-            _tiles(self.numer, self.denom, best_only), "src long, dst long"
-        ).distinct()
+        tile = ["leader", "i", "j"]
+        alive = stored(rows.repartition(*tile).sortWithinPartitions(*tile, "n", "rid").mapInArrow(
+            _survivors(self.numer, self.denom), "leader long, i int, j int, block int, n long, rid long, component long"
+        ), "near-survivors")
+        full = alive.join(self.arrays(alive.select("rid")), "rid")
+        return stored(full.repartition(*tile).sortWithinPartitions(*tile, "n", "rid").mapInArrow(
+            _links(self.numer, self.denom), "src long, dst long"
+        ), "near-links")
 
     def groups(self) -> DataFrame:
         """``rid, id, n, component``; the component is the smallest ``rid`` of the group."""
-        members = self.members()
-        first = self.profiles.where("n > 0").groupBy("digest").agg(F.min("rid").alias("src"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-        links = self.profiles.where("n > 0").join(first, "digest").where("rid <> src").select("src", F.col("rid").alias("dst"))
-        votes = members.where("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("votes"))
-        order = Window.partitionBy("rid").orderBy(F.col("votes").desc(), "leader")
-        pairs = votes.withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("leader").alias("src"), F.col("rid").alias("dst"))
-        links = links.unionByName(self.verified(pairs))
-        for best_only in (True, False):
-            components = connected_components(links)
-            links = components.select(F.col("component").alias("src"), F.col("id").alias("dst")).where("src <> dst").unionByName(
-                self.verified(self.across(members, components, best_only))
-            )
-        components = connected_components(links)
-        return self.profiles.select("rid", "id", "n").join(
-            components.select(F.col("id").alias("rid"), "component"), "rid", "left"
-        ).withColumn("component", F.coalesce("component", "rid"))
+        copies = self.copies()
+        members = self.members(copies)
+        best = members.where("rid <> leader").groupBy("rid").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
+        links = self.verified(best.select((-F.col("best.low")).alias("src"), F.col("rid").alias("dst")))
+        links = links.unionByName(self.across(members, connected_components(links)))
+        found = connected_components(links).select(F.col("id").alias("src"), "component")
+        first = self.profiles.select("rid", "id", "n").join(copies.select(F.col("dst").alias("rid"), "src"), "rid", "left").withColumn(
+            "src", F.coalesce("src", "rid")
+        )
+        return first.join(found, "src", "left").select("rid", "id", "n", F.coalesce("component", "src").alias("component"))
 
 
 def near_duplicate_groups(
