@@ -7,7 +7,8 @@ what links reach.  Every link is found, in these steps.
   linked sets share one of their first shingles, so only documents that share such
   a shingle can link.  A shingle's leader is its smallest document; documents that
   share a first shingle share its leader, and a document stands under a leader once,
-  however many shingles they share.
+  however many shingles they share.  What is left of a set after a shingle bounds
+  the overlap of pairs whose first shared shingle it is, and so their sizes.
 * First, every document is paired with the leader it shares most first shingles
   with, and the pair is verified.  Copies and verified pairs give provisional groups.
 * What remains are leaders with documents of several groups.  Their documents form
@@ -103,7 +104,12 @@ def _profile(width: int):
 
 
 def _leading(width: int, numer: int, denom: int, heavy):
-    """``(token, rid, n)`` for the first shingles of every set; copies in a piece once."""
+    """``(token, rid, n, most)`` for the first shingles of every set; copies in a piece once.
+
+    If the shingle is the first that two sets share, the overlap is at most what is
+    left of the set from there on; ``most`` is the largest size of the other set at
+    which that can still reach the threshold.
+    """
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
@@ -112,7 +118,7 @@ def _leading(width: int, numer: int, denom: int, heavy):
             sets = shingle_sets(batch.column("text").to_pylist(), width, cache)
             rid = batch.column("rid").to_numpy()
             seen: set[bytes] = set()
-            out_t, out_r, out_n = [], [], []
+            out_t, out_r, out_n, out_m = [], [], [], []
             for k in np.argsort(rid, kind="stable"):
                 s = sets[k]
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -127,8 +133,9 @@ def _leading(width: int, numer: int, denom: int, heavy):
                 out_t.append(s[:first])
                 out_r.append(np.full(first, rid[k]))
                 out_n.append(np.full(first, len(s), np.int32))
+                out_m.append(((len(s) - np.arange(first)) * (numer + denom) // numer - len(s)).astype(np.int32))
             if out_t:
-                yield pa.record_batch([pa.array(signed(np.concatenate(out_t))), pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_n))], ["token", "rid", "n"])
+                yield pa.record_batch([pa.array(signed(np.concatenate(out_t))), pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_m))], ["token", "rid", "n", "most"])
 
     return leading
 
@@ -353,17 +360,23 @@ class NearDuplicates:
         return stored(full.select("digest", F.col("rid").alias("dst")).join(first, "digest").where("src <> dst").select("src", "dst"), "near-copies")
 
     def members(self, copies: DataFrame) -> DataFrame:
-        """``leader, rid, n, votes, mask``: once for each document under a leader.
+        """``leader, rid, votes, mask``: once for each document under a leader.
 
         ``votes`` counts the first shingles under the leader, ``mask`` hashes them.
-        Copies are left out but for the first.
+        Copies are left out but for the first.  Of a pair, the smaller set has the
+        first shared shingle where ``most`` still allows its own size, so only such
+        rows can lead; other rows stay if ``most`` allows the leader's size, the
+        smallest partner they can have there.
         """
         heavy = self.spark.sparkContext.broadcast(self.frequent())
-        lead = self.given.select("rid", "text").mapInArrow(_leading(self.width, self.numer, self.denom, heavy), "token long, rid long, n int")
+        lead = self.given.select("rid", "text").mapInArrow(_leading(self.width, self.numer, self.denom, heavy), "token long, rid long, n int, most int")
         lead = lead.join(copies.select(F.col("dst").alias("rid")), "rid", "left_anti")
-        shared = lead.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rid")).alias("low")).where("size > 1")
-        return stored(lead.join(shared.select("token", F.col("low.rid").alias("leader")), "token").groupBy("leader", "rid").agg(
-            F.min("n").cast("long").alias("n"), F.count(F.lit(1)).alias("votes"), F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("mask")
+        low = lead.where("most >= n").groupBy("token").agg(F.min(F.struct("n", "rid")).alias("low")).select(
+            "token", F.col("low.n").alias("least"), F.col("low.rid").alias("leader")
+        )
+        under = lead.select("token", "rid", "most").join(low, "token").where("rid <> leader and most >= least")
+        return stored(under.groupBy("leader", "rid").agg(
+            F.count(F.lit(1)).alias("votes"), F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("mask")
         ), "near-members")
 
     def arrays(self, rids: DataFrame) -> DataFrame:
@@ -399,6 +412,8 @@ class NearDuplicates:
 
     def across(self, members: DataFrame, components: DataFrame) -> DataFrame:
         """Links that connect the different components under each leader."""
+        leaders = members.select("leader").distinct().select("leader", F.col("leader").alias("rid"), F.lit(-1).cast("long").alias("mask"))
+        members = members.select("leader", "rid", "mask").unionByName(leaders).join(self.profiles.select("rid", "n"), "rid")
         known = members.join(components.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
             "component", F.coalesce("component", "rid")
         )
@@ -425,7 +440,7 @@ class NearDuplicates:
         """``rid, id, n, component``; the component is the smallest ``rid`` of the group."""
         copies = self.copies()
         members = self.members(copies)
-        best = members.where("rid <> leader").groupBy("rid").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
+        best = members.groupBy("rid").agg(F.max(F.struct("votes", (-F.col("leader")).alias("low"))).alias("best"))
         links = self.verified(best.select((-F.col("best.low")).alias("src"), F.col("rid").alias("dst")))
         links = links.unionByName(self.across(members, connected_components(links)))
         found = connected_components(links).select(F.col("id").alias("src"), "component")
