@@ -13,11 +13,12 @@ what links reach.  Every link is found, in these steps.
   with, and the pair is verified.  Copies and verified pairs give provisional groups.
 * What remains are leaders with documents of several groups.  Their documents form
   tiles, ordered by set size and cut into bounded blocks; inside a tile only sizes
-  within the threshold's band meet.  Hashed bitmaps of the sets bound the overlap
-  from above by bit counts; a document goes on if some pair of it with a document
-  of another group may link.
-* The tiles of what went on are laid once more, now with the sorted arrays, whose
-  intersection decides.  A pair already connected inside its tile is skipped, so a
+  within the threshold's band meet, and only if each is within the size the other's
+  first shingles there allow.  A document goes on if some document of another group
+  meets it so.
+* The tiles of what went on are laid again with hashed bitmaps of the sets, whose bit
+  counts bound the overlap from above, and what these leave once more with the sorted
+  arrays, whose intersection decides.  A pair already connected inside its tile is skipped, so a
   tile gives fewer links than it has rows, and never lists its pairs.
 
 Hot shingles are combined before shuffling, long lists are cut into blocks and hot
@@ -222,29 +223,35 @@ class Stack:
         return common + np.minimum(n[a] - ones[a - first], n[start:end] - ones[start - first : end - first])
 
 
-def tile_survivors(n: np.ndarray, group: np.ndarray, mask: np.ndarray, bits: list[np.ndarray], block: np.ndarray | None, numer: int, denom: int) -> np.ndarray:
+def tile_survivors(
+    n: np.ndarray, group: np.ndarray, mask: np.ndarray, most: np.ndarray, bits: list[np.ndarray] | None, block: np.ndarray | None,
+    numer: int, denom: int,
+) -> np.ndarray:
     """Rows that may link with a row of another group; ``n`` ascends.
 
     ``mask`` has a bit for each first shingle of the row under this leader; pairs
-    without a common bit share none.  With ``block``, only rows of different blocks
-    meet.
+    without a common bit share none.  ``most`` is the largest partner these shingles
+    allow.  With ``block``, only rows of different blocks meet.  Without ``bits``, no
+    overlap is bounded.
     """
-    stack, alive = Stack(bits), np.zeros(len(n), bool)
+    stack, alive = Stack(bits) if bits is not None else None, np.zeros(len(n), bool)
     ends = np.searchsorted(n, n * denom // numer, "right")
     for a in range(len(n) - 1):
         start, end = a + 1, int(ends[a])
         if start >= end:
             continue
         meets = (group[start:end] != group[a]) & ((mask[start:end] & mask[a]) != 0)
+        meets &= (n[start:end] <= most[a]) & (most[start:end] >= n[a])
         if block is not None:
             meets &= block[start:end] != block[a]
         if not meets.any():
             continue
-        need = -(-numer * (n[a] + n[start:end]) // (numer + denom))
-        ok = meets & (stack.overlap(a, n, start, end) >= need)
-        if ok.any():
+        if stack is not None:
+            need = -(-numer * (n[a] + n[start:end]) // (numer + denom))
+            meets &= stack.overlap(a, n, start, end) >= need
+        if meets.any():
             alive[a] = True
-            alive[start:end] |= ok
+            alive[start:end] |= meets
     return alive
 
 
@@ -297,17 +304,21 @@ def _columns(key, rows):
     return n, group, rid, block if key[1] != key[2] else None
 
 
-def _survivors(numer: int, denom: int):
-    """The rows of each tile that some pair may link."""
+#: Columns of a tile's row.
+TILED = {"leader": "long", "i": "int", "j": "int", "block": "int", "n": "long", "rid": "long", "component": "long", "mask": "long", "most": "int"}
+
+
+def _survivors(numer: int, denom: int, with_bits: bool):
+    """The rows of each tile that some pair may link, by sizes or also by bitmaps."""
 
     def finish(key, rows):
         n, group, rid, block = _columns(key, rows)
         if group.min() == group.max():
             return
-        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
-        alive = tile_survivors(n, group, rows.column("mask").to_numpy(), bits, block, numer, denom)
-        for batch in rows.filter(pa.array(alive)).select(["leader", "i", "j", "block", "n", "rid", "component"]).to_batches():
-            yield batch
+        bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()] if with_bits else None
+        mask, most = (rows.column(c).to_numpy() for c in ("mask", "most"))
+        alive = tile_survivors(n, group, mask, most, bits, block, numer, denom)
+        yield from rows.filter(pa.array(alive)).select(list(TILED)).to_batches()
 
     return _walk(finish)
 
@@ -360,9 +371,10 @@ class NearDuplicates:
         return stored(full.select("digest", F.col("rid").alias("dst")).join(first, "digest").where("src <> dst").select("src", "dst"), "near-copies")
 
     def members(self, copies: DataFrame) -> DataFrame:
-        """``leader, rid, votes, mask``: once for each document under a leader.
+        """``leader, rid, votes, mask, most``: once for each document under a leader.
 
-        ``votes`` counts the first shingles under the leader, ``mask`` hashes them.
+        ``votes`` counts the first shingles under the leader, ``mask`` hashes them,
+        ``most`` is the largest partner that one of them allows.
         Copies are left out but for the first.  Of a pair, the smaller set has the
         first shared shingle where ``most`` still allows its own size, so only such
         rows can lead; other rows stay if ``most`` allows the leader's size, the
@@ -376,7 +388,7 @@ class NearDuplicates:
         )
         under = lead.select("token", "rid", "most").join(low, "token").where("rid <> leader and most >= least")
         return stored(under.groupBy("leader", "rid").agg(
-            F.count(F.lit(1)).alias("votes"), F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("mask")
+            F.count(F.lit(1)).alias("votes"), F.expr("bit_or(shiftleft(1L, int(token & 63)))").alias("mask"), F.max("most").alias("most")
         ), "near-members")
 
     def arrays(self, rids: DataFrame) -> DataFrame:
@@ -411,26 +423,31 @@ class NearDuplicates:
         ), "near-links")
 
     def across(self, members: DataFrame, components: DataFrame) -> DataFrame:
-        """Links that connect the different components under each leader."""
-        leaders = members.select("leader").distinct().select("leader", F.col("leader").alias("rid"), F.lit(-1).cast("long").alias("mask"))
-        members = members.select("leader", "rid", "mask").unionByName(leaders).join(self.profiles.select("rid", "n"), "rid")
+        """Links that connect the different components under each leader.
+
+        The leader itself allows any shingle and any size.
+        """
+        leaders = members.select("leader").distinct().select(
+            "leader", F.col("leader").alias("rid"), F.lit(-1).cast("long").alias("mask"), F.lit((1 << 31) - 1).alias("most")
+        )
+        members = members.select("leader", "rid", "mask", "most").unionByName(leaders).join(self.profiles.select("rid", "n"), "rid")
         known = members.join(components.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
             "component", F.coalesce("component", "rid")
         )
         mixed = known.groupBy("leader").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")
         ).where("low < high").select("leader", F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / ITEMS)).cast("int").alias("blocks"))
-        rows = known.join(mixed, "leader").join(self.profiles.select("rid", "bits"), "rid")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn(
+        rows = known.join(mixed, "leader").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        ).select(
-            "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-            "n", "rid", "component", "mask", "bits",
-        )
-        tile = ["leader", "i", "j"]
-        alive = stored(rows.repartition(*tile).sortWithinPartitions(*tile, "n", "rid").mapInArrow(
-            _survivors(self.numer, self.denom), "leader long, i int, j int, block int, n long, rid long, component long"
-        ), "near-survivors")
+        ).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*TILED)
+        tile, kinds = ["leader", "i", "j"], ", ".join(f"{k} {t}" for k, t in TILED.items())
+
+        def survivors(rows: DataFrame, with_bits: bool) -> DataFrame:
+            laid = rows.repartition(*tile).sortWithinPartitions(*tile, "n", "rid")
+            return stored(laid.mapInArrow(_survivors(self.numer, self.denom, with_bits), kinds), "near-survivors")
+
+        alive = survivors(rows, False)
+        alive = survivors(alive.join(self.profiles.select("rid", "bits"), "rid"), True)
         full = alive.join(self.arrays(alive.select("rid")), "rid")
         return stored(full.repartition(*tile).sortWithinPartitions(*tile, "n", "rid").mapInArrow(
             _links(self.numer, self.denom), "src long, dst long"
