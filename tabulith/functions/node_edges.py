@@ -26,19 +26,19 @@ Place = Callable[[np.ndarray], np.ndarray]
 
 
 def cut(values: np.ndarray, n_bins: int) -> np.ndarray:
-    """Edges of sorted values: midpoints of few distinct ones, else quantiles."""
-    distinct = np.unique(values)
-    if len(distinct) <= 1:
-        return np.empty(0)
-    if len(distinct) <= n_bins:
-        return (distinct[:-1] + distinct[1:]) / 2.0
-    return clean(np.quantile(values, np.arange(1, n_bins) / n_bins), distinct[0], distinct[-1])
+    """Edges from counted values: one in each gap if they are few, else by rank."""
+    value, n = np.unique(values, return_counts=True)
+    if len(value) <= n_bins:
+        return value[:-1] + np.diff(value) / 2.0
+    rank, upto = np.arange(1, n_bins) / n_bins * (n.sum() - 1), np.cumsum(n)
+    below, above = (value[np.searchsorted(upto, r, side="right")] for r in (np.floor(rank), np.ceil(rank)))
+    return within(below + (above - below) * (rank - np.floor(rank)), value[0], value[-1])
 
 
-def clean(inner: np.ndarray, low: float, high: float) -> np.ndarray:
-    inner = np.unique(inner)
-    inner = inner[(inner >= low) & (inner < high)]
-    return inner if len(inner) else np.array([(low + high) / 2.0])
+def within(edges, low: float, high: float) -> np.ndarray:
+    """Distinct edges that leave values on both sides, ascending; the middle if there are none."""
+    kept = sorted({float(e) for e in edges if low <= e < high})
+    return np.array(kept or [low + (high - low) / 2.0])
 
 
 def blocks(batches, matrix, rows: int = 65_536):
@@ -285,7 +285,7 @@ def _large(rows, d, place, sizes, n_bins, direct, exact):
     if not exact:
         for key, items in done.items():
             lo, hi, _ = limits[key]
-            result[key] = clean(np.array([b.hi for b in items]), lo, hi)
+            result[key] = within([b.hi for b in items], lo, hi)
         return result
     wide = {
         key: np.array(sorted((b.lo, b.hi) for b in items if b.lo < b.hi)) for key, items in done.items()
@@ -314,5 +314,5 @@ def _large(rows, d, place, sizes, n_bins, direct, exact):
         low, high = np.floor(position).astype(int), np.ceil(position).astype(int)
         a = np.array([known[r] for r in low])
         b = np.array([known[r] for r in high])
-        result[key] = clean(a + (b - a) * (position - low), lo, hi)
+        result[key] = within(a + (b - a) * (position - low), lo, hi)
     return result

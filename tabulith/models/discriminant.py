@@ -178,99 +178,94 @@ COVARIANCE_DIFFERENCE = 0.35
 HIGH_CORRELATION = 0.95
 
 
-def diagnostics(stats: list[ClassStats], overall: ClassStats) -> dict[str, Any]:
-    """Ranks, condition numbers and covariance difference of small matrices."""
-
-    def rank(m):
-        return None if m is None else int(np.linalg.matrix_rank(m))
-
-    def condition(m):
-        if m is None:
-            return None
-        value = float(np.linalg.cond(m))
-        return value if math.isfinite(value) else None
-
-    variances = np.diag(overall.cov) * (overall.n - 1) / overall.n
-    pooled = difference = None
-    if all(s.cov is not None for s in stats) and overall.n > len(stats):
-        pooled = pooled_covariance(stats)
-        scale = max(float(np.linalg.norm(pooled)), float(np.finfo(float).eps))
-        difference = float(np.mean([np.linalg.norm(s.cov - pooled) / scale for s in stats]))
+def spread_of(stats: list[ClassStats], overall: ClassStats) -> dict[str, Any]:
+    """Facts of the covariance matrices; ``None`` where a matrix is not defined."""
+    known = [s.cov for s in stats if s.cov is not None]
+    whole = len(known) == len(stats) and overall.n > len(stats)
+    pooled = pooled_covariance(stats) if whole else None
+    matrices = [pooled, *(s.cov for s in stats)]
+    ranks = [None if m is None else int(np.linalg.matrix_rank(m)) for m in matrices]
+    conditions = [None if m is None else float(np.linalg.cond(m)) for m in matrices]
+    conditions = [c if c is not None and math.isfinite(c) else None for c in conditions]
+    tiny = float(np.finfo(float).eps)
+    difference = None
+    if whole:
+        apart = np.linalg.norm(np.stack(known) - pooled, axis=(1, 2))
+        difference = float(apart.mean() / max(np.linalg.norm(pooled), tiny))
+    variance = overall.cov.diagonal() * (1 - 1 / overall.n)
     return {
-        "constant_features": [int(j) for j in np.flatnonzero(variances <= np.finfo(float).eps)],
-        "max_correlation": max_correlation(overall),
-        "pooled_rank": rank(pooled), "pooled_condition": condition(pooled),
-        "class_ranks": [rank(s.cov) for s in stats],
-        "class_conditions": [condition(s.cov) for s in stats],
-        "covariance_difference": difference,
+        "constant_features": np.flatnonzero(variance <= tiny).tolist(), "max_correlation": max_correlation(overall),
+        "pooled_rank": ranks[0], "pooled_condition": conditions[0],
+        "class_ranks": ranks[1:], "class_conditions": conditions[1:], "covariance_difference": difference,
     }
 
 
+def suitability_rules(
+    df: DataFrame, k: int = 5, reg_param: float = 0.0, facts: dict[str, Any] | None = None,
+    stats: list[ClassStats] | None = None,
+) -> DataFrame:
+    """``model, rule, value, low, high, blocks, broken``: what each discriminant asks of the rows.
+
+    A rule is broken where its value is known and leaves ``low .. high``; ``blocks``
+    tells whether that rules the model out.  The rules of ``both`` bind each model,
+    those of ``comparison`` only the cross-validated comparison.
+    """
+    from ..operators.profile import LOWER_SHARE, UPPER_SHARE
+
+    stats = stats or class_covariances(df)
+    facts = facts or spread_of(stats, class_covariances(df, None)[0])
+    rows, d = [s.n for s in stats], len(stats[0].mean)
+    strict = reg_param == 0.0
+    table = [
+        ("both", "rows of the smallest class", min(rows), 2, None, True),
+        ("both", "constant features", len(facts["constant_features"]), None, 0, True),
+        ("both", "largest feature correlation", facts["max_correlation"], None, HIGH_CORRELATION, False),
+        ("both", "share of the smallest class", min(rows) / sum(rows), LOWER_SHARE, None, False),
+        ("both", "share of the largest class", max(rows) / sum(rows), None, UPPER_SHARE, False),
+        ("comparison", "rows of the smallest class for the folds", min(rows), k, None, True),
+        ("LDA", "rank of the pooled covariance", facts["pooled_rank"], d, None, False),
+        ("LDA", "covariance difference", facts["covariance_difference"], None, COVARIANCE_DIFFERENCE, False),
+        ("QDA", "rows of a class in a training fold", min(n - -(-n // k) for n in rows), d + 1, None, strict),
+        ("QDA", "least rank of a class covariance", min(r or 0 for r in facts["class_ranks"]), d, None, strict),
+    ]
+    given = [tuple(None if v is None else float(v) if 2 <= i <= 4 else v for i, v in enumerate(row)) for row in table]
+    rules = df.sparkSession.createDataFrame(given, "model string, rule string, value double, low double, high double, blocks boolean")
+    return rules.withColumn("broken", F.coalesce((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.lit(False)))
+
+
 def analyze_suitability(
     df: DataFrame, k: int = 5, reg_param: float = 0.0, confirmed: bool = False
 ) -> dict[str, Any]:
-    """Whether ``(label, features)`` rows can support the discriminants, and why not."""
-    from ..operators.profile import LOWER_SHARE, UPPER_SHARE, is_numeric
+    """Whether ``(label, features)`` rows can support the discriminants, and which rules they break."""
+    from ..operators.profile import is_numeric
 
     if k < 2:
         raise ValueError("k must be at least 2.")
-    n = df.count()
-    limit = max(20, math.isqrt(n))
-    counted = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    numeric = is_numeric(df.schema["label"])
-    classes = counted.limit(limit + 1).count() if numeric and not confirmed else None
-    if classes is not None and classes > limit:
-        kind = "regression_like"
-    else:
-        classes = counted.count()
-        kind = "classification" if confirmed or classes >= 2 else "invalid"
+    sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    n, classes = sizes["rows"] or 0, sizes["classes"]
+    many = not confirmed and is_numeric(df.schema["label"]) and classes > max(20, math.isqrt(n))
+    kind = "regression_like" if many else "classification" if confirmed or classes >= 2 else "invalid"
     report: dict[str, Any] = {"n_rows": n, "n_classes": classes, "target_kind": kind}
-    if kind != "classification" or classes < 2:
-        report.update(lda_suitable=False, qda_suitable=False, can_compare=False,
-                      structural_preference=None, lda_warnings=[], qda_warnings=[], diagnostics=None)
-        return report
+    if many or classes < 2:
+        nothing = {"lda_warnings": [], "qda_warnings": [], "structural_preference": None, "diagnostics": None}
+        return report | nothing | dict.fromkeys(("lda_suitable", "qda_suitable", "can_compare"), False)
     stats = class_covariances(df)
-    overall = class_covariances(df, None)[0]
-    facts = diagnostics(stats, overall)
-    counts = [s.n for s in stats]
-    d = len(overall.mean)
-    imbalanced = any(c / n < LOWER_SHARE or c / n > UPPER_SHARE for c in counts)
-    shared, lda_only, qda_only = [], [], []
-    lda_ok = qda_ok = min(counts) >= 2
-    if min(counts) < 2:
-        shared.append("a class has fewer than two rows")
-    if facts["constant_features"]:
-        lda_ok = qda_ok = False
-        shared.append("constant features")
-    if facts["max_correlation"] is not None and facts["max_correlation"] > HIGH_CORRELATION:
-        shared.append("very high feature correlation")
-    if imbalanced:
-        shared.append("class imbalance")
-    if facts["pooled_rank"] is not None and facts["pooled_rank"] < d:
-        lda_only.append("pooled covariance is rank-deficient")
-    difference = facts["covariance_difference"]
-    if difference is not None and difference > COVARIANCE_DIFFERENCE:
-        lda_only.append("class covariances differ from the pooled one")
-    per_fold = min(c - math.ceil(c / k) for c in counts)
-    singular = any(r is None or r < d for r in facts["class_ranks"])
-    if reg_param == 0.0:
-        if per_fold <= d:
-            qda_ok = False
-            qda_only.append("too few rows per class inside a fold")
-        if singular:
-            qda_ok = False
-            qda_only.append("a class covariance is rank-deficient")
-    elif per_fold <= d or singular:
-        qda_only.append("relies on regularisation")
-    enough = min(counts) >= k
-    if not enough:
-        shared.append(f"a class has fewer than {k} rows")
-    preference = "LDA"
-    if difference is not None and difference > COVARIANCE_DIFFERENCE and qda_ok:
-        preference = "QDA"
-    report.update(
-        imbalanced=imbalanced, lda_suitable=lda_ok, qda_suitable=qda_ok,
-        can_compare=lda_ok and qda_ok and enough, structural_preference=preference,
-        lda_warnings=shared + lda_only, qda_warnings=shared + qda_only, diagnostics=facts,
-    )
-    return report
+    facts = spread_of(stats, class_covariances(df, None)[0])
+    rules = suitability_rules(df, k, reg_param, facts, stats)
+    broken = {  # one row per kind of rule
+        r["model"]: r for r in rules.groupBy("model").agg(
+            F.bool_or(F.col("broken") & F.col("blocks")).alias("out"),
+            F.array_sort(F.collect_list(F.when(F.col("broken"), F.col("rule")))).alias("names"),
+        ).collect()
+    }
+    fits = {m: not (broken["both"]["out"] or broken[m]["out"]) for m in ("LDA", "QDA")}
+    common = broken["both"]["names"] + broken["comparison"]["names"]
+    curved = "covariance difference" in broken["LDA"]["names"] and fits["QDA"]
+    return report | {
+        "imbalanced": any(name.startswith("share") for name in common),
+        "lda_suitable": fits["LDA"], "qda_suitable": fits["QDA"],
+        "can_compare": all(fits.values()) and not broken["comparison"]["out"],
+        "structural_preference": "QDA" if curved else "LDA",
+        "lda_warnings": common + broken["LDA"]["names"], "qda_warnings": common + broken["QDA"]["names"],
+        "diagnostics": facts,
+    }

@@ -14,6 +14,7 @@ from ..operators.evaluate import classifier_metrics, roc_auc
 from ..operators.prepare import SEED, kfold
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
+RANKED = ("f1", "roc_auc", "accuracy")
 
 
 def out_of_fold(folded: DataFrame, model: Model, k: int) -> DataFrame:
@@ -54,27 +55,19 @@ def compare_lda_qda(
 ) -> tuple[DataFrame, str]:
     """Cross-validated metrics of both discriminants and the recommended one.
 
-    Ranked by mean F1, then area under the curve, then accuracy; a tie goes to
-    the simpler linear one.
+    The means stand side by side, one row per model, and are sorted by ``RANKED``,
+    rounded; a tie goes to the simpler linear model, which is first by name.
     """
     report = analyze_suitability(df, k, reg_param)
     if report["target_kind"] != "classification":
         raise ValueError("The comparison needs a categorical target.")
     if require_suitable and not report["can_compare"]:
-        issues = sorted(set(report["lda_warnings"] + report["qda_warnings"]))
-        raise ValueError(f"The table is not suitable: {'; '.join(issues)}.")
-    tables, means = None, {}
-    for name, model in (("LDA", LDA()), ("QDA", QDA(reg_param))):
-        rows = cv_metrics(df, model, k, seed).collect()
-        means[name] = {r["metric"]: r["mean"] for r in rows}
-        part = df.sparkSession.createDataFrame(
-            [(name, r["metric"], r["mean"], r["std"]) for r in rows],
-            "model string, metric string, mean double, std double",
-        )
-        tables = part if tables is None else tables.unionByName(part)
-    winner = "LDA"
-    for m in ("f1", "roc_auc", "accuracy"):
-        if abs(means["LDA"][m] - means["QDA"][m]) > 1e-12:
-            winner = "LDA" if means["LDA"][m] > means["QDA"][m] else "QDA"
-            break
-    return tables.withColumn("recommended", F.col("model") == winner), winner
+        raise ValueError(f"The table is not suitable: {'; '.join(sorted({*report['lda_warnings'], *report['qda_warnings']}))}.")
+    linear, quadratic = (
+        cv_metrics(df, model, k, seed).select(F.lit(model.key.upper()).alias("model"), "metric", "mean", "std")
+        for model in (LDA(), QDA(reg_param))
+    )
+    both = linear.unionByName(quadratic)
+    side_by_side = both.groupBy("model").pivot("metric", list(RANKED)).agg(F.first("mean"))
+    winner = side_by_side.orderBy(*[F.round(m, 12).desc() for m in RANKED], "model").first()["model"]
+    return both.withColumn("recommended", F.col("model") == winner), winner
