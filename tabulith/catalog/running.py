@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models.discriminant import NaiveBayes, analyze_suitability
+from ..models.discriminant import NaiveBayes, suitability_rules
 from ..operators.prepare import fit_prepare
 from ..plans.runs import Result, Run, Spec, load_metrics, load_run, predict_run, run_metadata, save_run, train_run
 from ..plans.validation import compare_lda_qda
@@ -67,17 +67,15 @@ def predict_run_query(spark, sf):
 
 @query("suitability_summary")
 def suitability_summary(spark, sf):
+    """The rules of both discriminants over all labelled rows."""
     p = docs_prepared(spark, sf)
-    report = analyze_suitability(p.train, 5, 0.1)
-    facts = report.pop("diagnostics") or {}
-    rows = [(k, str(v)) for k, v in {**report, **facts}.items()]
-    return spark.createDataFrame(rows, "item string, value string")
+    return suitability_rules(p.train.unionByName(p.test), 5, 0.1).withColumn("value", rnd("value"))
 
 
 @query("compare_lda_qda")
 def compare_lda_qda_query(spark, sf):
     p = docs_prepared(spark, sf)
-    t, _ = compare_lda_qda(p.train, 5, 0.1, require_suitable=False)
+    t, _ = compare_lda_qda(p.train.unionByName(p.test), 5, 0.1, require_suitable=False)
     return t.withColumn("mean", rnd("mean")).withColumn("std", rnd("std"))
 
 

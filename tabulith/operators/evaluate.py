@@ -277,13 +277,13 @@ def cluster_summary(df: DataFrame, label: str = "prediction") -> DataFrame:
 
 def evaluate(
     model_type: str, pred: DataFrame, classes: Sequence[str] | None = None,
-    exact_silhouette_rows: int = 20_000,
+    exact_silhouette: bool = True,
 ) -> dict[str, float | None]:
     """The scalar metrics of one model type.
 
-    The exact silhouette compares every row with every other one, so above
-    ``exact_silhouette_rows`` rows only the linear squared variant is reported,
-    under its own name; raise the limit to ask for the exact one.
+    The exact silhouette compares every distinct point with every other one; without
+    ``exact_silhouette`` the linear squared variant is reported under its own name.
+    The number of rows never decides.
     """
     if model_type == "classifier":
         return classifier_metrics(pred).first().asDict()
@@ -301,7 +301,7 @@ def evaluate(
         }
         if 2 <= sizes["k"] < sizes["n"]:
             result["davies_bouldin_score"] = davies_bouldin(pred).first()[0]
-            if sizes["n"] <= exact_silhouette_rows:
+            if exact_silhouette:
                 result["silhouette_score"] = silhouette(pred).first()[0]
             else:
                 result["silhouette_squared"] = silhouette_squared(pred).first()[0]
