@@ -1,7 +1,11 @@
-"""Quoted CSV, splits without gain, labels of training rows."""
+"""Quoted CSV, splits without gain, labels of training rows, choice of the silhouette, suitability rules."""
+
+import numpy as np
 
 from tabulith.models.density import DBSCAN
-from tabulith.models.trees import CART
+from tabulith.models.discriminant import suitability_rules
+from tabulith.models.trees import CART, merge_rule
+from tabulith.operators.evaluate import evaluate
 from tabulith.sources.tables import read_csv
 
 
@@ -24,3 +28,31 @@ def test_dbscan_keeps_training_labels(spark):
     fitted = DBSCAN(eps=0.5, min_samples=4).fit(train)
     known = {r.row_id: r.prediction for r in fitted.labels.collect()}
     assert {r.row_id: r.prediction for r in fitted.transform(train).collect()} == known
+
+
+def test_silhouette_by_argument(spark):
+    rows = [(i, [float(i % 2 * 10), i / 10], i % 2) for i in range(20)]
+    pred = spark.createDataFrame(rows, "row_id long, features array<double>, prediction int")
+    assert "silhouette_squared" not in evaluate("clusterer", pred)
+    rough = evaluate("clusterer", pred, exact_silhouette=False)
+    assert rough["silhouette_score"] is None and rough["silhouette_squared"] > 0.9
+
+
+def test_suitability_rules(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i < 3), [float(v), 1.0]) for i, v in enumerate(rng.normal(size=40))]
+    few, many = (np.var([r[1][0] for r in rows if r[0] == c], ddof=1) for c in (1, 0))
+    pooled = (2 * few + 36 * many) / 38
+    assert (abs(few - pooled) + abs(many - pooled)) / pooled / 2 > 0.35
+    rules = suitability_rules(spark.createDataFrame(rows, "label int, features array<double>"), 5)
+    assert {tuple(r) for r in rules.where("broken").select("model", "rule").collect()} == {
+        ("both", "constant features"), ("both", "share of the smallest class"), ("both", "share of the largest class"),
+        ("comparison", "rows of the smallest class for the folds"), ("LDA", "rank of the pooled covariance"),
+        ("LDA", "covariance difference"),
+        ("QDA", "rows of a class in a training fold"), ("QDA", "least rank of a class covariance"),
+    }
+
+
+def test_merge_joins_small_bins_to_the_more_alike_side():
+    found = merge_rule(0.05, 10, True)(np.arange(4), np.array([[40, 2], [3, 0], [1, 30], [2, 60]]))
+    assert found["groups"] == [0, 0, 1, 1] and found["tables"] == [[43, 2], [3, 90]]
