@@ -35,9 +35,8 @@ KINDS = ("assign", "access", "hex", "live")
 #: A value is live-looking up to this many owners and repositories.
 MAX_OWNERS = 1
 MAX_REPOS = 3
-#: Bits per character and length range of a mixed token.
+#: Bits per character of a mixed token, which may have any length.
 MIN_ENTROPY = 3.5
-MAX_TOKEN = 512
 
 
 def entropy(token: str) -> float:
@@ -66,7 +65,7 @@ def mixed_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
         s, e = m.span()
         while k < len(ends) and ends[k][1] <= s:
             k += 1
-        if any(a < e and s < b for a, b in ends[k:k + 4]) or e - s > MAX_TOKEN:
+        if any(a < e and s < b for a, b in ends[k:k + 4]):
             continue
         t = m[0]
         if any(c.isdigit() for c in t) and any(c.isupper() for c in t) and any(c.islower() for c in t) and entropy(t) >= MIN_ENTROPY:

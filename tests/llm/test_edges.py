@@ -209,3 +209,14 @@ def test_pipeline(spark, docs, none, items, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
     assert {r.doc_id for r in out} >= {6, 9, 11, 12} and not {r.doc_id for r in out} & {1, 2, 3, 4, 5, 7, 10}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_long_secrets_are_found_and_masked(spark):
+    import base64
+    import random
+
+    key = base64.b64encode(random.Random(5).randbytes(1200)).decode()
+    docs = spark.createDataFrame([(1, f"begin {key} end", "a"), (2, "nothing here", "b")], "doc_id long, text string, source string")
+    rows = {r.id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert [(s.start, s.end, s.owners, s.repos, s.live) for s in rows[1] if s.kind == 3] == [(6, 6 + len(key), 1, 1, True)] and not rows[2]
+    assert {r.text for r in secrets.redact_secrets(docs).collect()} == {"begin [secret] end", "nothing here"}
