@@ -19,6 +19,9 @@ growing digits, and a suffix leaves as soon as it is alone.
    then all its bytes; they are sorted and settled in the same way.
 4. What is still open is spread into single windows, sorted by their full digest.
 
+What a pass settles depends on where its tasks begin, so the result of every pass is
+written once before it is read by flag.
+
 The texts are shuffled once by document; all passes and the final cut read that
 exchange.
 
@@ -300,10 +303,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return given.join(grouped, "rid", how)
 
     runs = stored(settle(given.select("rid", "text").mapInArrow(_sampler(window, grain), sample)), "suffix-samples")
-    stretches = settle(with_text(runs.where("open"), "inner").mapInArrow(_divider(window, STRETCH), sample))
+    stretches = stored(settle(with_text(runs.where("open"), "inner").mapInArrow(_divider(window, STRETCH), sample)), "suffix-stretches")
     windows = with_text(stretches.where("open"), "inner").mapInArrow(_spread(window), "a long, b long, rid long, start long")
     order_w = ["a", "b", "rid", "start"]
-    found = windows.repartitionByRange(*order_w).sortWithinPartitions(*order_w).mapInArrow(_repeats, "a long, b long, rid long, start long, edge byte")
+    sorted_windows = windows.repartitionByRange(*order_w).sortWithinPartitions(*order_w)
+    found = stored(sorted_windows.mapInArrow(_repeats, "a long, b long, rid long, start long, edge byte"), "suffix-windows")
     behind = Window.orderBy("a", "b", "rid", "start", "edge")
     crossing = found.where("edge > 0").select("rid", "start", "edge", (
         (F.lag("a").over(behind) == F.col("a")) & (F.lag("b").over(behind) == F.col("b"))

@@ -220,3 +220,8 @@ def test_long_secrets_are_found_and_masked(spark):
     rows = {r.id: r.spans for r in secrets.scan_secrets(docs).collect()}
     assert [(s.start, s.end, s.owners, s.repos, s.live) for s in rows[1] if s.kind == 3] == [(6, 6 + len(key), 1, 1, True)] and not rows[2]
     assert {r.text for r in secrets.redact_secrets(docs).collect()} == {"begin [secret] end", "nothing here"}
+
+
+def test_each_pass_of_the_suffix_sort_is_decided_once(docs):
+    plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_settle" not in plan and "_repeats" not in plan and "_cut" in plan.replace("<lambda>", "_cut")
