@@ -2,14 +2,19 @@
 
 Four base patterns with their checks (mail address, network address, payment card,
 telephone number) are always kept.  High-recall generators propose further spans,
-which may overlap.  Boosted trees score every proposal from its format and the
-characters around it; they learn on a bounded sample of proposals whether a proposal
-is one of the checked base spans, and a threshold calibrated on other proposals
-selects what is added.  Everything is DataFrame expressions and library trees; texts
+which may overlap.  Boosted trees score every proposal from its canonical form (mail
+sign written out or not, digits without their punctuation) and the characters around
+it, so that how a checked span is spelled does not tell it from other spellings.
+
+Checked base spans are the positives, with proposals that pass the loose checks of
+their shape behind a cue of it; proposals that fail the loose checks are the negatives.
+All other proposals have no label: they are scored, never taught as wrong.  The sample
+is drawn per class, and the threshold comes from one aggregate over all scored
+proposals with a label.  Everything is DataFrame expressions and library trees; texts
 are scanned once and offsets come from the lengths of the pieces between matches.
 
 Null and empty texts have no span.  Repeated rows are separate documents.  Without
-two classes in the sample nothing is added.
+proposals of both classes nothing is added.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ GENERATORS = (
     r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,8}+",
 )
 CUES = ("mail", "tel", "phone", "call", "fax", "card", "visa", "ip", "host", "contact")
-#: Proposals that teach the trees and calibrate the threshold, about.
+#: Proposals that teach the trees, about; half of each class.
 SAMPLE_SPANS = 20_000
 PRECISION = 0.9
 
@@ -115,22 +120,35 @@ def checked(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
-FEATURES = ["length", "digits", "dots", "spaces", "marks", "signs", "letters", "passes", "small", "words", "open", "close", *[f"cue_{c}" for c in CUES]]
+#: Cues of a mail address, a network address and a run of digits.
+CUES_OF = (("mail", "contact"), ("ip", "host"), ("tel", "phone", "call", "fax", "card", "visa", "contact"))
+AT = r"\x20?[(\[]at[)\]]\x20?"
+FEATURES = ["mail", "dotted", "length", "digits", "dots", "letters", "passes", "groups", "open", "close", *[f"cue_{c}" for c in CUES]]
 
 
 def measured(span: Column, text: Column) -> Column:
-    """The features of a proposal as a struct of doubles."""
-    v = span["value"]
-    count = lambda chars: F.length(v) - F.length(F.translate(v, chars, ""))
+    """The features of a proposal as doubles, and ``weak``: whether it passes the loose
+    checks of its shape behind a cue (1), passes without (null) or fails (0).
+    """
+    v = F.regexp_replace(span["value"], AT, "@")
     before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] - 23), F.least(F.lit(24), span["start"])))
     after = F.substring(text, span["end"] + 1, F.lit(1))
+    mail, dotted = v.contains("@"), v.rlike(r"^[0-9]+(\.[0-9]+){3}$") & octets(v)
+    plain = F.when(mail | dotted, v).otherwise(digits_of(v))
+    digits, passes = F.length(digits_of(v)), luhn(digits_of(v))
+    open_, close = before.rlike("[A-Za-z0-9]$"), after.rlike("[A-Za-z0-9]")
     values = {
-        "length": F.length(v), "digits": count("0123456789"), "dots": count("."), "spaces": count(" "), "marks": count("-()"),
-        "signs": count("@+"), "letters": F.length(F.regexp_replace(v, "[^A-Za-z]", "")), "passes": luhn(digits_of(v)), "small": octets(v),
-        "words": F.size(F.split(v, "[ .()-]+")), "open": before.rlike("[A-Za-z0-9]$"), "close": after.rlike("[A-Za-z0-9]"),
+        "mail": mail, "dotted": dotted, "length": F.length(plain), "digits": digits,
+        "dots": F.length(plain) - F.length(F.translate(plain, ".", "")), "letters": F.length(F.regexp_replace(plain, "[^A-Za-z]", "")),
+        "passes": passes, "groups": F.size(F.array_remove(F.split(v, "[^A-Za-z0-9]+"), "")), "open": open_, "close": close,
         **{f"cue_{c}": before.contains(c) for c in CUES},
     }
-    return F.struct(*[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
+    sound = F.when(mail, v.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")).otherwise(
+        dotted | digits.between(9, 15) | (digits.between(13, 19) & passes)
+    ) & ~open_ & ~close
+    cued = [F.greatest(*[before.contains(c) for c in cues]) for cues in CUES_OF]
+    weak = F.when(~sound, F.lit(0.0)).when(F.when(mail, cued[0]).when(dotted, cued[1]).otherwise(cued[2]), F.lit(1.0))
+    return F.struct(*[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES], weak.alias("weak"))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,21 +177,22 @@ def find_personal_data(
     """``rid, id, base, added``: checked spans by kind number, and spans the trees add."""
     scanned = scan(docs, id_col, text_col)
     each = scanned.select("rid", F.explode("proposals").alias("p")).select("rid", "p.start", "p.end", "p.sure", "p.covered", "p.x.*")
-    state = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("sure")).first()
-    none = F.array().cast("array<struct<start:int,end:int,chance:double>>")
-    if not 0 < state["sure"] < state["n"]:
-        return scanned.select("rid", "id", "base", none.alias("added"))
+    label = F.when(F.col("sure"), F.lit(1.0)).when(~F.col("covered"), F.col("weak"))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(each).select(
-        "rid", "start", "end", "covered", F.col("sure").cast("double").alias("label"), "features"
+        "rid", "start", "end", "covered", label.alias("label"), "features"
     )
+    state = {r["label"]: r["n"] for r in ready.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = F.array().cast("array<struct<start:int,end:int,chance:double>>")
+    if len(state) < 2:
+        return scanned.select("rid", "id", "base", none.alias("added"))
     draw = F.pmod(F.xxhash64("rid", "start", "end"), F.lit(1_000_000)) / 1_000_000
-    sampled = stored(ready.where(draw < min(1.0, sample_spans / state["n"])).withColumn("half", F.pmod(F.xxhash64("start", "rid"), F.lit(2))), "pii-sample")
-    teach = sampled.where("half = 0")
+    share = {k: min(1.0, max(1, sample_spans // 2) / n) for k, n in state.items()}
+    teach = stored(ready.where(draw < F.when(F.col("label") == 1, share[1.0]).when(F.col("label") == 0, share[0.0])), "pii-sample")
     if teach.select("label").distinct().count() < 2:
         return scanned.select("rid", "id", "base", none.alias("added"))
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=1).fit(teach)
     chance = vector_to_array("probability")[1]
-    bins = model.transform(sampled.where("half = 1")).groupBy(F.floor(chance * 100).alias("bin")).agg(
+    bins = model.transform(ready.where("label is not null")).groupBy(F.floor(chance * 100).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")
     ).collect()
     bar, n, good = 2.0, 0, 0.0

@@ -225,3 +225,12 @@ def test_long_secrets_are_found_and_masked(spark):
 def test_each_pass_of_the_suffix_sort_is_decided_once(docs):
     plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "_settle" not in plan and "_repeats" not in plan and "_cut" in plan.replace("<lambda>", "_cut")
+
+
+def test_other_spellings_are_added(spark):
+    texts = [f"mail user{i}@host{i}.com now, tel +49 30 55{i:05d} and part {i} of 12.{i}.7 or 4{i:04d}77 units" for i in range(200)]
+    texts += ["write to jane.roe (at) example.com today", "the office is (555) 123-4567 as before", "count 1234567 only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.id: [texts[r.id][s.start:s.end] for s in r.added] for r in pii.find_personal_data(docs).collect()}
+    assert "jane.roe (at) example.com" in rows[200] and any("555) 123-4567" in v for v in rows[201]) and not rows[202]
+    assert not any(rows[i] for i in range(200))
