@@ -51,7 +51,8 @@ def group_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np
         read_up, read_down = part >= top, part <= bottom
         high = np.where(read_up, part, top) @ up + np.where(read_down, part, bottom) @ down
         low = np.where(read_up, part, lists[0]) @ up + np.where(read_down, part, lists[-1]) @ down
-        bar = np.sort(low, axis=0)[-k - 1] if work is object else np.partition(low, len(live) - k - 1, axis=0)[len(live) - k - 1]
+        low[ids[live][:, None] == query_ids] = -np.inf
+        bar = np.sort(low, axis=0)[-k] if work is object else np.partition(low, len(live) - k, axis=0)[len(live) - k]
         inside = high >= bar
         settled = inside.sum() <= 4 * k * len(queries)
         live = live[inside.any(axis=1)]

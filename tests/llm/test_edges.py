@@ -234,3 +234,16 @@ def test_other_spellings_are_added(spark):
     rows = {r.id: [texts[r.id][s.start:s.end] for s in r.added] for r in pii.find_personal_data(docs).collect()}
     assert "jane.roe (at) example.com" in rows[200] and any("555) 123-4567" in v for v in rows[201]) and not rows[202]
     assert not any(rows[i] for i in range(200))
+
+
+def test_rows_of_the_query_take_no_place_above_the_bar():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for shift in (0, 1 << 52):
+        ids, x = np.r_[np.zeros(8, np.int64), np.arange(1, 600)], rng.integers(0, 50, (607, 4))
+        x[:8], x[8:, 0] = 1000, x[8:, 0] + shift
+        asking = np.array([[1000, 1, 1, 1]])
+        _, found, scores = topk.group_top(ids, x, np.array([0]), asking, 5)
+        want = sorted(((-int(s), i) for i, s in zip(ids, x.astype(object) @ asking[0]) if i), key=lambda p: p)[:5]
+        assert list(found) == [i for _, i in want] and list(scores) == [min(-s, 2**63 - 1) for s, _ in want]
