@@ -23,7 +23,7 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """CSV with a header row; missing-value texts become NULL.
 
@@ -31,10 +31,12 @@ def read_csv(
     decides for every column whether all its values are whole numbers, numbers,
     booleans or text.  Rows with the wrong number of fields fail the read.
 
-    Quoted fields may hold commas, doubled quotes and, with ``multi_line``, line
-    breaks.  A file that may hold line breaks is read by one task; set the argument
-    to False for large files without them.
+    Quoted fields may hold commas, doubled quotes and line breaks.  A file with line
+    breaks in fields is read by one task.  Whether there are any is found by a first
+    distributed pass over the lines, unless ``multi_line`` says so.
     """
+    if multi_line is None:
+        multi_line = not _whole_lines(spark, path)
     quoting = {"quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.options(header=True, inferSchema=False, **quoting).csv(path)
     if not header.columns:
@@ -60,6 +62,13 @@ def read_csv(
     )
 
 
+def _whole_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line is a list of complete fields, so that no record goes on in the next line."""
+    line = F.concat(F.lit(","), F.regexp_replace("value", '""', ""))
+    left = F.regexp_replace(line, r',(?:"[^"]*+"|[^",]*+)(?=,|\z)', "")
+    return spark.read.text(path).where(left != "").isEmpty()
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -56,3 +56,22 @@ def test_suitability_rules(spark):
 def test_merge_joins_small_bins_to_the_more_alike_side():
     found = merge_rule(0.05, 10, True)(np.arange(4), np.array([[40, 2], [3, 0], [1, 30], [2, 60]]))
     assert found["groups"] == [0, 0, 1, 1] and found["tables"] == [[43, 2], [3, 90]]
+
+
+def test_only_csv_with_line_breaks_is_read_whole(spark, tmp_path):
+    plain, broken, empty = tmp_path / "plain.csv", tmp_path / "broken.csv", tmp_path / "empty.csv"
+    lines = "".join(f'{i},"x, ""{i}""",\n' for i in range(20000))
+    plain.write_text("a,b,c\n" + lines)
+    broken.write_text("a,b,c\n" + lines + '9,"two\nlines ""and"" more",\n')
+    empty.write_text('a,b\n1,""\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = read_csv(spark, str(plain))
+        assert rows.rdd.getNumPartitions() > 1
+        assert rows.where("b = concat('x, \"', a, '\"') and c is null").count() == rows.count() == 20000
+        whole = read_csv(spark, str(broken))
+        assert whole.count() == 20001 and whole.where("b like '%\n%'").count() == 1
+        assert [tuple(r) for r in read_csv(spark, str(empty)).collect()] == [(1, None)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
