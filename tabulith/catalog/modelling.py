@@ -140,7 +140,7 @@ _docs_fit("fit_qda", lambda: discriminant.QDA(reg_param=0.1))
 _docs_fit("fit_cart", lambda: trees.CART(ccp_alpha=0.001))
 _docs_fit("fit_id3", trees.ID3)
 _docs_fit("fit_chaid", trees.CHAID)
-_docs_fit("fit_oblique", lambda: oblique.Oblique(max_depth=3))
+_docs_fit("fit_oblique", oblique.Oblique)
 _docs_fit("fit_random_forest", lambda: library.RandomForest(n_estimators=20, max_depth=6))
 _docs_fit("fit_gbt", lambda: library.BoostedTrees(n_estimators=10, max_depth=4))
 _docs_fit("fit_svm_linear", lambda: library.SVM("linear"))
@@ -157,8 +157,8 @@ def _vector_fit(name, model):
     return run
 
 
-_vector_fit("fit_kmeans", lambda: library.KMeansClusters(3, n_init=3))
-_vector_fit("fit_gmm", lambda: library.Mixture(3, max_iter=20, n_init=2))
+_vector_fit("fit_kmeans", library.KMeansClusters)
+_vector_fit("fit_gmm", library.Mixture)
 _vector_fit("micro_linkage", lambda: density.MicroLinkage(3, micro=32))
 
 
@@ -200,7 +200,7 @@ def fit_lagged_regression(spark, sf):
 def fit_hmm(spark, sf):
     rows = _sequences(spark, sf, 5).withColumn("label", (F.col("n") > F.col("features")[8]).cast("int"))
     both = split(rows, "row_id", "label", "classification").select("row_id", "label", "features", "split")
-    return _classified(hmm.HiddenMarkov(2, 10).fit(both.where("split = 'train'")), both.where("split = 'test'"))
+    return _classified(hmm.HiddenMarkov().fit(both.where("split = 'train'")), both.where("split = 'test'"))
 
 
 # --- trees ---------------------------------------------------------------------------------

@@ -75,3 +75,26 @@ def test_only_csv_with_line_breaks_is_read_whole(spark, tmp_path):
         assert [tuple(r) for r in read_csv(spark, str(empty)).collect()] == [(1, None)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fits_are_registered_with_the_reference_defaults(spark, sf, monkeypatch):
+    import __spark_entry__
+    import pytest
+
+    from tabulith.models import hmm, library, oblique
+
+    class Asked(Exception):
+        pass
+
+    def fit(self, *args, **kwargs):
+        raise Asked(self)
+
+    want = {
+        "fit_oblique": (oblique.Oblique, {"max_depth": 5}), "fit_kmeans": (library.KMeansClusters, {"n_clusters": 3, "n_init": 10}),
+        "fit_gmm": (library.Mixture, {"n_components": 3, "n_init": 3, "max_iter": 100}), "fit_hmm": (hmm.HiddenMarkov, {"n_components": 3, "n_iter": 50}),
+    }
+    for name, (kind, values) in want.items():
+        monkeypatch.setattr(kind, "fit", fit)
+        with pytest.raises(Asked) as asked:
+            __spark_entry__.queries()[name](spark, sf)
+        assert {k: getattr(asked.value.args[0], k) for k in values} == values
