@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dup, packing, pii, secrets, suffix_dedup, suffix_tree_lm, topk, url_filter
+from . import (
+    decontaminate, language, near_dup, packing, periodic_runs, pii, secrets, suffix_dedup, suffix_tree_lm, topk, toxicity, url_filter,
+    vector_codes,
+)
 from .rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +189,89 @@ def op9_language_crf(spark: SparkSession, sf: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"))
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "n_tokens", "bin", "offset", "capacity", "bin_tokens")
+
+
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """The documents with the periods of the contract planted in a tenth of them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    planted = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.col("words")[F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")]
+    )
+    chosen = (F.col("h") % 10 == 0) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words)
+    ).withColumn("n", F.coalesce(n, F.lit(0))).withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, period)).select(
+        "doc_id", F.when(chosen, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_texts(table(spark, sf, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"], r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.length")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        digest(F.array_join(listed, "")).alias("runs_sha256"), digest("kept").alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf, "embeddings"))
+    return vector_codes.labelled_error(coded).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
+def _rounds(parts: int = 8, rounds: int = 6) -> str:
+    """Assignments and new entries of every round, as a chain of tables."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.label, p.part, any_value(p.e) AS e,
+    min(list_sum(list_transform(range(1, len(p.e) + 1), lambda i: (p.e[i] - b.e[i]) * (p.e[i] - b.e[i]))) * 16 + b.entry) AS best
+  FROM p JOIN b{r} b ON b.part = p.part GROUP BY 1, 2, 3)""")
+        if r < rounds:
+            out.append(f"""
+m{r} AS (
+  SELECT part, entry, list(x ORDER BY i) AS e FROM (
+    SELECT part, best % 16 AS entry, i, CAST(floor(sum(e[i]) / count(*)) AS BIGINT) AS x
+    FROM a{r}, range(1, (SELECT max(len(e)) + 1 FROM p)) g(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r + 1} AS MATERIALIZED (
+  SELECT o.part, o.entry, coalesce(m.e, o.e) AS e FROM b{r} o LEFT JOIN m{r} m ON m.part = o.part AND m.entry = o.entry)""")
+    return ",".join(out)
+
+
+SQL["op12_vector_codes"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(4096 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, e[part * (len(e) // 8) + 1 : (part + 1) * (len(e) // 8)] AS e FROM v, range(8) t(part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, e FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)),{_rounds()},
+c AS (
+  SELECT vec_id, label, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY part) AS code,
+    CAST(sum(best // 16) AS BIGINT) AS error FROM a6 GROUP BY 1, 2),
+d AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) AS d
+  FROM (SELECT part, entry, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM b6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM c, d"""
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fitted = toxicity.fit_toxicity(docs, labels, ~fold(4))
+    scored = toxicity.score_toxicity(docs, fitted).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", fold(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
