@@ -161,7 +161,7 @@ def op7_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
     model = suffix_tree_lm.SuffixTreeModel(docs, ~fold(7))
     return model.score(docs).withColumnRenamed("id", "doc_id").select(
         "doc_id", fold(7).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model.tree.total).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 

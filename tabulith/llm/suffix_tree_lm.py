@@ -1,19 +1,24 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-Symbols are the words that hold at least ``symbol_share`` of all training tokens,
-the end mark, and one symbol for all other words.  A context of one or two symbols
-is a candidate if it holds ``context_share`` of the tokens (so a level has at most
-``1 / context_share`` of them), and is kept if its next-symbol distribution diverges
-from that of its suffix.  A kept context stores the next symbols that follow it in
-``next_share`` of its cases, discounted; the rest of the mass follows the suffix.
-A token is scored by the longest kept context before it.  Words behind the common
-symbol, and all words at the root, have add-one unigram probabilities over the
-whole training vocabulary, which stays distributed: words above ``known_share``
-(at most ``1 / known_share``) travel to the tasks, all others are joined.
-
-All counts are taken over every training document.  Null and empty texts are one
-end mark.  A row whose ``learn`` is null does not teach.  Words are compared by
-64-bit hashes.  Without training tokens every score is 0.
+"""Language-model scores from a probabilistic suffix tree of variable depth.
+
+A context is the last one to ``depth`` words of a text.  It is a candidate if it occurs
+``context_count`` times in the training texts, an absolute number, so that the tree grows
+with the corpus.  Its next-symbol distribution lists the words that follow it
+``next_count`` times, discounted; the rest of the mass follows the next shorter context,
+and in the end the add-one unigram distribution over the whole vocabulary.  A context is
+kept only if its distribution diverges from the one it would have without it.
+
+Levels, followers and vocabulary are tables keyed by hashes of contexts and pairs.  A
+kept context adds ``fall`` to the log-probability of any word behind it, a listed pair
+``extra`` on top, so the state of the longest kept context is a sum of table entries and
+a text's score is a sum over its tokens.  Entries that occur in ``travel_share`` of all
+tokens (at most ``1 / travel_share`` of each kind) travel to the tasks; all others are
+joined, summed per text.  Bit maps of fixed size tell the tasks which words, contexts and
+entries can matter at all; what they let through by chance falls out in the joins.
+
+All counts are taken over every training document.  Null and empty texts are one end
+mark.  A row whose ``learn`` is null does not teach.  Words are compared by 64-bit hashes.
+Repeated rows and null ids are scored each on its own.  Without training tokens every
+score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,18 +33,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Hashes, hash_words, keyed, pieces, plain_words, signed, stored
+from .rows import Hashes, hash_words, keyed, mix, pieces, plain_words, signed, stored
 
-SYMBOL_SHARE = 1e-4
-CONTEXT_SHARE = 1e-4
-NEXT_SHARE = 5e-3
-KNOWN_SHARE = 2e-6
+DEPTH = 3
+CONTEXT_COUNT, NEXT_COUNT = 1000, 100
+TRAVEL_SHARE = 2e-6
 #: Smallest divergence, in nats, of a kept context from its suffix.
 DIVERGENCE = 0.01
 DISCOUNT = 0.5
 PIECE = 4_000_000
-OTHER, END = 0, 1
-END_HASH = xxhash.xxh3_64_intdigest(b" ")
+#: Bits of a map of hashes; a power of two.
+MAP_BITS = 1 << 25
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b" "))
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens_of(texts: list[bytes | None], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -62,65 +68,65 @@ def find(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(values[at] == keys, at, -1)
 
 
-@dataclass
-class Level:
-    """Kept contexts of one length: ``keys`` are ``context * symbols + next``."""
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a word behind a context; it is also the context that both make."""
+    return mix(context * _SALT + word)
+
+
+def entry(context: np.ndarray) -> np.ndarray:
+    """Key under which a context's ``fall`` is filed, apart from the pairs."""
+    return mix(context ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
+class Levels:
+    """Contexts of each length before every token; ``sound`` where the text is long enough."""
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, depth: int):
+        place = np.arange(len(tokens)) - np.repeat(offsets[:-1], np.diff(offsets))
+        self.contexts, self.keys, self.sound = [], [], []
+        for d in range(1, depth + 1):
+            before = mix(tokens ^ _SALT) if d == 1 else self.keys[-1]
+            context = np.r_[np.zeros(1, np.uint64), before[:-1]]
+            self.contexts.append(context)
+            self.keys.append(pair(context, tokens))
+            self.sound.append(place >= d)
+
+
+class BitMap:
+    """Set of hashes by one bit each; tells for certain only what is absent."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, hashes: DataFrame, bits: int = MAP_BITS) -> BitMap:
+        """From a table's column ``h``, gathered as one number per 64 bits."""
+        spot = F.col("h").bitwiseAND(bits - 1)
+        rows = hashes.select(
+            F.shiftright(spot, 6).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")
+        ).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
 
-    contexts: np.ndarray
-    kept: np.ndarray
-    fall: np.ndarray
-    keys: np.ndarray
-    logs: np.ndarray
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        spot = hashes & np.uint64(64 * len(self.words) - 1)
+        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
 
 
 @dataclass
-class Tree:
+class Known:
+    """What travels: totals, frequent words with counts, frequent tree entries, bit maps of the rest."""
+
     total: int
     vocabulary: int
-    known: np.ndarray
-    known_counts: np.ndarray
-    symbol_of: np.ndarray
-    root: np.ndarray
-    symbol_counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def size(self) -> int:
-        return len(self.root)
-
-    def symbols(self, distinct: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(symbols, place among the known words or -1)`` of the tokens."""
-        at = find(self.known, distinct)
-        symbol = np.where(at >= 0, self.symbol_of[at], OTHER) if len(self.known) else np.zeros(len(distinct), np.int64)
-        return symbol[inverse], at[inverse]
-
-    def contexts(self, symbols: np.ndarray, within: np.ndarray, depth: int) -> np.ndarray:
-        """Context number before each token at ``depth``, or -1; ``within`` is its place in the text."""
-        found = np.full(len(symbols), -1, np.int64)
-        if depth == 1:
-            found[1:] = find(self.levels[0].contexts, symbols[:-1])
-            found[within < 1] = -1
-            return found
-        shorter = self.contexts(symbols, within, 1)
-        key = np.full(len(symbols), -1, np.int64)
-        key[1:] = np.where(shorter[:-1] >= 0, shorter[:-1] * self.size + symbols[:-1], -1)
-        found = find(self.levels[1].contexts, key)
-        found[within < 2] = -1
-        return found
-
-    def gains(self, symbols: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """Natural log of the tree's probability over the root's, for each token."""
-        logs = root = self.root[symbols]
-        for depth, level in enumerate(self.levels, 1):
-            context = self.contexts(symbols, within, depth)
-            use = context >= 0
-            use[use] = level.kept[context[use]]
-            c = context[use]
-            at = find(level.keys, c * self.size + symbols[use])
-            out = logs.copy()
-            out[use] = np.where(at >= 0, level.logs[np.maximum(at, 0)] if len(level.logs) else 0.0, level.fall[c] + logs[use])
-            logs = out
-        return logs - root
+    words: np.ndarray
+    counts: np.ndarray
+    depth: int = 0
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    gains: np.ndarray = field(default_factory=lambda: np.empty(0))
+    near: BitMap | None = None
+    far: BitMap | None = None
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,166 +137,227 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(signed(words)), pa.array(n)], ["word", "n"])
 
 
-def _within(offsets: np.ndarray) -> np.ndarray:
-    return np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], np.diff(offsets))
-
+def _followers(maps, depth: int):
+    """Counts of the words behind candidate contexts of a length, with the shorter contexts' keys.
 
-def _followers(tree, depth: int):
-    """Counts of ``context * symbols + next`` for candidate contexts of a length."""
+    ``maps`` holds the bit maps of the candidate contexts and of the words that may follow.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held = Hashes(), tree.value
+        cache, (contexts, words) = Hashes(), maps.value
         for batch in pieces(batches, "text", PIECE):
             tokens, offsets = tokens_of(batch.column("text").to_pylist(), cache)
-            symbols, _ = held.symbols(*np.unique(tokens, return_inverse=True))
-            context = held.contexts(symbols, _within(offsets), depth)
-            use = context >= 0
-            keys, n = np.unique(context[use] * held.size + symbols[use], return_counts=True)
-            yield pa.record_batch([pa.array(keys), pa.array(n)], ["key", "n"])
+            levels = Levels(tokens, offsets, depth)
+            use = np.flatnonzero(levels.sound[-1])
+            use = use[contexts.may_hold(levels.contexts[-1][use])]
+            use = use[words.may_hold(tokens[use])]
+            keys, first, n = np.unique(levels.keys[-1][use], return_index=True, return_counts=True)
+            at = use[first]
+            columns = [keys, levels.contexts[-1][at], tokens[at]]
+            names = ["key", "context", "word"]
+            for d in range(depth - 1):
+                columns += [levels.keys[d][at], levels.contexts[d][at]]
+                names += [f"key{d + 1}", f"context{d + 1}"]
+            yield pa.record_batch([*[pa.array(signed(c)) for c in columns], pa.array(n)], [*names, "n"])
 
     return count
 
 
-def _texts(tree):
-    """Per text what the tasks can tell: tokens, known tokens, their base score, the tree's gain."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held = Hashes(), tree.value
-        below = math.log10(held.total + held.vocabulary + 1)
-        base = np.log10(held.known_counts + 1.0) - below
-        for batch in pieces(batches, "text", PIECE):
-            tokens, offsets = tokens_of(batch.column("text").to_pylist(), cache)
-            symbols, at = held.symbols(*np.unique(tokens, return_inverse=True))
-            gain = held.gains(symbols, _within(offsets)) / math.log(10) if held.total else np.zeros(len(symbols))
-            own = np.where(at >= 0, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
-            first = offsets[:-1]
-            yield pa.record_batch([
-                batch.column("rid"), batch.column("id"), pa.array(np.diff(offsets)), pa.array(np.add.reduceat((at >= 0).astype(np.int64), first)),
-                pa.array(np.add.reduceat(own, first)), pa.array(np.add.reduceat(gain, first)),
-            ], ["rid", "id", "n_tokens", "known", "base", "gain"])
-
-    return score
-
+def _texts(known):
+    """Per text: tokens, words that travel, their part of both scores, and what is left to join.
 
-def _rare(tree):
-    """``rid, word, n`` of the words that do not travel."""
+    ``open`` lists ``key, n`` of words and tree entries that do not travel.
+    """
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held = Hashes(), tree.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held = Hashes(), known.value
+        ones = np.log10(held.counts + 1.0)
         for batch in pieces(batches, "text", PIECE):
             tokens, offsets = tokens_of(batch.column("text").to_pylist(), cache)
+            first, text = offsets[:-1], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             distinct, inverse = np.unique(tokens, return_inverse=True)
-            unknown = (find(held.known, distinct) < 0)[inverse]
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            keys, n = np.unique(text[unknown] * len(distinct) + inverse[unknown], return_counts=True)
-            rid = batch.column("rid").to_numpy()
-            yield pa.record_batch(
-                [pa.array(rid[keys // len(distinct)]), pa.array(signed(distinct[keys % len(distinct)])), pa.array(n.astype(np.int32))],
-                ["rid", "word", "n"],
+            at = find(held.words, distinct)
+            own = np.where(at >= 0, ones[np.maximum(at, 0)] if len(ones) else 0.0, 0.0)[inverse]
+            rare = (at < 0)[inverse]
+            gain = np.zeros(len(tokens))
+            keys, owners = [tokens[rare]], [text[rare]]
+            levels = Levels(tokens, offsets, held.depth)
+            for d in range(held.depth):
+                for wanted in (levels.keys[d], entry(levels.contexts[d])):
+                    use = np.flatnonzero(levels.sound[d])
+                    near = use[held.near.may_hold(wanted[use])]
+                    at = find(held.keys, wanted[near])
+                    gain[near] += np.where(at >= 0, held.gains[np.maximum(at, 0)] if len(held.keys) else 0.0, 0.0)
+                    far = use[held.far.may_hold(wanted[use])]
+                    keys.append(wanted[far])
+                    owners.append(text[far])
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((keys, owners))
+            keys, owners = keys[order], owners[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+            start = np.flatnonzero(new)
+            entries = pa.StructArray.from_arrays(
+                [pa.array(signed(keys[start])), pa.array(np.diff(np.r_[start, len(keys)]))],
+                fields=[pa.field("key", pa.int64()), pa.field("n", pa.int64())],
             )
+            bounds = np.searchsorted(owners[start], np.arange(len(offsets)))
+            yield pa.record_batch([
+                batch.column("rid"), batch.column("id"), pa.array(np.diff(offsets)),
+                pa.array(np.add.reduceat((~rare).astype(np.int64), first)), pa.array(np.add.reduceat(own, first)),
+                pa.array(np.add.reduceat(gain, first)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries),
+            ], ["rid", "id", "n_tokens", "known", "own", "gain", "open"])
 
-    return rare
+    return score
 
 
 class SuffixTreeModel:
-    """A tree fitted on the rows of ``docs`` where ``learn`` holds."""
+    """A tree fitted on the rows of ``docs`` where ``learn`` holds.
+
+    ``entries`` holds ``key, gain, n`` of every kept context and listed pair; ``levels``
+    the numbers of candidate contexts, kept contexts and listed pairs per length.
+    """
 
     def __init__(
-        self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 2,
-        symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE,
-        known_share: float = KNOWN_SHARE, divergence: float = DIVERGENCE,
+        self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+        context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT, travel_share: float = TRAVEL_SHARE,
+        divergence: float = DIVERGENCE,
     ):
-        if not 0 <= depth <= 2:
-            raise ValueError("The depth is 0, 1 or 2.")
+        if depth < 0 or not 1 <= next_count <= context_count:
+            raise ValueError("The depth is not negative, and 1 <= next_count <= context_count.")
         self.id_col, self.text_col = id_col, text_col
-        teach = docs.where(F.coalesce(learn, F.lit(False))).select(docs[text_col].cast("string").cast("binary").alias("text"))
+        self.context_count, self.next_count, self.divergence = context_count, next_count, divergence
         self.context = docs.sparkSession.sparkContext
+        teach = docs.where(F.coalesce(learn, F.lit(False))).select(docs[text_col].cast("string").cast("binary").alias("text"))
         self.counts = stored(
             teach.mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "suffix-tree-words"
         )
         state = self.counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-        total, vocabulary = state["n"] or 0, state["v"]
-        self.bar = max(1.0, known_share * total)
-        end = int(np.array([END_HASH], np.uint64).view(np.int64)[0])
-        held = self.counts.where((F.col("n") >= self.bar) | (F.col("word") == end)).toArrow()
-        words, n = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
-        order = np.argsort(words)
-        words, n = words[order], n[order]
-        symbol = (n >= symbol_share * total) & (words != np.uint64(END_HASH))
-        symbol_of = np.full(len(words), OTHER, np.int64)
-        symbol_of[symbol] = 2 + np.arange(int(symbol.sum()))
-        symbol_of[words == np.uint64(END_HASH)] = END
-        ends = int(n[symbol_of == END].sum())
-        counts = np.r_[total - ends - int(n[symbol].sum()), ends, n[symbol]].astype(np.int64)
-        kinds = np.r_[max(0, vocabulary - 1 - int(symbol.sum())), 0, np.zeros(int(symbol.sum()), np.int64)]
-        root = np.log(np.r_[counts[0] + kinds[0] + 1.0, counts[1:] + 1.0] / (total + vocabulary + 1))
-        self.tree = Tree(total, vocabulary, words, n, symbol_of, root, counts)
-        for level in range(1, depth + 1 if total else 1):
-            self._grow(teach, level, max(1.0, context_share * total), next_share, divergence)
-
-    def _grow(self, teach: DataFrame, depth: int, bar: float, next_share: float, divergence: float) -> None:
-        tree, size = self.tree, self.tree.size
-        if depth == 1:
-            contexts = np.flatnonzero((tree.symbol_counts >= bar) & (np.arange(size) != END))
-            of_context = tree.symbol_counts[contexts]
-            parent = None
-        else:
-            contexts, of_context = self.frequent_pairs
-            parent = find(tree.levels[0].contexts, contexts % size)
-        none = np.empty(0, np.int64)
-        tree.levels.append(Level(contexts, np.zeros(len(contexts), bool), np.zeros(len(contexts)), none, np.empty(0)))
-        sent = self.context.broadcast(tree)
-        pairs = teach.mapInArrow(_followers(sent, depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        totals = teach.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(of_context)], "context long, total long")
-        listed = pairs.withColumn("context", F.expr(f"key div {size}")).join(totals, "context").where(
-            (F.col("n") >= next_share * F.col("total")) | (F.col("n") >= bar)
-        ).select("key", "n").toArrow()
-        keys, n = listed.column("key").to_numpy(), listed.column("n").to_numpy()
+        self.total, self.vocabulary = state["n"] or 0, state["v"]
+        self.bar = max(1.0, travel_share * self.total)
+        words, counts = self._sorted(self.counts.where(F.col("n") >= self.bar), "word", "n")
+        self.known = Known(self.total, self.vocabulary, words, counts)
+        self.levels: list[tuple[int, int, int]] = []
+        self.entries: DataFrame | None = None
+        self.fitted: list[tuple[DataFrame, DataFrame]] = []
+        end = int(np.array([END_HASH]).view(np.int64)[0])
+        contexts = self.counts.where((F.col("n") >= context_count) & (F.col("word") != end)).select(
+            F.col("word").alias("h"), F.col("n").alias("total")
+        )
+        if self.total and depth:
+            self.next_words = BitMap.of(self.counts.where(F.col("n") >= next_count).select(F.col("word").alias("h")))
+            # The context of one word is filed under its salted hash.
+            contexts = contexts.mapInArrow(_salted, "h long, total long")
+            for d in range(1, depth + 1):
+                contexts = self._grow(teach, d, contexts, end)
+                if contexts is None:
+                    break
+            self._travel()
+
+    @staticmethod
+    def _sorted(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        held = rows.select(key, value).toArrow()
+        keys, values = held.column(key).to_numpy().view(np.uint64), held.column(value).to_numpy()
         order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        context, symbol = keys // size, keys % size
-        if depth == 1:
-            often = (n >= bar) & (symbol != END) & (tree.symbol_counts[symbol] >= bar)
-            self.frequent_pairs = (keys[often], n[often])
-        share = n / of_context[context]
-        explicit = share >= next_share
-        keys, n, context, symbol, share = keys[explicit], n[explicit], context[explicit], symbol[explicit], share[explicit]
-        below = tree.root[symbol]
-        if parent is not None:
-            up, p = tree.levels[0], parent[context]
-            use = (p >= 0) & up.kept[np.maximum(p, 0)]
-            at = find(up.keys, p * size + symbol)
-            below = np.where(use, np.where(at >= 0, up.logs[np.maximum(at, 0)] if len(up.logs) else 0.0, up.fall[np.maximum(p, 0)] + below), below)
-        width = len(contexts)
-        mass, under = np.bincount(context, share, width), np.minimum(np.bincount(context, np.exp(below), width), 1 - 1e-9)
-        rest = np.maximum(1 - mass, 0)
-        part = np.bincount(context, share * (np.log(share) - below), width)
-        apart = part + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / (1 - under)), 0)
-        level = tree.levels[-1]
-        level.kept = apart >= divergence
-        spared = 1 - np.bincount(context, (n - DISCOUNT) / of_context[context], width)
-        level.fall = np.log(np.maximum(spared, 1e-12) / (1 - under))
-        inside = level.kept[context]
-        level.keys, level.logs = keys[inside], np.log((n[inside] - DISCOUNT) / of_context[context[inside]])
+        return keys[order], values[order]
+
+    def _grow(self, teach: DataFrame, depth: int, contexts: DataFrame, end: int) -> DataFrame | None:
+        """Adds the level of ``depth``; returns the candidate contexts one word longer."""
+        contexts = stored(contexts, "suffix-tree-contexts")
+        candidates = contexts.count()
+        if not candidates:
+            return None
+        maps = self.context.broadcast((BitMap.of(contexts.select("h")), self.next_words))
+        names = ["key", "context", "word", *[f"{c}{d}" for d in range(1, depth) for c in ("key", "context")]]
+        counted = teach.mapInArrow(_followers(maps, depth), ", ".join(f"{c} long" for c in [*names, "n"]))
+        often = counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= self.next_count)
+        often = stored(often.join(contexts.withColumnRenamed("h", "context"), "context"), "suffix-tree-followers")
+        root = F.log((F.col("c") + 1.0) / (self.total + self.vocabulary + 1))
+        rows = often.join(self.counts.select("word", F.col("n").alias("c")), "word").withColumn("low", root)
+        for d, (kept, listed) in enumerate(self.fitted, 1):
+            # What the shorter contexts make of the same word.
+            rows = rows.join(kept.select(F.col("context").alias(f"context{d}"), F.col("fall").alias(f"fall{d}")), f"context{d}", "left")
+            rows = rows.join(listed.select(F.col("key").alias(f"key{d}"), F.col("extra").alias(f"extra{d}")), f"key{d}", "left")
+            rows = rows.withColumn("low", F.col("low") + F.coalesce(f"fall{d}", F.lit(0.0)) + F.coalesce(f"extra{d}", F.lit(0.0)))
+        rows = rows.select("key", "context", "n", "total", "low")
+        share, spared = F.col("n") / F.col("total"), (F.col("n") - DISCOUNT) / F.col("total")
+        sums = rows.groupBy("context").agg(
+            F.first("total").alias("total"), F.sum(share).alias("mass"), F.sum(F.exp("low")).alias("below"),
+            F.sum(share * (F.log(share) - F.col("low"))).alias("apart"), F.sum(spared).alias("listed"),
+        )
+        rest, free = F.greatest(1 - F.col("mass"), F.lit(0.0)), F.greatest(1 - F.col("below"), F.lit(1e-9))
+        tail = F.when(rest > 0, rest * F.log(rest / free)).otherwise(0.0)
+        fall = F.log(F.greatest(1 - F.col("listed"), F.lit(1e-12)) / free)
+        kept = stored(
+            sums.where(F.col("apart") + tail >= self.divergence).select("context", F.col("total").alias("n"), fall.alias("fall")),
+            "suffix-tree-kept",
+        )
+        listed = stored(
+            rows.join(kept.select("context", "fall"), "context").select(
+                "key", "n", (F.log(spared) - F.col("low") - F.col("fall")).alias("extra")
+            ), "suffix-tree-listed",
+        )
+        self.fitted.append((kept, listed))
+        self.levels.append((candidates, kept.count(), listed.count()))
+        return often.where((F.col("n") >= self.context_count) & (F.col("word") != end)).select(
+            F.col("key").alias("h"), F.col("n").alias("total")
+        )
+
+    def _travel(self) -> None:
+        """Entries by key; the frequent ones go along with the tasks, the others get a bit map."""
+        entries = None
+        for kept, listed in self.fitted:
+            both = kept.select("context", "n", F.col("fall").alias("gain")).mapInArrow(
+                _filed, "key long, n long, gain double"
+            ).unionByName(listed.select("key", "n", F.col("extra").alias("gain")))
+            entries = both if entries is None else entries.unionByName(both)
+        if entries is None:
+            return
+        entries = stored(entries, "suffix-tree-entries")
+        keys, gains = self._sorted(entries.where(F.col("n") >= self.bar), "key", "gain")
+        self.entries = entries.where(F.col("n") < self.bar)
+        near = entries.where(F.col("n") >= self.bar).select(F.col("key").alias("h"))
+        self.known = Known(
+            self.total, self.vocabulary, self.known.words, self.known.counts, len(self.fitted), keys, gains, BitMap.of(near),
+            BitMap.of(self.entries.select(F.col("key").alias("h"))),
+        )
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``rid, id, n_tokens, n_known, base_score, score`` (log10) of every document."""
-        tree = self.tree
-        sent = self.context.broadcast(tree)
         given = keyed(docs, self.id_col, text=docs[self.text_col].cast("string").cast("binary"))
         kind = dict(given.dtypes)["id"]
-        whole = given.select("rid", "id", "text").mapInArrow(
-            _texts(sent), f"rid long, id {kind}, n_tokens long, known long, base double, gain double"
+        sent = self.context.broadcast(self.known)
+        whole = stored(given.select("rid", "id", "text").mapInArrow(
+            _texts(sent), f"rid long, id {kind}, n_tokens long, known long, own double, gain double, open array<struct<key:bigint,n:bigint>>"
+        ), "suffix-tree-texts")
+        left = whole.select("rid", F.explode("open").alias("o")).select("rid", "o.key", "o.n")
+        values = self.counts.where(F.col("n") < self.bar).select(
+            F.col("word").alias("key"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("seen"), F.lit(0.0).alias("more")
         )
-        below = math.log10(tree.total + tree.vocabulary + 1)
-        rare = given.select("rid", "text").mapInArrow(_rare(sent), "rid long, word long, n int")
-        counts = self.counts.where(F.col("n") < self.bar).withColumnRenamed("n", "c")
-        summed = rare.join(counts, "word", "left").groupBy("rid").agg(
-            F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - below)).alias("more"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"),
+        if self.entries is not None:
+            values = values.unionByName(
+                self.entries.select("key", F.lit(0.0).alias("base"), F.lit(0).alias("seen"), F.col("gain").alias("more"))
+            )
+        summed = left.join(values, "key").groupBy("rid").agg(
+            F.sum(F.col("n") * F.col("base")).alias("base"), F.sum(F.col("n") * F.col("seen")).alias("seen"),
+            F.sum(F.col("n") * F.col("more")).alias("more"),
         )
-        base = F.col("base") + F.coalesce("more", F.lit(0.0))
+        below = math.log10(self.total + self.vocabulary + 1)
+        base = F.col("own") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)
+        gain = (F.col("gain") + F.coalesce("more", F.lit(0.0))) / math.log(10)
         return whole.join(summed, "rid", "left").select(
             "rid", "id", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"),
-            base.alias("base_score"), (base + F.col("gain")).alias("score"),
+            base.alias("base_score"), (base + gain).alias("score"),
         )
+
+
+def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("h").to_numpy().view(np.uint64)
+        yield pa.record_batch([pa.array(signed(mix(words ^ _SALT))), batch.column("total")], ["h", "total"])
+
+
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        contexts = batch.column("context").to_numpy().view(np.uint64)
+        yield pa.record_batch([pa.array(signed(entry(contexts))), batch.column("n"), batch.column("gain")], ["key", "n", "gain"])

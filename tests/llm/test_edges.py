@@ -143,21 +143,6 @@ def test_scores(docs, none):
     assert {r.n_known for r in empty.score(docs).collect()} == {0}
 
 
-def test_tree_probabilities_sum_to_one(spark):
-    import numpy as np
-
-    text = "a b c d e " * 40 + "a c b e d " * 20
-    train = spark.createDataFrame([(i, text + f"rare{i}") for i in range(20)], "doc_id long, text string")
-    tree = suffix_tree_lm.SuffixTreeModel(train, F.lit(True), symbol_share=0.02, context_share=0.01).tree
-    assert any(level.kept.any() for level in tree.levels)
-    for first in range(tree.size):
-        for second in range(2, tree.size):
-            everything = np.arange(tree.size)
-            symbols = np.stack([np.full(tree.size, first), np.full(tree.size, second), everything], 1).ravel()
-            gain = tree.gains(symbols, np.tile([0, 1, 2], tree.size))[2::3]
-            assert np.exp(tree.root + gain).sum() == pytest.approx(np.exp(tree.root).sum(), abs=1e-6)
-
-
 def test_personal_data(docs, none):
     rows = pii.find_personal_data(docs).collect()
     assert len(rows) == len(ROWS)
