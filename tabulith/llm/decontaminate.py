@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keyed, letter_words, pieces
+from .rows import keyed, letter_words, pieces, told_apart
 
 WINDOW = 13
 #: Bytes of test text that are sent to the tasks at once.
@@ -33,7 +33,8 @@ SHARD_BYTES = 4_000_000
 class TestWindows:
     """The distinct windows of a block of test items as word numbers.
 
-    ``items[w]`` lists the items of window ``w``; ``rows`` are padded with -1.
+    ``places[w]`` lists the items of window ``w`` and where it stands in each; ``rows``
+    are padded with -1.
     """
 
     __test__ = False
@@ -41,9 +42,10 @@ class TestWindows:
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        owners: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.names: list[str] = []
         number: dict[str, int] = {}
+        length: dict[int, int] = {}
         for name, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in letter_words(text)]
             if not words:
@@ -51,13 +53,16 @@ class TestWindows:
             i = number.setdefault(name, len(number))
             if i == len(self.names):
                 self.names.append(name)
+            # Texts under one id follow one another with a gap, so no match runs from one into the next.
+            at = length.get(i, 0)
+            length[i] = at + len(words) + 1
             for k in range(max(1, len(words) - window + 1)):
-                owners.setdefault(tuple(words[k : k + window]), set()).add(i)
+                owners.setdefault(tuple(words[k : k + window]), []).append((i, at + k))
         self.lengths = np.array([len(w) for w in owners], np.int64)
         self.rows = np.full((len(owners), window), -1, np.int64)
         for r, w in enumerate(owners):
             self.rows[r, : len(w)] = w
-        self.items = [sorted(v) for v in owners.values()]
+        self.places = list(owners.values())
         bits = max(1, len(self.vocabulary).bit_length())
         self.per, self.bits = max(1, 62 // bits), bits
 
@@ -123,11 +128,26 @@ class TestWindows:
             high = np.where(open_ & ~right, mid, high)
 
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Merged ``(start, end)`` of equally long hits that overlap or follow one another."""
-    starts = np.unique(starts)
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    return [(int(g[0]), int(g[-1]) + length) for g in np.split(starts, cut)]
+def _longest(hits: list[tuple[int, list[int]]], length: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of the maximal verbatim matches with one item.
+
+    ``hits`` lists, by start, where in the item the ``length`` words from there stand.  A
+    match goes on while the place in the item goes on with it; one that lies inside
+    another is left out.
+    """
+    out: list[tuple[int, int]] = []
+    open_: dict[int, int] = {}  # place in the item -> where the match that reached it began
+    last = None
+    for start, places in [*hits, (None, [])]:
+        before = open_ if last is not None and start == last + 1 else {}
+        now = {p: before.get(p - 1, start) for p in places}
+        ended = [began for p, began in open_.items() if p + 1 not in now or not before]
+        if ended:
+            going = min(now.values()) if before and now else None
+            if going is None or min(ended) < going:
+                out.append((min(ended), last + length))
+        open_, last = now, start
+    return out
 
 
 _MATCH = pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
@@ -144,26 +164,23 @@ def _matcher(windows, shard_bytes: int):
             words = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, int(ends[-1]))
             limit = np.repeat(ends, sizes)
             owner = np.repeat(np.arange(len(docs)), sizes)
-            found: list[dict[int, list[np.ndarray]]] = [{} for _ in docs]
+            found: list[dict[tuple[int, int], list[tuple[int, list[int]]]]] = [{} for _ in docs]
             for w, starts in tests.search(words, limit):
-                d = owner[starts]
-                cut = np.flatnonzero(np.diff(d)) + 1 if (np.diff(d) >= 0).all() else None
-                if cut is None:
-                    o = np.argsort(d, kind="stable")
-                    starts, d = starts[o], d[o]
-                    cut = np.flatnonzero(np.diff(d)) + 1
-                for g in np.split(starts, cut):
-                    found[owner[g[0]]].setdefault(w, []).append(g)
-            matches = []
-            for k, hit in enumerate(found):
-                base, per = int(ends[k] - sizes[k]), {}
-                for w, groups in hit.items():
-                    for i in tests.items[w]:
-                        per.setdefault((i, int(tests.lengths[w])), []).extend(groups)
-                matches.append([
-                    {"item": tests.names[i], "start": s - base, "length": e - s}
-                    for (i, n), groups in per.items() for s, e in _runs(np.concatenate(groups), n)
-                ])
+                places: dict[int, list[int]] = {}
+                for i, p in tests.places[w]:
+                    places.setdefault(i, []).append(p)
+                n = int(tests.lengths[w])
+                for at in starts.tolist():
+                    hit = found[owner[at]]
+                    for i, p in places.items():
+                        hit.setdefault((i, n), []).append((at, p))
+            matches = [
+                [
+                    {"item": tests.names[i], "start": s - int(ends[k] - sizes[k]), "length": e - s}
+                    for (i, n), hits in hit.items() for s, e in _longest(sorted(hits), n)
+                ]
+                for k, hit in enumerate(found)
+            ]
             yield pa.record_batch(
                 [batch.column("rid"), batch.column("id"), pa.array(sizes), pa.array(matches, pa.list_(_MATCH))],
                 ["rid", "id", "n_words", "matches"],
@@ -179,7 +196,7 @@ def find_matches(
     """One row per document: ``rid, id, n_words, matches``.
 
     ``matches`` lists ``item, start, length`` (in words) of the maximal verbatim
-    stretches whose windows all occur in the item.  Test items beyond
+    matches with each item.  Items without an id are ignored.  Test items beyond
     ``block_bytes`` are searched block by block; the matches are then united.
     """
     given = keyed(docs, id_col, text=text_bytes_of(docs, text_col))
@@ -230,7 +247,8 @@ def judge(found: DataFrame, share: int = 20) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; same columns.
 
-    Rows that share an id (or have none) go together if one of them is contaminated.
+    Every row is judged by its own text, also where rows share an id or have none.
     """
-    bad = judge(find_matches(docs, items, id_col, text_col)).where("contaminated").select("id").distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]), "left_anti")
+    rows, key = told_apart(docs, id_col)
+    bad = judge(find_matches(rows, items, key, text_col)).where("contaminated").select(F.col("id").alias(key))
+    return rows.join(bad, key, "left_anti").select(*docs.columns)

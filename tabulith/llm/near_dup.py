@@ -34,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .rows import Hashes, free, hash_words, keyed, mix, pieces, plain_words, signed, stored
+from .rows import Hashes, hash_words, keyed, mix, pieces, plain_words, signed, stored, told_apart
 
 #: Text bytes handled at once by a task.
 PIECE = 2_000_000
@@ -481,19 +481,8 @@ def near_duplicate_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the first document of each group; same columns.
 
-    Rows without an id or with a repeated id are told apart by their text.
+    Rows that share an id or have none are told apart; of equal ones the first stays.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    if docs.select(id_col).groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
-        own = free(docs, "gone")
-        gone = groups.where("rid <> component").select(F.col("id").alias(own))
-        return docs.join(gone, docs[id_col].eqNullSafe(F.col(own)), "left_anti")
-    text = F.coalesce(F.xxhash64(docs[text_col].cast("string")), F.lit(0))
-    copy, mark, own, key, n = (free(docs, c) for c in ("copy", "mark", "own", "key", "held"))
-    numbered = docs.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.lit(1)))).withColumn(mark, text)
-    keys = keyed(docs, id_col, text=docs[text_col].cast("string").cast("binary"))
-    kept = groups.where("rid = component").select("rid").join(keys, "rid").groupBy(
-        F.col("id").alias(own), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias(key)
-    ).agg(F.count(F.lit(1)).alias(n))
-    both = numbered.join(kept, numbered[id_col].eqNullSafe(F.col(own)) & (F.col(mark) == F.col(key)))
-    return both.where(F.col(copy) <= F.col(n)).select(*docs.columns)
+    rows, key = told_apart(docs, id_col)
+    gone = near_duplicate_groups(rows, key, text_col, **options).where("rid <> component").select(F.col("id").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

@@ -39,6 +39,24 @@ def keyed(rows: DataFrame, id_col: str, **columns: str | Column) -> DataFrame:
     return cut_lineage(ordered.withColumn("rid", F.monotonically_increasing_id()))
 
 
+def told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with one more column that differs in every row, and its name.
+
+    Unique whole-number ids serve as they are.  Otherwise the rows are sorted by id and
+    their sortable columns and numbered, and written once so that a retry sees the same numbers.
+    """
+    name = free(docs, "row_key")
+    if docs.schema[id_col].dataType.simpleString() in WHOLE:
+        state = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(
+            F.max("n").alias("n"), F.max(F.col(id_col).isNull().cast("int")).alias("gap")
+        ).first()
+        if (state["n"] or 1) == 1 and not state["gap"]:
+            return docs.withColumn(name, F.col(id_col).cast("long")), name
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name != id_col]
+    ordered = docs.orderBy(F.col(id_col), *[F.col(k) for k, t in kinds if "map<" not in t and t != "variant"])
+    return cut_lineage(ordered.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import free, keyed, stored
+from .rows import free, keyed, stored, told_apart
 
 #: Base patterns in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -135,13 +135,14 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with every live-looking span replaced by ``mask``; same columns.
 
     Widely copied examples stay.  Only texts with such a span are rewritten, and
-    their ``length_col`` with them.  Rows that share an id are masked together.
+    their ``length_col`` with them.  Every row is masked by its own spans, also where
+    rows share an id or have none.
     """
-    found = scan_secrets(docs, id_col, text_col, owner_col)
-    mark, own = free(docs, "live"), free(docs, "owner_id")
+    rows, key = told_apart(docs, id_col)
+    found = scan_secrets(rows, key, text_col, owner_col)
+    mark, own = free(rows, "live"), free(rows, "owner_id")
     live = found.select(F.col("id").alias(own), F.filter("spans", lambda s: s["live"]).alias(mark)).where(F.size(mark) > 0)
-    live = live.groupBy(own).agg(F.flatten(F.collect_list(mark)).alias(mark))
-    held = docs.join(live, docs[id_col].eqNullSafe(F.col(own)), "left")
+    held = rows.join(live, F.col(key) == F.col(own), "left")
 
     @F.pandas_udf("string")
     def masked(texts, spans):
