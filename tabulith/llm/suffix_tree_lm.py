@@ -1,11 +1,13 @@
 """Language-model scores from a probabilistic suffix tree of variable depth.
 
 A context is the last one to ``depth`` words of a text.  It is a candidate if it occurs
-``context_count`` times in the training texts, an absolute number, so that the tree grows
-with the corpus.  Its next-symbol distribution lists the words that follow it
-``next_count`` times, discounted; the rest of the mass follows the next shorter context,
-and in the end the add-one unigram distribution over the whole vocabulary.  A context is
-kept only if its distribution diverges from the one it would have without it.
+``context_count`` times in the training texts.  Its next-symbol distribution lists the
+words that follow it ``next_count`` times, discounted; the rest of the mass follows the
+next shorter context, and in the end the add-one unigram distribution over the whole
+vocabulary.  A context is kept only if its distribution diverges from the one it would
+have without it.  Both counts grow with the square root of the training tokens unless
+given, so the tree grows with the corpus while the share of the text that can matter to a
+level, and with it the rows that are counted, stays nearly the same.
 
 Levels, followers and vocabulary are tables keyed by hashes of contexts and pairs.  A
 kept context adds ``fall`` to the log-probability of any word behind it, a listed pair
@@ -36,12 +38,13 @@ from pyspark.sql import functions as F
 from .rows import Hashes, hash_words, keyed, mix, pieces, plain_words, signed, stored
 
 DEPTH = 3
-CONTEXT_COUNT, NEXT_COUNT = 1000, 100
-TRAVEL_SHARE = 2e-6
+#: Times the square root of the training tokens: occurrences of a candidate context and of a listed word behind it.
+CONTEXT_ROOT, NEXT_ROOT = 0.2, 0.02
+TRAVEL_SHARE = 1e-6
 #: Smallest divergence, in nats, of a kept context from its suffix.
 DIVERGENCE = 0.01
 DISCOUNT = 0.5
-PIECE = 4_000_000
+PIECE = 6_000_000
 #: Bits of a map of hashes; a power of two.
 MAP_BITS = 1 << 25
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b" "))
@@ -138,7 +141,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _followers(maps, depth: int):
-    """Counts of the words behind candidate contexts of a length, with the shorter contexts' keys.
+    """Counts of the words behind candidate contexts of a length.
 
     ``maps`` holds the bit maps of the candidate contexts and of the words that may follow.
     """
@@ -153,12 +156,7 @@ def _followers(maps, depth: int):
             use = use[words.may_hold(tokens[use])]
             keys, first, n = np.unique(levels.keys[-1][use], return_index=True, return_counts=True)
             at = use[first]
-            columns = [keys, levels.contexts[-1][at], tokens[at]]
-            names = ["key", "context", "word"]
-            for d in range(depth - 1):
-                columns += [levels.keys[d][at], levels.contexts[d][at]]
-                names += [f"key{d + 1}", f"context{d + 1}"]
-            yield pa.record_batch([*[pa.array(signed(c)) for c in columns], pa.array(n)], [*names, "n"])
+            yield pa.record_batch([pa.array(signed(levels.contexts[-1][at])), pa.array(signed(tokens[at])), pa.array(n)], ["context", "word", "n"])
 
     return count
 
@@ -188,6 +186,8 @@ def _texts(known):
                     near = use[held.near.may_hold(wanted[use])]
                     at = find(held.keys, wanted[near])
                     gain[near] += np.where(at >= 0, held.gains[np.maximum(at, 0)] if len(held.keys) else 0.0, 0.0)
+                    if held.far is None:
+                        continue
                     far = use[held.far.may_hold(wanted[use])]
                     keys.append(wanted[far])
                     owners.append(text[far])
@@ -212,7 +212,7 @@ def _texts(known):
 
 
 class SuffixTreeModel:
-    """A tree fitted on the rows of ``docs`` where ``learn`` holds.
+    """A tree fitted on the rows of ``docs`` where ``learn`` holds; the first two counts follow the root rule if None.
 
     ``entries`` holds ``key, gain, n`` of every kept context and listed pair; ``levels``
     the numbers of candidate contexts, kept contexts and listed pairs per length.
@@ -220,13 +220,10 @@ class SuffixTreeModel:
 
     def __init__(
         self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
-        context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT, travel_share: float = TRAVEL_SHARE,
+        context_count: int | None = None, next_count: int | None = None, travel_share: float = TRAVEL_SHARE,
         divergence: float = DIVERGENCE,
     ):
-        if depth < 0 or not 1 <= next_count <= context_count:
-            raise ValueError("The depth is not negative, and 1 <= next_count <= context_count.")
-        self.id_col, self.text_col = id_col, text_col
-        self.context_count, self.next_count, self.divergence = context_count, next_count, divergence
+        self.id_col, self.text_col, self.divergence = id_col, text_col, divergence
         self.context = docs.sparkSession.sparkContext
         teach = docs.where(F.coalesce(learn, F.lit(False))).select(docs[text_col].cast("string").cast("binary").alias("text"))
         self.counts = stored(
@@ -234,6 +231,11 @@ class SuffixTreeModel:
         )
         state = self.counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total, self.vocabulary = state["n"] or 0, state["v"]
+        root = math.sqrt(self.total)
+        self.context_count = max(2, math.ceil(CONTEXT_ROOT * root)) if context_count is None else context_count
+        self.next_count = max(2, math.ceil(NEXT_ROOT * root)) if next_count is None else next_count
+        if depth < 0 or not 1 <= self.next_count <= self.context_count:
+            raise ValueError("The depth is not negative, and 1 <= next_count <= context_count.")
         self.bar = max(1.0, travel_share * self.total)
         words, counts = self._sorted(self.counts.where(F.col("n") >= self.bar), "word", "n")
         self.known = Known(self.total, self.vocabulary, words, counts)
@@ -241,13 +243,10 @@ class SuffixTreeModel:
         self.entries: DataFrame | None = None
         self.fitted: list[tuple[DataFrame, DataFrame]] = []
         end = int(np.array([END_HASH]).view(np.int64)[0])
-        contexts = self.counts.where((F.col("n") >= context_count) & (F.col("word") != end)).select(
-            F.col("word").alias("h"), F.col("n").alias("total")
-        )
         if self.total and depth:
-            self.next_words = BitMap.of(self.counts.where(F.col("n") >= next_count).select(F.col("word").alias("h")))
-            # The context of one word is filed under its salted hash.
-            contexts = contexts.mapInArrow(_salted, "h long, total long")
+            self.next_words = BitMap.of(self.counts.where(F.col("n") >= self.next_count).select(F.col("word").alias("h")))
+            contexts = self.counts.where((F.col("n") >= self.context_count) & (F.col("word") != end)).select("word", F.col("n").alias("total"))
+            contexts = contexts.mapInArrow(_salted, "context long, total long")
             for d in range(1, depth + 1):
                 contexts = self._grow(teach, d, contexts, end)
                 if contexts is None:
@@ -262,16 +261,21 @@ class SuffixTreeModel:
         return keys[order], values[order]
 
     def _grow(self, teach: DataFrame, depth: int, contexts: DataFrame, end: int) -> DataFrame | None:
-        """Adds the level of ``depth``; returns the candidate contexts one word longer."""
+        """Adds the level of ``depth``; returns the candidate contexts one word longer.
+
+        ``contexts`` holds ``context, total`` and the shorter contexts ``context1 ..`` within each.
+        """
         contexts = stored(contexts, "suffix-tree-contexts")
         candidates = contexts.count()
         if not candidates:
             return None
-        maps = self.context.broadcast((BitMap.of(contexts.select("h")), self.next_words))
-        names = ["key", "context", "word", *[f"{c}{d}" for d in range(1, depth) for c in ("key", "context")]]
-        counted = teach.mapInArrow(_followers(maps, depth), ", ".join(f"{c} long" for c in [*names, "n"]))
-        often = counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= self.next_count)
-        often = stored(often.join(contexts.withColumnRenamed("h", "context"), "context"), "suffix-tree-followers")
+        maps = self.context.broadcast((BitMap.of(contexts.select(F.col("context").alias("h"))), self.next_words))
+        counted = teach.mapInArrow(_followers(maps, depth), "context long, word long, n long")
+        often = counted.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= self.next_count)
+        shorter = [f"context{d}" for d in range(1, depth)]
+        often = often.join(contexts, "context").select("context", "word", "n", "total", *shorter)
+        names = ["context", "word", "n", "total", *shorter, "key", "last", *[f"key{d}" for d in range(1, depth)]]
+        often = stored(often.mapInArrow(_keys(depth), ", ".join(f"{c} long" for c in names)), "suffix-tree-followers")
         root = F.log((F.col("c") + 1.0) / (self.total + self.vocabulary + 1))
         rows = often.join(self.counts.select("word", F.col("n").alias("c")), "word").withColumn("low", root)
         for d, (kept, listed) in enumerate(self.fitted, 1):
@@ -299,8 +303,10 @@ class SuffixTreeModel:
         )
         self.fitted.append((kept, listed))
         self.levels.append((candidates, kept.count(), listed.count()))
+        # What the words before make with the new one, from the shortest on.
+        within = [F.col("last").alias("context1"), *[F.col(f"key{d}").alias(f"context{d + 1}") for d in range(1, depth)]]
         return often.where((F.col("n") >= self.context_count) & (F.col("word") != end)).select(
-            F.col("key").alias("h"), F.col("n").alias("total")
+            F.col("key").alias("context"), F.col("n").alias("total"), *within
         )
 
     def _travel(self) -> None:
@@ -317,9 +323,9 @@ class SuffixTreeModel:
         keys, gains = self._sorted(entries.where(F.col("n") >= self.bar), "key", "gain")
         self.entries = entries.where(F.col("n") < self.bar)
         near = entries.where(F.col("n") >= self.bar).select(F.col("key").alias("h"))
+        far = None if self.entries.isEmpty() else BitMap.of(self.entries.select(F.col("key").alias("h")))
         self.known = Known(
-            self.total, self.vocabulary, self.known.words, self.known.counts, len(self.fitted), keys, gains, BitMap.of(near),
-            BitMap.of(self.entries.select(F.col("key").alias("h"))),
+            self.total, self.vocabulary, self.known.words, self.known.counts, len(self.fitted), keys, gains, BitMap.of(near), far
         )
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -352,9 +358,24 @@ class SuffixTreeModel:
 
 
 def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The context that one word makes is filed under its salted hash."""
     for batch in batches:
-        words = batch.column("h").to_numpy().view(np.uint64)
-        yield pa.record_batch([pa.array(signed(mix(words ^ _SALT))), batch.column("total")], ["h", "total"])
+        words = batch.column("word").to_numpy().view(np.uint64)
+        yield pa.record_batch([pa.array(signed(mix(words ^ _SALT))), batch.column("total")], ["context", "total"])
+
+
+def _keys(depth: int):
+    """Adds the keys of the word behind its context (``key``) and behind the shorter ones, and the context it makes alone."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy().view(np.uint64)  # noqa: B023, E731
+            word = column("word")
+            made = [pair(column("context"), word), mix(word ^ _SALT), *[pair(column(f"context{d}"), word) for d in range(1, depth)]]
+            names = ["key", "last", *[f"key{d}" for d in range(1, depth)]]
+            yield pa.record_batch([*batch.columns, *[pa.array(signed(m)) for m in made]], [*batch.schema.names, *names])
+
+    return add
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
