@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chi_square
-from ..models import density, discriminant, hmm, library, oblique, trees
+from ..models import boosting, density, discriminant, hmm, library, oblique, trees
 from ..models.contributions import mean_abs_contribution, tree_contributions
 from ..models.moments import class_covariances, class_moments, covariance_table, max_correlation, pooled_covariance, ClassStats
 from ..operators.prepare import fit_prepare, split
@@ -142,12 +142,69 @@ _docs_fit("fit_id3", trees.ID3)
 _docs_fit("fit_chaid", trees.CHAID)
 _docs_fit("fit_oblique", oblique.Oblique)
 _docs_fit("fit_random_forest", lambda: library.RandomForest(n_estimators=20, max_depth=6))
-_docs_fit("fit_gbt", lambda: library.BoostedTrees(n_estimators=10, max_depth=4))
+_docs_fit("fit_gbt", boosting.BoostedTrees)
 _docs_fit("fit_svm_linear", lambda: library.SVM("linear"))
 _docs_fit("fit_svm_rbf", lambda: library.SVM("rbf", n_components=50))
 _docs_fit("fit_mlp", lambda: library.Perceptron((16, 8), 50))
 
 
+def _flag_rows(spark, sf):
+    """Line items with their return flag as label; every feature has few distinct values."""
+    li = read_table(spark, sf, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return li.select(key.alias("row_id"), F.col("l_returnflag").alias("label"), F.array(*[F.col(c).cast("double") for c in _FLAG_FEATURES]).alias("features"))
+
+
+_FLAG_FEATURES = ("l_quantity", "l_discount", "l_tax")
+_PICK = "CASE b.feature " + " ".join(f"WHEN {j} THEN x{j}" for j in range(3)) + " END"
+
+
+def _cuts_sql(depth: int) -> str:
+    """Best cut per class and node of a level: gradients 1/3 - [label = class], curvatures 4/9, one as penalty."""
+    part = lambda g, h: f"({g}) * ({g}) / ({h} + 1)"
+    return f"""
+h{depth} AS (
+  SELECT cls, path, feature, x, count(*) / 3e0 - count(*) FILTER (label = cls) AS g, count(*) * 4 / 9e0 AS h
+  FROM (SELECT cls, path, label, unnest([0, 1, 2]) AS feature, unnest([x0, x1, x2]) AS x FROM n{depth}) GROUP BY ALL),
+s{depth} AS (
+  SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER t AS gt, sum(h) OVER t AS ht, max(x) OVER t AS last FROM h{depth}
+  WINDOW w AS (PARTITION BY cls, path, feature ORDER BY x), t AS (PARTITION BY cls, path, feature)),
+c{depth} AS (
+  SELECT *, ({part("gl", "hl")} + {part("gt - gl", "ht - hl")} - {part("gt", "ht")}) / 2 AS gain,
+  FROM s{depth} WHERE x < last AND hl >= 1 AND ht - hl >= 1),
+b{depth} AS MATERIALIZED (
+  SELECT c.*, e.threshold FROM c{depth} c JOIN edge e USING (feature, x) WHERE gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY cls, path ORDER BY gain DESC, feature, x) = 1)"""
+
+
+@query("boost_first_trees", f"""
+WITH li AS (SELECT l_returnflag AS label, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2 FROM lineitem),
+edge AS (
+  SELECT feature, x, x + (lead(x) OVER (PARTITION BY feature ORDER BY x) - x) / 2 AS threshold
+  FROM (SELECT DISTINCT unnest([0, 1, 2]) AS feature, unnest([x0, x1, x2]) AS x FROM li)),
+n0 AS (SELECT li.*, k.cls, '' AS path FROM li, (SELECT DISTINCT label AS cls FROM li) k),{_cuts_sql(0)},
+n1 AS (SELECT n.* EXCLUDE (path), CASE WHEN {_PICK} <= b.threshold THEN 'L' ELSE 'R' END AS path FROM n0 n JOIN b0 b ON b.cls = n.cls),{_cuts_sql(1)},
+l AS (
+  SELECT b.cls, b.path || side AS path, CASE side WHEN 'L' THEN gl ELSE gt - gl END AS g, CASE side WHEN 'L' THEN hl ELSE ht - hl END AS h
+  FROM b1 b, (VALUES ('L'), ('R')) t(side))
+SELECT cls, path, CAST(feature AS BIGINT) AS feature, {R('threshold')} AS threshold, {R('gain', 4)} AS gain, CAST(0 AS DOUBLE) AS value FROM b0
+UNION ALL SELECT cls, path, CAST(feature AS BIGINT), {R('threshold')}, {R('gain', 4)}, 0 FROM b1
+UNION ALL SELECT cls, path, -1, 0, 0, {R('-0.1 * g / (h + 1)')} FROM l""")
+def boost_first_trees(spark, sf):
+    """The trees of the first round, one per class, two levels deep."""
+    fitted = boosting.BoostedTrees(n_estimators=1, max_depth=2).fit(_flag_rows(spark, sf))
+    rows = []
+    for tree in fitted.trees:
+        paths = {0: ""}
+        for i, f in enumerate(tree.feature):
+            if f >= 0:
+                paths[tree.left[i]], paths[tree.right[i]] = paths[i] + "L", paths[i] + "R"
+            inner = (f, tree.threshold[i], tree.gain[i], 0.0) if f >= 0 else (-1, 0.0, 0.0, tree.value[i])
+            rows.append((fitted.classes[tree.output], paths[i], *inner))
+    t = spark.createDataFrame(rows, "cls string, path string, feature bigint, threshold double, gain double, value double")
+    return t.select("cls", "path", "feature", rnd("threshold").alias("threshold"), rnd("gain", 4).alias("gain"), rnd("value").alias("value"))
+
+
 def _vector_fit(name, model):
     @query(name)
     def run(spark, sf):
@@ -387,6 +444,15 @@ def tree_contributions_query(spark, sf):
     return out.withColumn("phi", rnd("phi")).withColumn("base", rnd("base"))
 
 
+@query("boost_contributions")
+def boost_contributions(spark, sf):
+    """Margins of three classes, shared among the features."""
+    rows = _flag_rows(spark, sf)
+    fitted = boosting.BoostedTrees(n_estimators=5, max_depth=3).fit(rows)
+    out = tree_contributions(rows, fitted).groupBy("class", "feature").agg(F.avg("phi").alias("phi"), F.avg(F.abs("phi")).alias("mean_abs"), F.first("base").alias("base"))
+    return out.select("class", "feature", rnd("phi").alias("phi"), rnd("mean_abs").alias("mean_abs"), rnd("base").alias("base"))
+
+
 @query("mean_abs_contribution", f"""
 WITH {VECTORS}, l AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS j FROM vec),
 m AS (SELECT j, label, avg(abs(x)) AS m FROM l GROUP BY 1, 2)

@@ -45,7 +45,7 @@ def _docs_fits(spark, sf):
 @query("impute_median", f"WITH {DOCS_FIT} SELECT doc_id, {R('coalesce(CAST(n_chars AS DOUBLE), med)')} AS n_chars FROM docs_s, docs_med")
 def impute_median(spark, sf):
     raw, train, n = _docs_fits(spark, sf)
-    fit = P.fit_numeric(train, ["n_chars"], n)[0]
+    fit = P.fit_numeric(train, ["n_chars"])[0]
     return raw.select("doc_id", rnd(P.imputed_number(fit)).alias("n_chars"))
 
 
@@ -77,7 +77,7 @@ def label_encode(spark, sf):
 @query("scale", f"WITH {DOCS_FLAT} SELECT row_id, {R('f0')} AS n_chars FROM docs_x")
 def scale(spark, sf):
     raw, train, n = _docs_fits(spark, sf)
-    fit = P.fit_numeric(train, ["n_chars"], n)[0]
+    fit = P.fit_numeric(train, ["n_chars"])[0]
     return raw.select(F.col("doc_id").alias("row_id"), rnd(P.scaled(fit)).alias("n_chars"))
 
 

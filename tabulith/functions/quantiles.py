@@ -1,9 +1,12 @@
-"""Exact linear-interpolation quantiles at any table size.
+"""Exact linear-interpolation quantiles of many columns at once, in bounded memory.
 
-``percentile`` keeps every distinct value of a column in one hash map, which is
-fine up to a few million rows.  Beyond that, ``percentile_approx`` (bounded
-memory) brackets the wanted order statistics first and only the values inside
-the bracket are sorted exactly.
+Radix selection: a value's 64 bits are read as a whole number that sorts like the value,
+16 bits a round.  A round counts the next 16 bits of the values that share the bits found
+so far, for every wanted order statistic of every column, and keeps the digit that holds
+the wanted rank.  At most four rounds are needed, whatever the rows or how they repeat; a
+digit whose smallest and largest value agree ends its search early, so whole numbers of
+up to 20 bits take two.  Counts are summed per task and per shuffle; no group holds more
+than 65 536 of them.
 """
 
 from __future__ import annotations
@@ -11,139 +14,124 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DIRECT_ROWS = 2_000_000
-ACCURACY = 10_000
+DIGIT = 16
+BLOCK_ROWS = 65_536
+_SIGN = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
-    n_rows: int | None = None,
-) -> dict[str, list[float] | None]:
+def ordered_codes(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one, NaN comes last."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(np.isnan(values), _SIGN, np.where(bits < 0, bits ^ _SIGN, bits))
+
+
+def value_of(code: int) -> float:
+    if code == int(_SIGN):
+        return math.nan
+    bits = np.array([code], np.int64)
+    return float(np.where(bits < 0, bits ^ _SIGN, bits).view(np.float64)[0])
+
+
+def _counter(slots: list[list[tuple[int | None, int]]], shift: int):
+    """Counts ``slot, digit, n, low, high``; ``slots`` lists the open prefixes of each column."""
+    prefixes = [np.array([p for p, _ in own if p is not None], np.int64) for own in slots]
+    numbers = [np.array([s for _, s in own], np.int32) for own in slots]
+    mask = np.int64((1 << DIGIT) - 1)
+
+    def emit(columns: list[list[np.ndarray]]):
+        for c, parts in enumerate(columns):
+            if not parts or not len(numbers[c]):
+                continue
+            codes, n = np.unique(ordered_codes(np.concatenate(parts)), return_counts=True)
+            digit = codes >> np.int64(shift)
+            if len(prefixes[c]):
+                above = digit >> np.int64(DIGIT)
+                at = np.minimum(np.searchsorted(prefixes[c], above), len(prefixes[c]) - 1)
+                use = prefixes[c][at] == above
+                codes, n, digit, slot = codes[use], n[use], digit[use] & mask, numbers[c][at[use]]
+            else:
+                slot = np.full(len(codes), numbers[c][0], np.int32)
+            if not len(codes):
+                continue
+            # Codes ascend, so slots and digits stand in runs.
+            first = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (digit[1:] != digit[:-1])])
+            last = np.r_[first[1:], len(codes)] - 1
+            yield pa.record_batch(
+                [pa.array(slot[first]), pa.array(digit[first].astype(np.int32)), pa.array(np.add.reduceat(n, first)),
+                 pa.array(codes[first]), pa.array(codes[last])], ["slot", "digit", "n", "low", "high"],
+            )
+
+    def count(batches):
+        held: list[list[np.ndarray]] = [[] for _ in slots]
+        rows = 0
+        for batch in batches:
+            for c in range(len(slots)):
+                if len(numbers[c]):
+                    held[c].append(batch.column(c).drop_null().to_numpy(zero_copy_only=False))
+            rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
+                yield from emit(held)
+                held, rows = [[] for _ in slots], 0
+        yield from emit(held)
+
+    return count
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
     """Exact quantiles of each column, nulls left out; ``None`` if all null."""
-    columns = list(columns)
+    columns, probs = list(columns), [float(p) for p in probabilities]
     if not columns:
         return {}
-    if n_rows is None:
-        n_rows = df.count()
-    probs = [float(p) for p in probabilities]
-    if n_rows <= direct_rows:
-        literal = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), literal).alias(f"q{i}")
-              for i, c in enumerate(columns)]
-        ).first()
-        return {c: (None if row[i] is None else list(row[i])) for i, c in enumerate(columns)}
-    return _bracketed(df, columns, probs, direct_rows)
-
-
-def _bracketed(df, columns, probs, direct_rows):
-    slack = 2.0 / ACCURACY
-    wanted: list[float] = []
-    for p in probs:
-        wanted += [max(0.0, p - slack), min(1.0, p + slack)]
-    aggregates = []
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    # Open searches: slot -> (column, bits found, {wanted rank: rank among the values that share them}).
+    open_: list[tuple[int, int | None, dict[int, int]]] = [(i, None, {}) for i in range(len(columns))]
+    totals: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        slots: list[list[tuple[int | None, int]]] = [[] for _ in columns]
+        for s, (c, prefix, _) in enumerate(open_):
+            slots[c].append((prefix, s))
+        slots = [sorted(own, key=lambda x: (x[0] is not None, x[0])) for own in slots]
+        counts = values.mapInArrow(_counter(slots, shift), "slot int, digit int, n long, low long, high long").groupBy("slot", "digit").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        group = W.partitionBy("slot")
+        upto = F.sum("n").over(group.orderBy("digit").rowsBetween(W.unboundedPreceding, 0))
+        counts = counts.withColumn("before", upto - F.col("n")).withColumn("total", F.sum("n").over(group))
+        if not totals:
+            place = lambda p: F.lit(p) * (F.col("total") - 1)
+            ranks = F.array_distinct(F.array(*[f(place(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+            wanted = counts.withColumn("rank", F.explode(ranks)).withColumn("own", F.col("rank"))
+        else:
+            listed = [(s, rank, own) for s, (_, _, ranks_) in enumerate(open_) for rank, own in ranks_.items()]
+            targets = df.sparkSession.createDataFrame(listed, "slot int, rank long, own long")
+            wanted = counts.join(targets, "slot")
+        rows = wanted.where("own >= before and own < before + n").collect()
+        after: dict[tuple[int, int], dict[int, int]] = {}
+        for r in rows:
+            c = open_[r["slot"]][0]
+            totals.setdefault(c, r["total"])
+            if r["low"] == r["high"]:
+                found[c, r["rank"]] = value_of(r["low"])
+            else:
+                after.setdefault((c, r["low"] >> shift), {})[r["rank"]] = r["own"] - r["before"]
+        open_ = [(c, prefix, ranks_) for (c, prefix), ranks_ in sorted(after.items())]
+        if not open_:
+            break
+    result: dict[str, list[float] | None] = {}
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggregates += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-            F.percentile_approx(x, wanted, ACCURACY).alias(f"a{i}"),
-        ]
-    first = df.agg(*aggregates).first()
-    live = [(i, c) for i, c in enumerate(columns) if first[f"n{i}"]]
-    # one bracket per wanted order statistic: (column, rank) -> [lo, hi]
-    brackets: dict[tuple[str, int], list[float]] = {}
-    for i, c in live:
-        for j, p in enumerate(probs):
-            position = p * (first[f"n{i}"] - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                brackets[(c, rank)] = [first[f"a{i}"][2 * j], first[f"a{i}"][2 * j + 1]]
-    keys = list(brackets)
-    counted = df.agg(
-        *[F.count_if(F.col(c).cast("double") < F.lit(brackets[(c, r)][0])).alias(f"b{k}")
-          for k, (c, r) in enumerate(keys)],
-        *[F.count_if(F.col(c).cast("double").between(*brackets[(c, r)])).alias(f"i{k}")
-          for k, (c, r) in enumerate(keys)],
-    ).first() if keys else None
-    state = {}
-    for k, (c, r) in enumerate(keys):
-        lo, hi = brackets[(c, r)]
-        below, inside = counted[f"b{k}"], counted[f"i{k}"]
-        if not below <= r < below + inside:
-            i = columns.index(c)                       # the estimate missed: whole range
-            lo, hi, below, inside = first[f"lo{i}"], first[f"hi{i}"], 0, first[f"n{i}"]
-        state[(c, r)] = (lo, hi, r - below, inside)
-    values = _narrow(df, state, direct_rows)
-    result: dict[str, list[float] | None] = {c: None for c in columns}
-    for i, c in live:
+        if i not in totals:
+            result[c] = None
+            continue
         result[c] = []
         for p in probs:
-            position = p * (first[f"n{i}"] - 1)
-            low, high = math.floor(position), math.ceil(position)
-            a, b = values[(c, low)], values[(c, high)]
-            result[c].append(a + (position - low) * (b - a))
+            position = p * (totals[i] - 1)
+            low, high = found[i, math.floor(position)], found[i, math.ceil(position)]
+            result[c].append(low if low == high else low + (position - math.floor(position)) * (high - low))
     return result
-
-
-def _inside(df: DataFrame, brackets: dict[int, tuple[str, float, float]]) -> DataFrame:
-    """``(k, x)`` for every value inside bracket ``k``; everything else is dropped early."""
-    items = [
-        F.when(F.col(c).cast("double").between(lo, hi), F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("x")))
-        for k, (c, lo, hi) in brackets.items()
-    ]
-    return df.select(F.explode(F.filter(F.array(*items), lambda v: v.isNotNull())).alias("v")).select("v.k", "v.x")
-
-
-def _narrow(df, state, direct_rows, bins: int = 1024):
-    """Order statistics of all brackets together, a round of bins at a time.
-
-    Copies of one value end in a bracket of width zero, so a heavy value cannot
-    keep a bracket large.  At most ``direct_rows`` values reach the last sort.
-    """
-    found: dict[tuple[str, int], float] = {}
-    while True:
-        for key, (lo, hi, _, _) in list(state.items()):
-            if lo == hi:
-                found[key] = lo
-                del state[key]
-        wide = {key: s for key, s in state.items() if s[3] > direct_rows and s[0] + (s[1] - s[0]) / bins > s[0]}
-        if not wide:
-            break
-        keys = list(wide)
-        long = _inside(df, {k: (key[0], wide[key][0], wide[key][1]) for k, key in enumerate(keys)})
-        lows = F.array(*[F.lit(wide[key][0]) for key in keys])
-        widths = F.array(*[F.lit((wide[key][1] - wide[key][0]) / bins) for key in keys])
-        code = F.least(F.floor((F.col("x") - lows[F.col("k")]) / widths[F.col("k")]), F.lit(bins - 1))
-        rows = (
-            long.groupBy("k", code.alias("code"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .orderBy("k", "code").collect()            # brackets * bins rows
-        )
-        rest = {k: wide[key][2] for k, key in enumerate(keys)}
-        settled: set[int] = set()
-        for r in rows:
-            k = r["k"]
-            if k in settled:
-                continue
-            if rest[k] < r["n"]:
-                state[keys[k]] = (r["lo"], r["hi"], rest[k], r["n"])
-                settled.add(k)
-            else:
-                rest[k] -= r["n"]
-    if state:
-        keys = list(state)
-        long = _inside(df, {k: (key[0], state[key][0], state[key][1]) for k, key in enumerate(keys)})
-        upto = F.sum("n").over(W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-        ranks = F.array(*[F.lit(state[key][2]) for key in keys])
-        picked = (
-            long.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-            .where(F.col("upto") > ranks[F.col("k")]).groupBy("k").agg(F.min("x").alias("x"))
-        )
-        found.update({keys[r["k"]]: r["x"] for r in picked.collect()})
-    return found

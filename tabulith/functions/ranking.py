@@ -1,22 +1,31 @@
-"""Exact ranks and running sums that do not funnel a group through one task.
+"""Exact ranks, running sums and neighbours that do not funnel a group through one task.
 
-A window without a partition (or with one huge partition) sorts all its rows in
-a single task.  The helpers here cut each group into ordered buckets first, rank
-or sum inside the buckets, and add the totals of the buckets before.
+A window without a partition (or with one huge partition) sorts all its rows in a single
+task.  Hash ranks count inside ordered buckets of the hash and add the totals before.
+Running sums and neighbouring values are prefix scans: the rows are dealt out by range
+and sorted once, each partition reports its borders in one row, the driver turns those
+into one carry per partition, and a single walk fills in the results.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 HASH_PREFIX = 4          # hex digits: 65 536 ordered buckets per group
 SMALL_HASH_PREFIX = 1
 SMALL_ROWS = 200_000
-BUCKET_ROWS = 500_000
 
 
 def order_hash(key: str | Column, seed: int = 42) -> Column:
@@ -53,116 +62,186 @@ def with_hash_rank(
     )
 
 
-def with_range_bucket(
-    df: DataFrame, by: Sequence[str], order: Column, bucket_rows: int = BUCKET_ROWS, pieces: int = 256
-) -> DataFrame:
-    """Add ``__bucket``: order-monotone pieces of each group, one piece if small.
-
-    Only groups above ``bucket_rows`` rows get boundaries, so the boundary table
-    has at most ``rows / bucket_rows`` groups; the join strategy is left to AQE.
-    """
-    by = list(by)
-    keys = by or ["__all"]
-    tagged = df.withColumn("__pos", order.cast("double"))
-    if not by:
-        tagged = tagged.withColumn("__all", F.lit(0))
-    hot = (
-        tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > bucket_rows).select(*keys)
-    )
-    edges = tagged.join(hot, keys, "left_semi").groupBy(*keys).agg(
-        F.array_distinct(
-            F.percentile_approx("__pos", [i / pieces for i in range(1, pieces)], 10 * pieces)
-        ).alias("__edges")
-    )
-    bucket = F.expr("size(filter(__edges, e -> e < __pos))")
-    joined = tagged.join(edges, keys, "left").withColumn(
-        "__bucket", F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(bucket).cast("int")
-    )
-    drop = ["__edges", "__pos"] + ([] if by else ["__all"])
-    return joined.drop(*drop)
+# --- prefix scan ----------------------------------------------------------------
 
+def _ordered(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """``df`` dealt out by range and sorted, written once so that the borders stay.
 
-def running_sum(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    values: dict[str, str],
-    bucket_rows: int = BUCKET_ROWS,
+    ``__part`` numbers the partitions in order; ``__group`` tells neighbouring groups apart.
+    """
+    keys = [x for c in by for x in (F.col(c), F.col(c).isNull())]
+    group = F.xxhash64(*keys) if by else F.lit(0).cast("long")
+    dealt = df.repartitionByRange(*[F.col(c) for c in by], F.col(order)).sortWithinPartitions(*by, order)
+    return cut_lineage(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__group", group))
+
+
+def _segments(group: np.ndarray) -> np.ndarray:
+    """First row of every stretch of one group."""
+    return np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values with nulls as 0, whole numbers exact, and where values stand."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    whole = pa.types.is_integer(column.type)
+    if not whole:
+        column = column.cast(pa.float64())
+    values = pc.fill_null(column, 0 if whole else 0.0).to_numpy(zero_copy_only=False)
+    return values.astype(np.int64 if whole else np.float64), there
+
+
+def _borders(sums: Sequence[str], values: Sequence[str], steps: int):
+    """One row per partition: its first and last group, the sums and values a neighbour needs."""
+
+    def report(batches):
+        part = first = last = None
+        totals: list[Any] = []
+        seen: list[int] = []
+        head: dict[str, Any] = {}
+        tail: dict[str, list[Any]] = {}
+        one = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("__group").to_numpy()
+            starts = _segments(group)
+            if part is None:
+                part, first = batch.column("__part")[0].as_py(), int(group[0])
+                head = {v: batch.column(v)[0].as_py() for v in values}
+            fresh = last != int(group[0]) or len(starts) > 1
+            if last is None or fresh:
+                one = one and last is None and len(starts) == 1
+            begin = int(starts[-1])
+            if fresh:
+                totals, seen, tail = [0] * len(sums), [0] * len(sums), {v: [] for v in values}
+            for k, name in enumerate(sums):
+                x, there = _numbers(batch.column(name).slice(begin))
+                totals[k] += x.sum().item()
+                seen[k] += int(there.sum())
+            for v in values:
+                # Only the last rows can matter to the partition after.
+                own = batch.column(v).slice(max(begin, batch.num_rows - steps)).to_pylist() if steps else []
+                tail[v] = (tail[v] + own)[-steps:] if steps else []
+            last = int(group[-1])
+        if part is not None:
+            yield pa.RecordBatch.from_pylist([{"state": pickle.dumps((part, first, last, one, totals, seen, head, tail))}])
+
+    return report
+
+
+def _carries(rows: Sequence[tuple], sums: Sequence[str], values: Sequence[str], steps: int) -> dict[int, dict[str, Any]]:
+    """What each partition adds to its first group, and what follows its last row."""
+    rows = sorted(rows)
+    out: dict[int, dict[str, Any]] = {}
+    group, totals, seen, tail = None, [0] * len(sums), [0] * len(sums), {v: [] for v in values}
+    for i, (part, first, last, one, own, count, head, ends) in enumerate(rows):
+        same = group == first and i > 0
+        carry = {
+            "group": first if same else None, "sums": totals if same else [0] * len(sums),
+            "seen": seen if same else [0] * len(sums), "tail": tail if same else {v: [] for v in values}, "next": None,
+        }
+        if i + 1 < len(rows) and rows[i + 1][1] == last:
+            carry["next"] = rows[i + 1][6]
+        out[part] = carry
+        if one and same:
+            totals, seen = [a + b for a, b in zip(totals, own)], [a + b for a, b in zip(seen, count)]
+            tail = {v: (tail[v] + ends[v])[-steps:] if steps else [] for v in values}
+        else:
+            totals, seen, tail = own, count, ends
+        group = last
+    return out
+
+
+def prefix_scan(
+    df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str] | None = None,
+    before: dict[str, str] | None = None, steps: int = 0, after: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Running sums of ``values`` (input -> output name), current row included."""
-    by = list(by)
-    bucketed = with_range_bucket(df, by, F.col(order), bucket_rows)
-    keys = [*by, "__bucket"]
-    totals = bucketed.groupBy(*keys).agg(
-        *[F.sum(src).alias(f"__total_{out}") for src, out in values.items()]
-    )
-    before = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = before.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        *[
-            F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__off_{out}")
-            for out in values.values()
-        ],
-    )
-    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    result = bucketed
-    for src, out in values.items():
-        result = result.withColumn(f"__in_{out}", F.sum(src).over(inside))
-    result = result.join(offsets, keys)
-    for out in values.values():
-        result = result.withColumn(out, F.col(f"__in_{out}") + F.col(f"__off_{out}"))
-    return result.drop(
-        "__bucket", *[f"__in_{o}" for o in values.values()], *[f"__off_{o}" for o in values.values()]
-    )
+    """Running sums and neighbouring values of every row within its group, by ``order``.
 
+    ``sums`` maps inputs to running sums (current row included; null before the first
+    value), ``before`` to ``out_1 .. out_steps`` of the rows before and ``after`` to the
+    value of the next row.  Rows are read once for the sort and twice from its result,
+    whatever the size of a group.
+    """
+    by, sums, before, after = list(by), sums or {}, before or {}, after or {}
+    ordered = _ordered(df, by, order)
+    values = sorted({*before, *after})
+    columns = list(dict.fromkeys(["__part", "__group", *sums, *values]))
+    reports = ordered.select(*columns).mapInArrow(_borders(list(sums), values, steps), "state binary").collect()
+    carries = _carries([pickle.loads(r["state"]) for r in reports], list(sums), values, steps)
+    fields = [f for f in ordered.schema if f.name not in ("__part", "__group")]
+    kinds = {f.name: f.dataType for f in fields}
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    made = [T.StructField(o, T.LongType() if isinstance(kinds[c], whole) else T.DoubleType()) for c, o in sums.items()]
+    made += [T.StructField(f"{o}_{k}", kinds[c]) for c, o in before.items() for k in range(1, steps + 1)]
+    made += [T.StructField(o, kinds[c]) for c, o in after.items()]
+    names = [f.name for f in fields]
+
+    def walk(batches):
+        """The batches with the results, each finished when the next one is seen."""
+        held = None  # one batch back, since the next row's value may stand in the batch after
+        state: dict[str, Any] = {}
+
+        def filled(batch, follow):
+            group = batch.column("__group").to_numpy()
+            starts = _segments(group)
+            sizes = np.diff(np.r_[starts, len(group)])
+            joins = state["group"] == int(group[0])
+            out = [batch.column(n) for n in names]
+            for k, (c, o) in enumerate(sums.items()):
+                x, there = _numbers(batch.column(c))
+                run, count = np.cumsum(x), np.cumsum(there)
+                base, empty = np.repeat(run[starts] - x[starts], sizes), np.repeat(count[starts] - there[starts], sizes)
+                run, count = run - base, count - empty
+                if joins:
+                    run[: sizes[0]] += state["sums"][k]
+                    count[: sizes[0]] += state["seen"][k]
+                state["sums"][k], state["seen"][k] = run[-1].item(), int(count[-1])
+                out.append(pa.array(run, mask=count == 0))
+            place = np.arange(len(group)) - np.repeat(starts, sizes)
+            if joins:
+                place[: sizes[0]] += steps  # as if the carried rows stood in front
+            tails = {}
+            for c in before:
+                column = batch.column(c)
+                lead = state["tail"].get(c, []) if joins else []
+                front = pa.array([None] * (steps - len(lead)) + list(lead), column.type)
+                joined = pa.concat_arrays([front, column])
+                for k in range(1, steps + 1):
+                    at = np.arange(len(group)) + steps - k
+                    out.append(joined.take(pa.array(at, mask=place < k)))
+                own = column.slice(max(int(starts[-1]), len(column) - steps)).to_pylist()
+                tails[c] = ((list(lead) if joins and len(starts) == 1 else []) + own)[-steps:]
+            for c in after:
+                column = batch.column(c)
+                more = follow.get(c) if follow else None
+                joined = pa.concat_arrays([column, pa.array([more], column.type)])
+                last = np.r_[group[1:] != group[:-1], follow is None]
+                out.append(joined.take(pa.array(np.arange(1, len(group) + 1), mask=last)))
+            state["tail"], state["group"] = tails, int(group[-1])
+            return pa.RecordBatch.from_arrays(out, names=[*names, *[f.name for f in made]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                carry = carries[batch.column("__part")[0].as_py()]
+                state.update(group=carry["group"], sums=list(carry["sums"]), seen=list(carry["seen"]), tail=carry["tail"], next=carry["next"])
+            else:
+                same = held.column("__group")[-1].as_py() == batch.column("__group")[0].as_py()
+                yield filled(held, {c: batch.column(c)[0].as_py() for c in after} if same else None)
+            held = batch
+        if held is not None:
+            yield filled(held, state["next"])
+
+    return ordered.mapInArrow(walk, T.StructType([*fields, *made]))
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str]) -> DataFrame:
+    """Running sums of ``values`` (input -> output name), current row included."""
+    return prefix_scan(df, by, order, sums=values)
 
-def previous_value(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    values: dict[str, str],
-    steps: int = 1,
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """``lag(value, 1..steps)``; outputs are ``out_1 .. out_steps``.
 
-    The last ``steps`` rows of every bucket are handed to the bucket after it,
-    so a series longer than one bucket still sees its true predecessors.
-    """
-    by = list(by)
-    bucketed = with_range_bucket(df, by, F.col(order), bucket_rows).withColumn(
-        "__carry", F.lit(False)
-    )
-    keys = [*by, "__bucket"]
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    tail = (
-        bucketed.withColumn(
-            "__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc()))
-        )
-        .where(F.col("__r") <= steps)
-        .drop("__r")
-    )
-    # a bucket may hold fewer than ``steps`` rows, so the hand-over is by bucket
-    # order: the last ``steps`` tail rows before each bucket start.
-    starts = bucketed.groupBy(*keys).agg(F.min(order).alias("__start"))
-    starts = starts.withColumn("__i", F.row_number().over(group.orderBy("__bucket")))
-    numbered = tail.join(starts.select(*keys, "__i"), keys)
-    carried = (
-        numbered.withColumn(
-            "__to", F.explode(F.sequence(F.col("__i") + 1, F.col("__i") + steps))
-        )
-        .drop("__bucket", "__i")
-        .join(
-            starts.select(*by, "__bucket", F.col("__i").alias("__to")), [*by, "__to"]
-        )
-        .drop("__to")
-        .withColumn("__carry", F.lit(True))
-    )
-    everything = bucketed.unionByName(carried.select(*bucketed.columns))
-    inside = W.partitionBy(*keys).orderBy(order)
-    for src, out in values.items():
-        for k in range(1, steps + 1):
-            everything = everything.withColumn(f"{out}_{k}", F.lag(src, k).over(inside))
-    return everything.where(~F.col("__carry")).drop("__bucket", "__carry")
+def previous_value(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str], steps: int = 1) -> DataFrame:
+    """``lag(value, 1..steps)``; outputs are ``out_1 .. out_steps``."""
+    return prefix_scan(df, by, order, before=values, steps=steps)

@@ -18,18 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .base import batch_matrix
-from .library import LibraryClassifier
+from .base import Fitted, batch_matrix
+from .boosting import BoostedClassifier
 
 
-def ensemble_tables(fitted: LibraryClassifier) -> list[dict[str, Any]]:
-    """Node arrays of every tree of a library ensemble, read from its saved form."""
+def ensemble_tables(fitted: Fitted) -> list[dict[str, Any]]:
+    """Node arrays of every tree: of boosted trees, or of a library forest read from its saved form."""
+    if isinstance(fitted, BoostedClassifier):
+        return fitted.tables()
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
-    model = fitted.model
+    model = getattr(fitted, "model", None)
     if not hasattr(model, "trees"):
-        raise ValueError("Contributions need a single tree ensemble (forest or binary boosting).")
+        raise ValueError("Contributions need a tree ensemble (forest or boosting).")
     path = f"{checkpoint_dir(spark).rstrip('/')}/ensemble-{uuid.uuid4().hex}"
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -37,31 +39,23 @@ def ensemble_tables(fitted: LibraryClassifier) -> list[dict[str, Any]]:
     rows = data.select(
         F.col("treeID").alias("tree"), F.col(f"{node}id").alias("id"), F.col(f"{node}leftChild").alias("l"),
         F.col(f"{node}rightChild").alias("r"), F.col(f"{node}split.featureIndex").alias("f"),
-        F.col(f"{node}split.leftCategoriesOrThreshold").alias("t"), F.col(f"{node}prediction").alias("p"),
-        F.col(f"{node}impurityStats").alias("s"), F.col(f"{node}rawCount").alias("n"),
+        F.col(f"{node}split.leftCategoriesOrThreshold").alias("t"), F.col(f"{node}impurityStats").alias("s"),
+        F.col(f"{node}rawCount").alias("n"),
     ).collect()
-    boosted = hasattr(model, "treeWeights") and model.getNumTrees == len(model.treeWeights) and "GBT" in type(model).__name__
     trees: dict[int, dict[int, Any]] = {}
     for r in rows:
         trees.setdefault(r["tree"], {})[r["id"]] = r
-    weights = list(model.treeWeights)
     out = []
     for k in sorted(trees):
-        nodes = trees[k]
-        size = len(nodes)
-        table = {
-            "left": np.array([nodes[i]["l"] for i in range(size)]),
-            "right": np.array([nodes[i]["r"] for i in range(size)]),
-            "feature": np.array([nodes[i]["f"] for i in range(size)]),
-            "threshold": np.array([nodes[i]["t"][0] if nodes[i]["t"] else 0.0 for i in range(size)]),
-            "cover": np.array([max(float(nodes[i]["n"]), 1.0) for i in range(size)]),
-        }
-        if boosted:
-            table["value"] = weights[k] * np.array([[nodes[i]["p"]] for i in range(size)])
-        else:
-            stats = np.array([nodes[i]["s"] for i in range(size)], dtype=float)
-            table["value"] = stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300) / len(trees)
-        out.append(table)
+        nodes = [trees[k][i] for i in range(len(trees[k]))]
+        stats = np.array([n["s"] for n in nodes], dtype=float)
+        out.append({
+            "left": np.array([n["l"] for n in nodes]), "right": np.array([n["r"] for n in nodes]),
+            "feature": np.array([n["f"] for n in nodes]),
+            "threshold": np.array([n["t"][0] if n["t"] else 0.0 for n in nodes]),
+            "cover": np.array([max(float(n["n"]), 1.0) for n in nodes]),
+            "value": stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300) / len(trees),
+        })
     return out
 
 
@@ -102,27 +96,29 @@ def tree_shap(x: np.ndarray, trees: Sequence[dict[str, np.ndarray]]) -> tuple[np
             base += value * math.prod(share.values())
             one = np.stack([follow[f] for f in names]).astype(float)
             zero = np.array([share[f] for f in names])
+            # Coefficients by number of followed features, over all features of the path ...
+            poly = np.zeros((m + 1, len(x)))
+            poly[0] = 1.0
+            for j in range(m):
+                poly[1:] = poly[1:] * zero[j] + poly[:-1] * one[j]
+                poly[0] *= zero[j]
+            weights = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
             for i, f in enumerate(names):
-                # coefficient by number of followed features among the others
-                poly = np.zeros((m, len(x)))
-                poly[0] = 1.0
-                for j in range(m):
-                    if j == i:
-                        continue
-                    shifted = np.vstack([np.zeros((1, len(x))), poly[:-1] * one[j]])
-                    poly = poly * zero[j] + shifted
-                weight = sum(
-                    poly[s] * math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)
-                )
-                phi[:, f, :] += (weight * (one[i] - zero[i]))[:, None] * value[None, :]
+                # ... divided by the factor of this one.
+                rest = np.empty((m, len(x)))
+                rest[m - 1] = poly[m]
+                for s in range(m - 1, 0, -1):
+                    rest[s - 1] = poly[s] - zero[i] * rest[s]
+                rest = np.where(one[i] > 0, rest, poly[:m] / zero[i])
+                phi[:, f, :] += (weights @ rest * (one[i] - zero[i]))[:, None] * value[None, :]
     return phi, base
 
 
-def tree_contributions(df: DataFrame, fitted: LibraryClassifier) -> DataFrame:
+def tree_contributions(df: DataFrame, fitted: Fitted) -> DataFrame:
     """Long table ``(row_id, feature, class, phi, base)``.
 
-    Forests explain class shares; boosting explains the margin of the second
-    class.  Contributions of a row plus the base give the model output.
+    Forests explain class shares; boosting explains the margin of the second of two
+    classes, or of each of more.  Contributions of a row plus the base give the model output.
     """
     trees = ensemble_tables(fitted)
     outputs = trees[0]["value"].shape[1]

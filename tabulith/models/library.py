@@ -7,8 +7,7 @@ from typing import Any
 
 import numpy as np
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-    RandomForestClassifier,
+    LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -41,18 +40,9 @@ class LibraryClassifier(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(as_vectors(df.drop("probability", "prediction")))
-        shown = [c for c in ("__prob", "probability") if c in scored.columns]
-        if shown:
-            probability = vector_to_array(shown[0])
-        else:
-            # one-vs-rest gives margins only; each is squashed, then normalised
-            margins = vector_to_array("rawPrediction")
-            squashed = F.transform(margins, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v)))
-            total = F.aggregate(squashed, F.lit(0.0), lambda a, v: a + v)
-            probability = F.transform(squashed, lambda v: v / total)
         return scored.select(
             *[c for c in df.columns if c not in ("probability", "prediction")],
-            probability.alias("probability"), label_at(self.classes, F.col("__pred")).alias("prediction"),
+            vector_to_array("__prob").alias("probability"), label_at(self.classes, F.col("__pred")).alias("prediction"),
         )
 
 
@@ -121,30 +111,6 @@ class RandomForest(_Classifier):
         return _importance(model.featureImportances.toArray())
 
 
-class BoostedTrees(_Classifier):
-    key, name = "xgboost", "Gradient-Boosted Trees"
-
-    def __init__(self, n_estimators: int = 200, max_depth: int = 6, learning_rate: float = 0.1,
-                 subsample: float = 1.0, **rejected) -> None:
-        if rejected:
-            raise ValueError(f"No equivalent for: {sorted(rejected)}.")
-        self.n_estimators, self.max_depth = n_estimators, max_depth
-        self.learning_rate, self.subsample = learning_rate, subsample
-
-    def _estimator(self, n_rows, n_classes, d):
-        shared = dict(maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=self.learning_rate,
-                      subsamplingRate=self.subsample, seed=SEED)
-        if n_classes == 2:
-            return GBTClassifier(featuresCol="__vec", labelCol="__y", predictionCol="__pred", **shared)
-        return OneVsRest(
-            classifier=GBTClassifier(**shared), parallelism=2, featuresCol="__vec", labelCol="__y", predictionCol="__pred"
-        )
-
-    def _importance_of(self, model):
-        parts = getattr(model, "models", [model])
-        return _importance(np.mean([m.featureImportances.toArray() for m in parts], axis=0))
-
-
 class Perceptron(_Classifier):
     key, name = "ann", "Multilayer Perceptron"
 

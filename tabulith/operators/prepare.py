@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.quantiles import DIRECT_ROWS, quantiles
+from ..functions.quantiles import quantiles
 from ..functions.ranking import order_hash, prefix_length, with_hash_rank
 from ..functions.scalar import number
 from ..session import collect_bounded, cut_lineage
@@ -198,12 +198,10 @@ class FittedPrep:
         )
 
 
-def fit_numeric(
-    train: DataFrame, columns: Sequence[str], n_rows: int, direct_rows: int = DIRECT_ROWS
-) -> list[NumericFit]:
+def fit_numeric(train: DataFrame, columns: Sequence[str]) -> list[NumericFit]:
     """Median, and mean and population std after filling with it.
 
-    Filling changes the moments in closed form, so the rows are read once.
+    Filling changes the moments in closed form, so they take one pass beside the median's.
     """
     if not columns:
         return []
@@ -211,17 +209,13 @@ def fit_numeric(
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggregates += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-        if n_rows <= direct_rows:
-            aggregates.append(F.percentile(x, F.lit(0.5)).alias(f"q{i}"))
     row = train.agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
-    medians: dict[str, Any] = {}
-    if n_rows > direct_rows:
-        medians = quantiles(train, columns, [0.5], direct_rows, n_rows)
+    medians = quantiles(train, columns, [0.5])
     fits = []
     for i, c in enumerate(columns):
         if not row[f"n{i}"]:
             raise ValueError(f"Column '{c}' has no value in the training part.")
-        median = float(row[f"q{i}"]) if n_rows <= direct_rows else float(medians[c][0])
+        median = float(medians[c][0])
         seen, filled = row[f"n{i}"], row["rows"] - row[f"n{i}"]
         total = row["rows"]
         mean = (seen * row[f"m{i}"] + filled * median) / total
@@ -398,7 +392,6 @@ def fit_prepare(
     problem_type: str,
     test_size: float = TEST_SIZE,
     seed: int = SEED,
-    direct_rows: int = DIRECT_ROWS,
 ) -> Prepared:
     """Split, then fit imputation, encoding and scaling on train, then apply."""
     df = normalize_missing(df)
@@ -409,7 +402,7 @@ def fit_prepare(
     train, test = df.where(~flag), df.where(flag)
     categories, codes = fit_categories(train, categorical)
     prep = FittedPrep(
-        key, target, fit_numeric(train, numeric, n_rows, direct_rows), categories, codes
+        key, target, fit_numeric(train, numeric), categories, codes
     )
     keep = [target] if target else []
 
@@ -444,12 +437,11 @@ def poly_features(df: DataFrame, features: str, d: int, degree: int = 2, out: st
 
 
 def bin_edges(
-    df: DataFrame, columns: Sequence[str], n_bins: int, direct_rows: int = DIRECT_ROWS,
-    n_rows: int | None = None,
+    df: DataFrame, columns: Sequence[str], n_bins: int
 ) -> dict[str, list[float]]:
     """Midpoints for few distinct values, else interior quantiles, per column."""
     probabilities = [i / n_bins for i in range(1, n_bins)]
-    levels = quantiles(df, columns, [0.0, *probabilities, 1.0], direct_rows, n_rows)
+    levels = quantiles(df, columns, [0.0, *probabilities, 1.0])
     # the estimate only decides which columns are worth an exact distinct list
     guess = df.agg(
         *[F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(columns)]

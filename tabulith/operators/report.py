@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ranking import running_sum
+from ..functions.ranking import prefix_scan
 from ..functions.scalar import format_metric, impurity
 
 # Fixed values of the report.
@@ -144,30 +144,25 @@ def best_threshold(
 ) -> DataFrame:
     """Cheapest binary cut of one column per group: first minimum, midpoint.
 
-    Rows are counted by distinct value first; the running class counts over the
-    sorted values are summed in ordered buckets, so a large group is spread.
+    Rows are counted by distinct value first; one prefix scan over the sorted values
+    gives the class counts up to each and the value after it, so a large group is spread.
     """
     counted = df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(
         *[F.count_if(F.col(target) == F.lit(c)).alias(f"n{i}") for i, c in enumerate(classes)]
     )
     names = {f"n{i}": f"l{i}" for i in range(len(classes))}
-    reverse = counted.withColumn("back", -F.col("v"))
-    left = running_sum(reverse, by, "v", names)
-    from ..functions.ranking import previous_value
-
-    following = previous_value(left, by, "back", {"v": "next"}, 1)
-    totals = df.groupBy(*by).agg(
-        *[F.count_if(F.col(target) == F.lit(c)).alias(f"t{i}") for i, c in enumerate(classes)]
-    )
-    joined = following.join(totals, list(by)) if by else following.select(
+    scanned = prefix_scan(counted, by, "v", sums=names, after={"v": "next"})
+    # The counts only rise, so the largest are those of the whole group.
+    totals = scanned.groupBy(*by).agg(*[F.max(f"l{i}").alias(f"t{i}") for i in range(len(classes))])
+    joined = scanned.join(totals, list(by)) if by else scanned.select(
         "*", *[totals.select(f"t{i}").scalar().alias(f"t{i}") for i in range(len(classes))]
     )
     l = [F.col(f"l{i}").cast("double") for i in range(len(classes))]
     r = [(F.col(f"t{i}") - F.col(f"l{i}")).cast("double") for i in range(len(classes))]
     nl, nr = sum(l[1:], l[0]), sum(r[1:], r[0])
     cost = (nl * impurity(l, criterion) + nr * impurity(r, criterion)) / (nl + nr)
-    scored = joined.where(F.col("next_1").isNotNull()).select(
-        *by, "v", ((F.col("v") + F.col("next_1")) / 2).alias("threshold"), cost.alias("cost"),
+    scored = joined.where(F.col("next").isNotNull()).select(
+        *by, "v", ((F.col("v") + F.col("next")) / 2).alias("threshold"), cost.alias("cost"),
         nl.alias("nl"), nr.alias("nr"),
     ).where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf))
     best = F.struct(F.round("cost", 12).alias("k"), "v")

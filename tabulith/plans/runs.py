@@ -17,9 +17,10 @@ from ..models.density import DBSCAN, MicroLinkage
 from ..models.discriminant import LDA, QDA, NaiveBayes
 from ..models.hmm import HiddenMarkov
 from ..models.library import (
-    BoostedTrees, KMeansClusters, LaggedRegression, Logistic, Mixture, Neighbours, Perceptron,
+    KMeansClusters, LaggedRegression, Logistic, Mixture, Neighbours, Perceptron,
     PolynomialRegression, PrincipalComponents, RandomForest, SVM,
 )
+from ..models.boosting import BoostedTrees
 from ..models.oblique import Oblique
 from ..models.trees import CART, CHAID, ID3
 from ..operators.evaluate import confusion_matrix, evaluate

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.models import library as L
+from tabulith.models.boosting import BoostedTrees
 from tabulith.models.density import MicroLinkage
 from tabulith.models.discriminant import LDA, QDA, NaiveBayes, analyze_suitability
 from tabulith.models.hmm import HiddenMarkov, expected_counts, sequence_scores
@@ -27,7 +28,7 @@ def three(spark):
 
 
 CLASSIFIERS = [
-    LDA(), LDA(shrinkage=0.3), QDA(), QDA(reg_param=0.2), NaiveBayes(), L.Logistic(), L.RandomForest(10, 5), L.BoostedTrees(5, 3),
+    LDA(), LDA(shrinkage=0.3), QDA(), QDA(reg_param=0.2), NaiveBayes(), L.Logistic(), L.RandomForest(10, 5), BoostedTrees(5, 3),
     L.Perceptron((8,), 60), L.SVM("linear", folds=3), L.SVM("poly", folds=3), L.SVM("rbf", n_components=60, folds=3),
     L.Neighbours(5), L.Neighbours(5, "distance"),
 ]
@@ -81,7 +82,7 @@ def test_wide_covariance_path(three):
 
 def test_refused_parameters(three):
     _, _, df = three
-    for bad in (lambda: L.SVM("sigmoid"), lambda: L.Mixture(covariance_type="tied"), lambda: L.BoostedTrees(reg_alpha=1),
+    for bad in (lambda: L.SVM("sigmoid"), lambda: L.Mixture(covariance_type="tied"), lambda: BoostedTrees(reg_alpha=-1),
                 lambda: QDA(reg_param=2), lambda: NaiveBayes(0), lambda: MicroLinkage(None), lambda: L.Neighbours(0)):
         with pytest.raises(ValueError):
             bad()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.functions.quantiles import quantiles
-from tabulith.functions.ranking import previous_value, running_sum, with_hash_rank
+from tabulith.functions.ranking import prefix_scan, previous_value, running_sum, with_hash_rank
 from tabulith.operators import prepare as P
 from tabulith.operators import series as X
 
@@ -102,17 +102,95 @@ def test_large_code_table(spark):
     assert got == {f"n{i:04d}": i for i in range(700)}
 
 
-def test_quantiles_bracketed(spark):
-    df = spark.range(3000).select(
-        ((F.col("id") * 7919) % 3001 / 3.0).alias("a"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 1.0).alias("b"),
-        F.lit(None).cast("double").alias("c"), F.when(F.col("id") % 10 != 0, -(F.col("id") * F.col("id")) * 1.0).alias("d"),
-    )
+def test_quantiles_by_radix(spark):
+    """Against numpy: signs, copies, outliers, tiny gaps, nulls, zeros of both signs."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    own = {
+        "a": (np.arange(n) * 7919 % 3001 / 3.0), "b": np.where(np.arange(n) % 3 == 0, 5.0, np.arange(n)), "c": np.full(n, np.nan),
+        "d": np.where(np.arange(n) % 10 != 0, -np.arange(n, dtype=float) ** 2, np.nan), "e": np.r_[1e300, -1e300, rng.normal(size=n - 2) * 1e-300],
+        "f": 1.0 + rng.integers(0, 40, n) * 2.0 ** -52, "g": np.full(n, -7.25), "h": rng.choice([-0.0, 0.0, 1.0, -1.0], n),
+    }
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in zip(*own.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in own)).repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    direct = quantiles(df, ["a", "b", "c", "d"], probs)
-    narrowed = quantiles(df, ["a", "b", "c", "d"], probs, direct_rows=5)
-    assert direct["c"] is None and narrowed["c"] is None
-    for c in "abd":
-        assert narrowed[c] == pytest.approx(direct[c], rel=1e-12)
+    got = quantiles(df, list(own), probs)
+    assert got.pop("c") is None
+    for c, levels in got.items():
+        values = np.sort(own[c][~np.isnan(own[c])])
+        at = np.array(probs) * (len(values) - 1)
+        low, high = values[np.floor(at).astype(int)], values[np.ceil(at).astype(int)]
+        assert levels == pytest.approx(list(low + (at - np.floor(at)) * (high - low)), rel=1e-15), c
+    assert quantiles(df, [], probs) == {} and quantiles(df.limit(0), ["a"], probs) == {"a": None}
+    whole = quantiles(spark.range(100_001), ["id"], [0.5, 0.123])
+    assert whole["id"] == [50_000.0, 12_300.0]
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_prefix_scan_over_any_borders(spark, parts):
+    """Groups within, across and over several partitions, nulls, batches of a few rows."""
+    rng = np.random.default_rng(parts)
+    rows, t = [], 0
+    for g in (None, "a", "b", "hot", "z"):
+        for _ in range(400 if g == "hot" else int(rng.integers(1, 30))):
+            t += 1
+            rows.append((g, int(rng.integers(0, 2)), t, int(rng.integers(-9, 9)) if rng.random() < 0.8 else None, float(rng.normal()), f"s{t}"))
+    df = spark.createDataFrame(rows, "g string, k int, t int, v int, x double, s string").repartition(3)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for c, v in zip(old, (str(parts), "false", "7")):
+            spark.conf.set(c, v)
+        got = prefix_scan(df, ["g", "k"], "t", {"v": "sv", "x": "sx"}, {"s": "p", "v": "q"}, 3, {"s": "n", "t": "nt"}).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(got) == len(rows)
+    groups = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault(r[:2], []).append(r)
+    place = {r[2]: (own, i) for own in groups.values() for i, r in enumerate(own)}
+    for r in got:
+        own, i = place[r.t]
+        values = [o[3] for o in own[: i + 1] if o[3] is not None]
+        assert r.sv == (sum(values) if values else None) and r.sx == pytest.approx(sum(o[4] for o in own[: i + 1]))
+        for k in (1, 2, 3):
+            assert (r[f"p_{k}"], r[f"q_{k}"]) == ((own[i - k][5], own[i - k][3]) if i >= k else (None, None))
+        assert (r.n, r.nt) == ((own[i + 1][5], own[i + 1][2]) if i + 1 < len(own) else (None, None))
+    assert prefix_scan(df.limit(0), ["g"], "t", {"v": "sv"}).count() == 0
+
+
+def test_scans_of_the_input(spark):
+    """Reads of the input by the best threshold (at most 4) and the area under the curve (at most 3)."""
+    from tabulith.operators.evaluate import roc_auc
+    from tabulith.operators.report import best_threshold
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).selectExpr("id % 3 as g", "id % 97 as v", "id % 2 as y", "array(1 - (id % 89) / 100d, (id % 89) / 100d) as p")
+    df = df.mapInArrow(watch, df.schema)
+    assert best_threshold(df, ["g"], "v", "y", [0, 1]).count() == 3
+    assert seen.value <= 4000
+    seen.value = 0
+    assert roc_auc(df, ["0", "1"], "y", "p").count() == 1
+    assert seen.value <= 3000
+
+
+def test_quantiles_scan_at_most_four_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).selectExpr("cast(id as double) / 7 as x", "cast(id as double) as y").mapInArrow(watch, "x double, y double")
+    quantiles(df, ["x", "y"], [0.1, 0.5, 0.9])
+    assert seen.value <= 4000
 
 
 def test_ranks_and_running_sums_in_buckets(spark):
@@ -123,12 +201,12 @@ def test_ranks_and_running_sums_in_buckets(spark):
     pdf = df.toPandas()
     ranked = with_hash_rank(df, ["g"], "h", "r", 2).toPandas().sort_values(["g", "h"])
     assert (ranked["r"] == ranked.groupby("g").cumcount() + 1).all()
-    out = running_sum(df, ["g"], "t", {"v": "s"}, bucket_rows=50).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
+    out = running_sum(df, ["g"], "t", {"v": "s"}).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
     want = pdf.sort_values(["g", "t"]).reset_index(drop=True)
     assert (out["s"] == want.groupby("g")["v"].cumsum()).all()
-    total = running_sum(df, [], "t", {"v": "s"}, bucket_rows=50).toPandas().sort_values("t")
+    total = running_sum(df, [], "t", {"v": "s"}).toPandas().sort_values("t")
     assert (total["s"].to_numpy() == pdf.sort_values("t")["v"].cumsum().to_numpy()).all()
-    lagged = previous_value(df, ["g"], "t", {"v": "p"}, 3, bucket_rows=50).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
+    lagged = previous_value(df, ["g"], "t", {"v": "p"}, 3).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
     for k in (1, 2, 3):
         shifted = want.groupby("g")["v"].shift(k)
         assert ((lagged[f"p_{k}"] == shifted) | (lagged[f"p_{k}"].isna() & shifted.isna())).all()
@@ -164,11 +242,11 @@ def test_series(spark):
     df = spark.createDataFrame(rows, "s string, t bigint, y double, x double")
     r = {x["s"]: x for x in X.stationarity(df, ["s"], "t", "y").collect()}
     assert r["a"]["differenced"] and not r["b"]["differenced"]
-    fit = X.fit_series(df, ["s"], "t", "x", "y", bucket_rows=4)
+    fit = X.fit_series(df, ["s"], "t", "x", "y")
     a = fit.where("s = 'a'").first()
     assert a["slope"] == pytest.approx(2.0) and a["intercept"] == pytest.approx(-1.0) and a["last_level"] == 121.0
     new = spark.createDataFrame([("a", 12, 12.0), ("a", 13, 13.0)], "s string, t bigint, x double")
     got = [x["prediction"] for x in X.predict_series(new, fit, ["s"], "t", "x").orderBy("t").collect()]
     assert got == pytest.approx([144.0, 169.0])
-    look = X.lookback(df.where("s = 'a'"), ["s"], "t", ["y", "x"], 3, bucket_rows=4).orderBy("t").collect()
+    look = X.lookback(df.where("s = 'a'"), ["s"], "t", ["y", "x"], 3).orderBy("t").collect()
     assert len(look) == 9 and look[0]["features"] == [0.0, 0.0, 1.0, 1.0, 4.0, 2.0]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tabulith.functions.node_edges import cut, node_edges
 from tabulith.models import trees as T
 from tabulith.models.contributions import ensemble_tables, mean_abs_contribution, tree_contributions, tree_shap
-from tabulith.models.library import BoostedTrees, RandomForest
+from tabulith.models.boosting import BoostedTrees
+from tabulith.models.library import RandomForest
 from tabulith.models.oblique import Oblique
 from tabulith.operators.evaluate import classifier_metrics
 
@@ -184,24 +185,106 @@ def brute_shap(x, trees):
     return phi
 
 
-def test_contributions(spark):
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_contributions(spark, classes, kind):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(150, 4))
-    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(int)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(int) + (classes - 2) * (x[:, 3] > 0.5)
     df = table(spark, x, y)
-    for model in (RandomForest(5, 3), BoostedTrees(4, 3)):
-        fitted = model.fit(df)
-        trees = ensemble_tables(fitted)
-        phi, base = tree_shap(x[:3], trees)
-        for i in range(3):
-            assert phi[i] == pytest.approx(brute_shap(x[i], trees), abs=1e-12)
-        long = tree_contributions(df, fitted)
-        summed = long.groupBy("row_id", "class").agg((F.sum("phi") + F.first("base")).alias("v")).toPandas()
-        out = fitted.transform(df).select("row_id", "probability").toPandas().set_index("row_id")["probability"]
-        for r in summed.itertuples():
-            p = out[r.row_id]
-            if model.key == "random_forest":
-                assert r.v == pytest.approx(p[int(r._2)], abs=1e-9)
+    model = RandomForest(5, 3) if kind == "forest" else BoostedTrees(4, 3)
+    fitted = model.fit(df)
+    trees = ensemble_tables(fitted)
+    phi, base = tree_shap(x[:3], trees)
+    for i in range(3):
+        assert phi[i] == pytest.approx(brute_shap(x[i], trees), abs=1e-12)
+    long = tree_contributions(df, fitted)
+    summed = long.groupBy("row_id", "class").agg((F.sum("phi") + F.first("base")).alias("v")).toPandas()
+    out = fitted.transform(df).select("row_id", "probability").toPandas().set_index("row_id")["probability"]
+    for row, own in summed.groupby("row_id"):
+        value = {int(c): v for c, v in zip(own["class"], own["v"])}
+        if kind == "forest":
+            got = [value[c] for c in range(classes)]
+        elif classes == 2:
+            got = [1 - 1 / (1 + math.exp(-value[1])), 1 / (1 + math.exp(-value[1]))]
+        else:
+            got = np.exp([value[c] for c in range(classes)])
+            got = got / got.sum()
+        assert list(out[row]) == pytest.approx(list(got), abs=1e-9)
+    assert mean_abs_contribution(long).count() == 4 * (1 if kind == "boosting" and classes == 2 else classes)
+
+
+class PlainBoosting:
+    """Boosting of one table in memory, every cut tried."""
+
+    def __init__(self, x, y, rounds, depth, rate, penalty, alpha, weight):
+        k = int(y.max()) + 1
+        self.margin = np.full((len(x), 1), math.log(y.mean() / (1 - y.mean()))) if k == 2 else np.zeros((len(x), k))
+        self.gains = []
+        shrink = lambda g: math.copysign(max(abs(g) - alpha, 0), g)
+        for _ in range(rounds):
+            if k == 2:
+                p = 1 / (1 + np.exp(-self.margin))
+                g, h = p - y[:, None], p * (1 - p)
             else:
-                assert 1 / (1 + math.exp(-2 * r.v)) == pytest.approx(p[1], abs=1e-9)
-        assert mean_abs_contribution(long).count() == 4 * (2 if model.key == "random_forest" else 1)
+                p = np.exp(self.margin) / np.exp(self.margin).sum(axis=1, keepdims=True)
+                g, h = p - (y[:, None] == np.arange(k)), 2 * p * (1 - p)
+            step = np.zeros_like(self.margin)
+            for c in range(step.shape[1]):
+                todo = [(np.arange(len(x)), 0)]
+                while todo:
+                    rows, level = todo.pop()
+                    gt, ht = g[rows, c].sum(), h[rows, c].sum()
+                    best = (1e-6, None, None)
+                    for f in range(x.shape[1]) if level < depth else []:
+                        for v in np.unique(x[rows, f])[:-1]:
+                            left = x[rows, f] <= v
+                            gl, hl = g[rows[left], c].sum(), h[rows[left], c].sum()
+                            if hl < weight or ht - hl < weight:
+                                continue
+                            gain = 0.5 * (shrink(gl) ** 2 / (hl + penalty) + shrink(gt - gl) ** 2 / (ht - hl + penalty) - shrink(gt) ** 2 / (ht + penalty))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, f, v)
+                    if best[1] is None:
+                        step[rows, c] = -rate * shrink(gt) / (ht + penalty)
+                        continue
+                    self.gains.append(best[0])
+                    left = x[rows, best[1]] <= best[2]
+                    todo += [(rows[left], level + 1), (rows[~left], level + 1)]
+            self.margin = self.margin + step
+
+
+@pytest.mark.parametrize("classes,alpha", [(2, 0.0), (3, 0.0), (3, 0.5)])
+def test_boosting_equals_plain(spark, monkeypatch, classes, alpha):
+    from tabulith.models import boosting
+
+    monkeypatch.setattr(boosting, "KEEP", 2)   # margins are moved in between
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(160, 3)), 1)
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.8).astype(int) + (classes - 2) * (x[:, 2] > 0.4)
+    model = BoostedTrees(n_estimators=5, max_depth=3, learning_rate=0.3, reg_lambda=0.7, reg_alpha=alpha, min_child_weight=1.5)
+    fitted = model.fit(table(spark, x, y))
+    plain = PlainBoosting(x, y, 5, 3, 0.3, 0.7, alpha, 1.5)
+    got = {r.row_id: r["__margins"] for r in fitted.margins(table(spark, x, y)).collect()}
+    assert np.array([got[i] for i in range(len(x))]) == pytest.approx(plain.margin, abs=1e-9)
+    gains = [g for t in fitted.trees for f, g in zip(t.feature, t.gain) if f >= 0]
+    assert sorted(gains) == pytest.approx(sorted(plain.gains), abs=1e-9)
+    assert sum(fitted.importance.values()) == pytest.approx(1)
+
+
+def test_boosting_samples_and_refuses(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6))
+    y = (x[:, 0] > 0).astype(int)
+    df = table(spark, x, y)
+    fitted = BoostedTrees(6, 2, subsample=0.5, colsample_bytree=0.34).fit(df)
+    assert all(len({f for f in t.feature if f >= 0}) <= 2 for t in fitted.trees)
+    again = BoostedTrees(6, 2, subsample=0.5, colsample_bytree=0.34).fit(df)
+    assert [t.feature for t in again.trees] == [t.feature for t in fitted.trees]
+    assert fitted.trees[0].curvature[0] == pytest.approx(0.25 * 150, rel=0.2)
+    assert fitted.transform(df).where("prediction <> label").count() <= 15
+    free = BoostedTrees(1, 0, min_child_weight=0.0, reg_lambda=0.0, learning_rate=1.0).fit(df)   # depth 0: no limit
+    assert free.transform(df).where("prediction <> label").count() == 0
+    for bad in ({"n_estimators": 0}, {"learning_rate": 0}, {"subsample": 0}, {"reg_lambda": -1}, {"colsample_bytree": 2}):
+        with pytest.raises(ValueError):
+            BoostedTrees(**bad)
