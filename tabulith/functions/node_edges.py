@@ -58,12 +58,11 @@ def blocks(batches, matrix, rows: int = 65_536):
 
 def node_edges(
     rows: DataFrame, d: int, place: Place, sizes: dict[int, int], n_bins: int,
-    direct: int = DIRECT_ROWS, exact: bool = True,
+    direct: int = DIRECT_ROWS,
 ) -> dict[int, list[np.ndarray]]:
     """``{node: [edges of feature 0, ...]}`` for the nodes in ``sizes``.
 
-    ``place`` gives the node of each row of a block.  With ``exact`` off, large
-    nodes use edges whose rank is right to a quarter of a bin.
+    ``place`` gives the node of each row of a block.
     """
     small = sorted(k for k, n in sizes.items() if n <= direct)
     large = sorted(k for k, n in sizes.items() if n > direct)
@@ -72,7 +71,7 @@ def node_edges(
         everything = _gather(rows, d, place, {(k, f): None for k in small for f in range(d)})
         found.update(_apply(everything, lambda key, values: cut(values, n_bins)))
     if large:
-        found.update(_large(rows, d, place, {k: sizes[k] for k in large}, n_bins, direct, exact))
+        found.update(_large(rows, d, place, {k: sizes[k] for k in large}, n_bins, direct))
     return {k: [found.get((k, f), np.empty(0)) for f in range(d)] for k in sizes}
 
 
@@ -238,7 +237,7 @@ def _counts(rows, d, place, open_brackets: dict[tuple[int, int], list[_Bracket]]
     }
 
 
-def _large(rows, d, place, sizes, n_bins, direct, exact):
+def _large(rows, d, place, sizes, n_bins, direct):
     limits = _ranges(rows, d, place, list(sizes), n_bins)
     result: dict[tuple[int, int], np.ndarray] = {}
     brackets: dict[tuple[int, int], list[_Bracket]] = {}
@@ -251,14 +250,13 @@ def _large(rows, d, place, sizes, n_bins, direct, exact):
         else:
             n = sizes[k]
             position = np.arange(1, n_bins) / n_bins * (n - 1)
-            wanted = np.concatenate([np.floor(position), np.ceil(position)]) if exact else np.floor(position)
+            wanted = np.concatenate([np.floor(position), np.ceil(position)])
             ranks = sorted({int(r) for r in wanted})
             brackets[(k, f)] = [_Bracket(lo, hi, 0, n, ranks)]
     done: dict[tuple[int, int], list[_Bracket]] = {key: [] for key in brackets}
-    share = {key: max(1, sizes[key[0]] // (4 * n_bins)) for key in brackets}
     while brackets:
         for key in list(brackets):
-            bound = direct // max(1, 2 * n_bins) if exact else share[key]
+            bound = direct // max(1, 2 * n_bins)
             still = []
             for b in brackets[key]:
                 (done[key] if b.lo == b.hi or b.inside <= bound else still).append(b)
@@ -282,11 +280,6 @@ def _large(rows, d, place, sizes, n_bins, direct, exact):
                                  [r for r, w in zip(bracket.ranks, where) if w == i])
                     )
             brackets[(k, f)] = narrowed
-    if not exact:
-        for key, items in done.items():
-            lo, hi, _ = limits[key]
-            result[key] = within([b.hi for b in items], lo, hi)
-        return result
     wide = {
         key: np.array(sorted((b.lo, b.hi) for b in items if b.lo < b.hi)) for key, items in done.items()
     }

@@ -276,7 +276,7 @@ class BoostedTrees(Model):
             yield from listed(sums)
 
         parts = held.mapInArrow(add, "tree int, node int, feature int, bin int, g double, h double")
-        return fan_out(parts, "tree", "node", "feature").groupBy("tree", "node", "feature", "bin").agg(
+        return fan_out(parts, "tree", "node").groupBy("tree", "node", "feature", "bin").agg(
             F.sum("g").alias("g"), F.sum("h").alias("h")
         )
 

@@ -179,23 +179,26 @@ def _lowest_cluster(border: DataFrame, labelled: DataFrame, eps: float, block_ro
 
 @dataclass
 class DensityClusters(Fitted):
-    """Known training rows keep their label; others take the nearest core row's."""
+    """Training rows keep their label; all others take the nearest core row's.
+
+    A row counts as a training row if both its key and its features are one's.
+    """
 
     labels: DataFrame | None = None
     cores: DataFrame | None = None
     eps: float = 0.5
 
     def transform(self, df: DataFrame) -> DataFrame:
-        known = self.labels.select("row_id", F.col("prediction").alias("trained"))
+        known = self.labels.select("row_id", F.col("features").alias("__at"), F.col("prediction").alias("trained"))
+        same = (df["row_id"] == known["row_id"]) & (df["features"] == known["__at"])
+        found = df.join(known, same, "left").drop(known["row_id"]).drop("__at")
         if self.cores is None:
-            found = df.withColumn("prediction", F.lit(NOISE))
-        else:
-            fresh = df.join(known, "row_id", "left_anti")
-            near = nearest_core(fresh, self.cores, self.eps, cluster="prediction")
-            found = df.join(near, "row_id", "left")
-        return found.join(known, "row_id", "left").withColumn(
-            "prediction", F.coalesce("trained", "prediction").cast("int")
-        ).drop("trained")
+            return found.withColumn("prediction", F.coalesce("trained", F.lit(NOISE)).cast("int")).drop("trained")
+        near = nearest_core(found.where("trained is null"), self.cores, self.eps, cluster="prediction")
+        near = near.withColumnRenamed("prediction", "__near")
+        return found.join(near, "row_id", "left").withColumn(
+            "prediction", F.coalesce("trained", "__near").cast("int")
+        ).drop("trained", "__near")
 
 
 class DBSCAN(Model):
@@ -209,10 +212,9 @@ class DBSCAN(Model):
         self.eps, self.min_samples, self.metric = eps, min_samples, metric
 
     def _fit(self, train: DataFrame, d: int) -> DensityClusters:
-        labels = cut_lineage(density_clusters(train, self.eps, self.min_samples))
-        cores = labels.where("is_core").join(train.select("row_id", "features"), "row_id").select(
-            "row_id", "features", "prediction"
-        )
+        clusters = density_clusters(train, self.eps, self.min_samples)
+        labels = cut_lineage(clusters.join(train.select("row_id", "features"), "row_id"))
+        cores = labels.where("is_core").select("row_id", "features", "prediction")
         if cores.limit(1).count() == 0:
             cores = None
         return self._new(DensityClusters, d, labels=labels, cores=cores, eps=self.eps)

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..session import fan_out
 from .base import batch_matrix, labels_of, newton, spread, summed_systems
-from .trees import TIE, Node, TreeClassifier, _Tree, global_edges, level_counts, route, score_features, threshold_rule
+from .cuts import Cut, exact_cuts
+from .trees import TIE, TreeClassifier, _Tree, axis_cuts, best_coarse, global_edges, route, score_features, threshold_rule
 
-STEPS = 1024             # candidate thresholds along a projection
+STEPS = 1024             # coarse bins along a projection
 
 
 class Oblique(_Tree):
@@ -53,8 +54,7 @@ class Oblique(_Tree):
                 level = []
                 if not open_ids:
                     break
-                counts = level_counts(rows, nodes, open_ids, {i: edges for i in open_ids}, k, True)
-                axis = self._best(score_features(counts, k, rule).collect())
+                axis = axis_cuts(self, rows, nodes, open_ids, edges, k)
                 problems = []
                 for i in open_ids:
                     present = np.flatnonzero(nodes[i].counts)
@@ -63,32 +63,23 @@ class Oblique(_Tree):
                 tilted = self._best_planes(rows, nodes, planes, k, rule)
                 for i in open_ids:
                     a, o = axis.get(i), tilted.get(i)
-                    take_plane = o is not None and (a is None or o["gain"] > a["gain"] + TIE)
+                    take_plane = o is not None and (a is None or o.cost < a.cost - TIE)
                     found = o if take_plane else a
-                    if found is None or found["gain"] <= self.min_impurity_decrease:
+                    if found is None or nodes[i].impurity - found.cost <= self.min_impurity_decrease:
                         continue
                     start = len(nodes)
+                    split = {"gain": nodes[i].impurity - found.cost}
                     if take_plane:
-                        w, b = found["plane"]
-                        self._attach(nodes, nodes[i], [found["edge"]], [0, 1], found["tables"],
-                                     gain=found["gain"], weights=w, intercept=float(b))
+                        plane = planes[i, found.column]
+                        split |= {"weights": plane[:-1], "intercept": float(plane[-1])}
                     else:
-                        self._attach(nodes, nodes[i], [edges[found["feature"]][found["bins"][0]]], [0, 1],
-                                     found["tables"], feature=found["feature"], gain=found["gain"])
+                        split["feature"] = found.column
+                    self._attach(nodes, nodes[i], [found.edge], [0, 1], [found.left, nodes[i].counts - found.left], **split)
                     level += range(start, len(nodes))
         finally:
             rows.unpersist()
         return self._finish(nodes, d, classes)
 
-    @staticmethod
-    def _best(found) -> dict:
-        best: dict = {}
-        for r in sorted(found, key=lambda r: (r["node"], r["feature"])):
-            now = best.get(r["node"])
-            if now is None or r["gain"] > now["gain"] + TIE:
-                best[r["node"]] = r
-        return best
-
     # --- L1 logistic planes of one level -------------------------------------
 
     def _planes(self, rows, nodes, problems: Sequence[tuple[int, int]], d: int):
@@ -102,26 +93,22 @@ class Oblique(_Tree):
                        self.newton_steps, 1e-4)
         return {p: v for p, v in found.items() if np.abs(v[:-1]).max() > 0}
 
-    def _best_planes(self, rows, nodes, planes, k: int, rule) -> dict:
-        """Best threshold along each plane's projection, one winner per node."""
+    def _best_planes(self, rows, nodes, planes, k: int, rule) -> dict[int, Cut]:
+        """Cheapest cut along the planes' projections, every value tried; one winner per node."""
         if not planes:
             return {}
-        order = sorted(planes)
         ranges = _projection_ranges(rows, nodes, planes, self.closed_left)
-        edges = {}
-        for p in order:
-            lo, hi = ranges[p]
-            edges[p] = np.linspace(lo, hi, STEPS + 1)[1:-1] if hi > lo else np.empty(0)
-        counts = _projection_counts(rows, nodes, planes, edges, k, self.closed_left)
-        best: dict = {}
-        for r in sorted(score_features(counts, k, rule).collect(), key=lambda r: (r["node"], r["feature"])):
-            p = (r["node"], r["feature"])
-            now = best.get(p[0])
-            if now is None or r["gain"] > now["gain"] + TIE:
-                v = planes[p]
-                best[p[0]] = {"gain": r["gain"], "plane": (v[:-1], v[-1]),
-                              "edge": float(edges[p][r["bins"][0]]), "tables": r["tables"]}
-        return best
+        edges = {p: np.linspace(lo, hi, STEPS + 1)[1:-1] if hi > lo else np.empty(0) for p, (lo, hi) in ranges.items()}
+        counts = _projection_counts(rows, nodes, planes, edges, k, self.closed_left).persist()
+        try:
+            coarse = best_coarse(score_features(counts, k, rule).collect(), nodes, lambda n, c: edges[n, c])
+            return exact_cuts(
+                rows, counts, lambda n, c: edges[n, c], coarse, {n: nodes[n].counts for n, _ in planes}, k,
+                lambda x: route(x, nodes, True), lambda x, n, c: x @ planes[n, c][:-1] + planes[n, c][-1],
+                self.criterion, self.min_samples_leaf,
+            )
+        finally:
+            counts.unpersist()
 
 
 def _l1_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, sweeps: int = 200) -> np.ndarray:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.functions.node_edges import cut, node_edges
+from tabulith.models import cuts
 from tabulith.models import trees as T
 from tabulith.models.contributions import ensemble_tables, mean_abs_contribution, tree_contributions, tree_shap
 from tabulith.models.boosting import BoostedTrees
@@ -96,6 +97,73 @@ def test_cart_root_is_the_exact_best(binary):
     assert root.feature == feature and root.gain == pytest.approx(gain) and root.edges[0] == pytest.approx(threshold)
 
 
+def skewed(n, seed):
+    """Many distinct values, a far outlier, a heavy value, and a boundary no quantile meets."""
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=n), rng.exponential(size=n) ** 5, np.where(rng.random(n) < 0.4, 2.0, rng.random(n) * 9)])
+    x[0, :] = 1e12
+    y = ((x[:, 1] > np.sort(x[:, 1])[int(n * 0.9031)]) | (rng.random(n) < 0.05)).astype(int)
+    return x, y
+
+
+@pytest.mark.parametrize("direct,finer", [(200_000, 256), (40, 16), (2, 4)])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cart_tries_every_value(spark, monkeypatch, direct, finer, seed):
+    """More values than coarse edges; small limits force several rounds of narrowing."""
+    monkeypatch.setattr(cuts, "DIRECT_ROWS", direct)
+    monkeypatch.setattr(cuts, "FINER", finer)
+    x, y = skewed(3000, seed)
+    root = T.CART(max_depth=1, max_candidates=8).fit(table(spark, x, y)).nodes[0]
+    gain, feature, threshold = brute_best_gain(x, y)
+    assert (root.feature, root.edges[0]) == (feature, pytest.approx(threshold, rel=1e-12)) and root.gain == pytest.approx(gain, abs=1e-12)
+
+
+def test_cart_levels_are_exact(spark):
+    """Every inner node of a deeper tree has the best cut of its own rows, leaves of few rows kept."""
+    x, y = skewed(1500, 3)
+    y = y + 2 * (x[:, 0] > 0.3713)
+    y[y == 3] = 2
+    tree = T.CART(max_depth=3, min_samples_leaf=5, criterion="entropy", max_candidates=6).fit(table(spark, x, y))
+
+    def rows_of(i):
+        n = tree.nodes[i]
+        if n.parent is None:
+            return np.ones(len(x), bool)
+        p = tree.nodes[n.parent]
+        return rows_of(p.id) & ((x[:, p.feature] <= p.edges[0]) == (p.children[0] == i))
+
+    for n in tree.nodes:
+        own = rows_of(n.id)
+        assert list(np.bincount(y[own], minlength=3)) == list(n.counts)
+        if n.is_leaf:
+            continue
+        best = np.inf
+        for f in range(3):
+            for t in np.unique(x[own, f])[:-1]:
+                left = x[own, f] <= t
+                if 5 <= left.sum() <= len(left) - 5:
+                    sides = [np.bincount(y[own][s], minlength=3) for s in (left, ~left)]
+                    best = min(best, sum(s.sum() * T.impurity_of(s, "entropy")[0] for s in sides) / own.sum())
+        assert n.impurity - n.gain == pytest.approx(best, abs=1e-12)
+
+
+def test_oblique_tries_every_value(spark):
+    """The plane's threshold is as cheap as any along its projection, far rows or not."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2500, 2))
+    y = (x[:, 0] + x[:, 1] > 0.2137).astype(int)
+    x[0] = [300.0, 300.0]
+    y[0] = 1
+    root = Oblique(max_depth=1).fit(table(spark, x, y)).nodes[0]
+    assert root.weights is not None
+    v = x @ root.weights + root.intercept
+    found = min(
+        (left.mean() * T.impurity_of(np.bincount(y[left], minlength=2), "gini")[0] + (~left).mean() * T.impurity_of(np.bincount(y[~left], minlength=2), "gini")[0])
+        for left in (v <= t for t in np.sort(v)[4:-5])
+    )
+    assert root.impurity - root.gain == pytest.approx(found, abs=1e-12)
+
+
 def test_chaid_uses_the_strongest_feature(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 5))
@@ -152,11 +220,6 @@ def test_edges_of_large_nodes(spark):
         own = x[place(x) == k]
         for f in range(5):
             assert got[k][f] == pytest.approx(cut(own[:, f], 10), rel=1e-12)
-    rough = node_edges(df, 5, place, sizes, 10, direct=100, exact=False)
-    for k in sizes:
-        own = np.sort(x[place(x) == k][:, 1])
-        rank = np.searchsorted(own, rough[k][1]) / len(own)
-        assert np.abs(rank - np.arange(1, 10) / 10).max() < 0.05
 
 
 def brute_shap(x, trees):
