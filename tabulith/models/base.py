@@ -41,6 +41,14 @@ class Fitted:
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def checked(self, df: DataFrame) -> DataFrame:
+        """``df`` that fails on the first row whose features the model cannot score."""
+        x = F.col("features")
+        finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        sound = (F.size(x) == self.n_features) & finite
+        text = F.concat(F.lit(f"{self.name} scores {self.n_features} finite features; given: "), F.coalesce(x.cast("string"), F.lit("null")))
+        return df.withColumn("features", F.when(F.coalesce(sound, F.lit(False)), x).otherwise(F.raise_error(text).cast(df.schema["features"].dataType)))
+
     def metadata(self) -> dict[str, Any]:
         return {
             "model_name": self.name, "model_type": self.model_type,
@@ -62,9 +70,9 @@ class Model:
 
     def fit(self, train: DataFrame) -> Fitted:
         started = time.perf_counter()
-        d = width(train)
         if self.supervised and "label" not in train.columns:
             raise ValueError(f"{self.name} needs a label column.")
+        d = require_sound(train, "label" if self.supervised else None)
         fitted = self._fit(train, d)
         fitted.fit_seconds = time.perf_counter() - started
         return fitted
@@ -83,6 +91,22 @@ def width(df: DataFrame, features: str = "features") -> int:
     return row["d"]
 
 
+def require_sound(df: DataFrame, label: str | None, features: str = "features") -> int:
+    """The number of features; an error names what a fit cannot use, in one pass over the rows."""
+    from ..operators.evaluate import check_features
+
+    d = width(df, features)
+    found = check_features(df, features, d, label).first().asDict()
+    rows = found.pop("n_rows")
+    bad = {k.replace("_", " "): v for k, v in found.items() if v}
+    if d < 1:
+        raise ValueError("The rows have no feature.")
+    if bad:
+        listed = ", ".join(f"{k}: {v}" for k, v in bad.items())
+        raise ValueError(f"Of {rows} rows some cannot be used ({listed}).")
+    return d
+
+
 def labels_of(df: DataFrame, label: str = "label", minimum: int = 2) -> list[Any]:
     """Sorted class labels; at least two, at most a thousand."""
     rows = collect_bounded(df.select(label).distinct(), MAX_LABELS, "The label list")

@@ -232,7 +232,7 @@ def _settle(rows, intervals: list[Interval], k: int, place, value: Value, criter
         n_left = upto.sum(axis=1)
         ok = (n_left >= min_leaf) & (total.sum() - n_left >= min_leaf)
         if not ok.any():
-            return pd.DataFrame({"slot": [], "cost": [], "low": [], "high": [], "left": []})
+            return pd.DataFrame([], columns=["slot", "cost", "low", "high", "left"])
         cost = np.where(ok, costs(upto, total, criterion), np.inf)
         i = int(cost.argmin())
         return pd.DataFrame({"slot": [slot], "cost": [cost[i]], "low": [codes[i]], "high": [codes[i + 1]], "left": [upto[i].tolist()]})

@@ -15,8 +15,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import running_sum
 from ..functions.scalar import argmax_index, number, sum_text
 from ..operators.prepare import SEED, kfold, poly_expressions
+from ..operators.series import VARIANCE_RATIO, fit_series
 from .base import (
     INLINE_TERMS, Fitted, Model, array_text, batch_matrix, label_at, label_index, labels_of,
     linear_text, newton, spread, summed_systems, vector_scores, width,
@@ -504,19 +506,57 @@ def require_numeric_label(df: DataFrame, label: str = "label") -> Column:
     return F.col(label).cast("double")
 
 
+@dataclass
+class SeriesPrediction(Fitted):
+    """A line through one feature; a differenced series is summed up from its last known level, by row key."""
+
+    slope: float = 0.0
+    intercept: float = 0.0
+    differenced: bool = False
+    last_level: float | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        step = F.col("features")[0] * self.slope + self.intercept
+        if not self.differenced:
+            return df.withColumn("prediction", step)
+        summed = running_sum(df.withColumn("__step", step), [], "row_id", {"__step": "__sum"})
+        return summed.withColumn("prediction", F.col("__sum") + self.last_level).drop("__step", "__sum")
+
+
 class PolynomialRegression(Model):
-    """Least squares on all monomials up to ``degree`` (several features)."""
+    """Least squares: all monomials up to ``poly_degree`` of several features, or a line through one.
+
+    With one feature the rows are a series by key.  If the level varies more than
+    ``variance_ratio_threshold`` times as much as its differences, the differences are fitted.
+    """
 
     key, name, model_type = "regression", "Polynomial Regression", "regressor"
+    one_feature = True
 
-    def __init__(self, poly_degree: int = 2) -> None:
+    def __init__(self, poly_degree: int = 2, variance_ratio_threshold: float = VARIANCE_RATIO) -> None:
         if poly_degree < 1:
             raise ValueError("poly_degree must be at least 1.")
-        self.poly_degree = poly_degree
+        self.poly_degree, self.variance_ratio_threshold = poly_degree, variance_ratio_threshold
+
+    def _fit_series(self, train: DataFrame, y: Column) -> SeriesPrediction:
+        rows = train.select("row_id", F.col("features")[0].alias("x"), y.alias("y"))
+        found = fit_series(rows, [], "row_id", "x", "y", self.variance_ratio_threshold).first()
+        if found["n"] < 3:
+            raise ValueError("At least three rows are required.")
+        flat = found["slope"] is None  # the feature is constant
+        slope = 0.0 if flat else found["slope"]
+        intercept = found["mean_diff" if found["differenced"] else "mean_level"] if flat else found["intercept"]
+        return self._new(
+            SeriesPrediction, 1, slope=float(slope), intercept=float(intercept), differenced=found["differenced"],
+            last_level=None if found["last_level"] is None else float(found["last_level"]), importance={"feature_0": float(slope)},
+            details={"mode": "univariate", "stationarity_score": found["ratio"], "differenced": found["differenced"]},
+        )
 
-    def _fit(self, train: DataFrame, d: int) -> LinearPrediction:
+    def _fit(self, train: DataFrame, d: int) -> Fitted:
         y = require_numeric_label(train)
-        terms = [t for _, t in poly_expressions("features", d, self.poly_degree)]
+        if d == 1 and self.one_feature:
+            return self._fit_series(train, y)
+        names, terms = (list(v) for v in zip(*poly_expressions("features", d, self.poly_degree)))
         if len(terms) > 4096:
             raise ValueError("More than 4096 expanded features.")
         slim = train.select(
@@ -525,14 +565,18 @@ class PolynomialRegression(Model):
         model = LinearRegression(
             regParam=0.0, solver="normal", featuresCol="__vec", labelCol="__y", predictionCol="__pred"
         ).fit(slim)
-        return self._new(LinearPrediction, d, terms=terms, coefficients=model.coefficients.toArray(),
-                         intercept=float(model.intercept))
+        weights = model.coefficients.toArray()
+        return self._new(
+            LinearPrediction, d, terms=terms, coefficients=weights, intercept=float(model.intercept), importance=_importance(weights),
+            details={"mode": "multivariate", "terms": [list(n) for n in names]},
+        )
 
 
 class LaggedRegression(PolynomialRegression):
     """Least squares on flattened lookback rows."""
 
     key, name = "lagged_regression", "Lagged Linear Regression"
+    one_feature = False
 
     def __init__(self) -> None:
         super().__init__(1)

@@ -86,14 +86,14 @@ def fit_series(
         F.regr_intercept(F.col("__d"), F.col(x)).alias("intercept_diff"),
         F.regr_slope(F.col(y), F.col(x)).alias("slope_level"),
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept_level"),
-        F.max_by(y, order).alias("last_level"),
+        F.max_by(y, order).alias("last_level"), F.avg("__d").alias("mean_diff"), F.avg(y).alias("mean_level"),
     )
     differenced = F.col("ratio") > threshold
     return per_series.select(
         *by, "n", "ratio", differenced.alias("differenced"),
         F.when(differenced, F.col("slope_diff")).otherwise(F.col("slope_level")).alias("slope"),
         F.when(differenced, F.col("intercept_diff")).otherwise(F.col("intercept_level")).alias("intercept"),
-        F.when(differenced, F.col("last_level")).alias("last_level"),
+        F.when(differenced, F.col("last_level")).alias("last_level"), "mean_diff", "mean_level",
     )
 
 

@@ -161,9 +161,16 @@ def run_metadata(spark: SparkSession, run: Run) -> DataFrame:
 
 def importance_table(spark: SparkSession, run: Run) -> DataFrame:
     """``(model_key, feature, importance)`` with the prepared feature names."""
-    names = run.prep.feature_names
+    prepared = run.prep.feature_names
+
+    def named(fitted: Fitted, feature: str) -> str:
+        """Expanded terms are named by the features in them."""
+        j = int(feature.rsplit("_", 1)[1])
+        terms = fitted.details.get("terms")
+        return " * ".join(prepared[i] for i in terms[j]) if terms else prepared[j]
+
     rows = [
-        (r.model_key, names[int(f.rsplit("_", 1)[1])], float(v))
+        (r.model_key, named(r.fitted, f), float(v))
         for r in run.results if r.fitted and r.fitted.importance for f, v in r.fitted.importance.items()
     ]
     return spark.createDataFrame(rows, "model_key string, feature string, importance double")
@@ -174,7 +181,7 @@ def predict_run(run: Run, model_key: str, df: DataFrame) -> DataFrame:
     result = run.result(model_key)
     if result.fitted is None:
         raise ValueError(f"Model '{model_key}' failed in this run: {result.error}")
-    scored = result.fitted.transform(transform_new(df, run.prep))
+    scored = result.fitted.transform(result.fitted.checked(transform_new(df, run.prep)))
     shown = ["row_id", "components" if result.fitted.model_type == "dimensionality_reducer" else "prediction"]
     if result.fitted.model_type == "classifier":
         shown.append("probability")

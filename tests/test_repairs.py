@@ -1,6 +1,7 @@
 """Quoted CSV, splits without gain, labels of training rows, choice of the silhouette, suitability rules."""
 
 import numpy as np
+import pytest
 
 from tabulith.models.density import DBSCAN
 from tabulith.models.discriminant import suitability_rules
@@ -98,3 +99,59 @@ def test_fits_are_registered_with_the_reference_defaults(spark, sf, monkeypatch)
         with pytest.raises(Asked) as asked:
             __spark_entry__.queries()[name](spark, sf)
         assert {k: getattr(asked.value.args[0], k) for k in values} == values
+
+
+@pytest.mark.parametrize("bad", [[None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], None])
+def test_every_fit_and_score_checks_its_rows(spark, bad):
+    from tabulith.models.discriminant import NaiveBayes
+    from tabulith.models.library import KMeansClusters
+
+    good = [(i, [float(i % 7), float(i % 5)], i % 2) for i in range(40)]
+    schema = "row_id int, features array<double>, label int"
+    df = spark.createDataFrame([*good, (99, bad, 1)], schema)
+    for model in (NaiveBayes(), KMeansClusters(2)):
+        with pytest.raises(ValueError, match="cannot be used"):
+            model.fit(df)
+    fitted = NaiveBayes().fit(spark.createDataFrame(good, schema))
+    assert fitted.transform(fitted.checked(spark.createDataFrame(good, schema))).count() == 40
+    with pytest.raises(Exception, match="scores 2 finite features"):
+        fitted.transform(fitted.checked(df)).collect()
+    with pytest.raises(ValueError, match="missing label: 1"):
+        NaiveBayes().fit(spark.createDataFrame([*good, (99, [1.0, 2.0], None)], schema))
+
+
+def test_one_feature_regression_in_a_run(spark):
+    """A trending series is differenced and summed up again; a level one is fitted as it is; a constant feature gives the mean."""
+    import numpy as np
+
+    from tabulith.models.library import PolynomialRegression
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=60)
+    trend = np.cumsum(2.0 + 3.0 * x)
+    for y, differenced in ((trend, True), (5.0 + 0.5 * x + rng.normal(size=60), False)):
+        df = spark.createDataFrame([(i, [float(v)], float(w)) for i, (v, w) in enumerate(zip(x, y))], "row_id int, features array<double>, label double")
+        fitted = PolynomialRegression().fit(df.where("row_id < 50"))
+        assert fitted.details["differenced"] is differenced
+        ratio = np.var(y[:50]) / (np.var(np.diff(y[:50])) + 1e-12)
+        assert fitted.details["stationarity_score"] == pytest.approx(ratio)
+        a, b = (x[1:50], np.diff(y[:50])) if differenced else (x[:50], y[:50])
+        slope, intercept = np.polyfit(a, b, 1)
+        want = slope * x[50:] + intercept
+        want = y[49] + np.cumsum(want) if differenced else want
+        got = {r.row_id: r.prediction for r in fitted.transform(df.where("row_id >= 50").repartition(4)).collect()}
+        assert [got[i] for i in range(50, 60)] == pytest.approx(list(want))
+        assert fitted.importance == {"feature_0": pytest.approx(slope)}
+    flat = spark.createDataFrame([(i, [1.0], float(i % 2)) for i in range(10)], "row_id int, features array<double>, label double")
+    assert {r.prediction for r in PolynomialRegression().fit(flat).transform(flat).collect()} == {0.5}
+    with pytest.raises(ValueError, match="three rows"):
+        PolynomialRegression().fit(flat.limit(2))
+
+
+def test_importance_names_expanded_terms(spark):
+    from tabulith.plans.runs import Spec, importance_table, train_run
+
+    df = spark.range(80).selectExpr("id", "cast(id % 9 as double) as a", "cast(id % 7 as double) as b", "cast((id % 9) * (id % 7) as double) as y")
+    run, _ = train_run(df, "id", "y", [Spec("regression")], "regression")
+    rows = importance_table(spark, run).collect()
+    assert run.results[0].error is None and len({r.feature for r in rows}) == len(rows) == 5
