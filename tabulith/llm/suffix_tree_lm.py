@@ -44,7 +44,7 @@ TRAVEL_SHARE = 1e-6
 #: Smallest divergence, in nats, of a kept context from its suffix.
 DIVERGENCE = 0.01
 DISCOUNT = 0.5
-PIECE = 6_000_000
+PIECE = 4_000_000
 #: Bits of a map of hashes; a power of two.
 MAP_BITS = 1 << 25
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b" "))
@@ -181,16 +181,22 @@ def _texts(known):
             keys, owners = [tokens[rare]], [text[rare]]
             levels = Levels(tokens, offsets, held.depth)
             for d in range(held.depth):
-                for wanted in (levels.keys[d], entry(levels.contexts[d])):
-                    use = np.flatnonzero(levels.sound[d])
-                    near = use[held.near.may_hold(wanted[use])]
+                # A pair is listed only behind a kept context, so contexts are looked up first.
+                use = np.flatnonzero(levels.sound[d])
+                for file in (lambda at: entry(levels.contexts[d][at]), lambda at: levels.keys[d][at]):  # noqa: B023
+                    wanted = file(use)
+                    near = np.flatnonzero(held.near.may_hold(wanted))
                     at = find(held.keys, wanted[near])
-                    gain[near] += np.where(at >= 0, held.gains[np.maximum(at, 0)] if len(held.keys) else 0.0, 0.0)
-                    if held.far is None:
-                        continue
-                    far = use[held.far.may_hold(wanted[use])]
-                    keys.append(wanted[far])
-                    owners.append(text[far])
+                    hit = at >= 0
+                    gain[use[near[hit]]] += held.gains[at[hit]]
+                    found = np.zeros(len(use), bool)
+                    found[near[hit]] = True
+                    if held.far is not None:
+                        far = held.far.may_hold(wanted)
+                        keys.append(wanted[far])
+                        owners.append(text[use[far]])
+                        found |= far
+                    use = use[found]
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.lexsort((keys, owners))
             keys, owners = keys[order], owners[order]
