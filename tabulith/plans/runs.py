@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import pickle
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +20,14 @@ from ..models.library import (
     KMeansClusters, LaggedRegression, Logistic, Mixture, Neighbours, Perceptron,
     PolynomialRegression, PrincipalComponents, RandomForest, SVM,
 )
+from ..models.adapter import adapt
 from ..models.boosting import BoostedTrees
 from ..models.oblique import Oblique
 from ..models.trees import CART, CHAID, ID3
 from ..operators.evaluate import confusion_matrix, evaluate
 from ..operators.prepare import TEST_SIZE, FittedPrep, Prepared, fit_prepare, transform_new
 from ..operators.profile import infer_problem_type, require_valid
+from .state import Reader, Writer
 
 MODELS: dict[str, type[Model]] = {
     m.key: m
@@ -44,6 +46,26 @@ FITS = {
 }
 
 
+def register_model(model: type[Model]) -> type[Model]:
+    """Makes a model class known to runs by its ``key``; usable as a decorator.
+
+    Its fitted class must be a dataclass derived from ``Fitted``; such runs are saved and
+    loaded like all others once the class is imported.
+    """
+    if not (isinstance(model, type) and issubclass(model, Model)):
+        raise TypeError("Only subclasses of Model can be registered.")
+    if not model.key or model.model_type not in FITS:
+        raise ValueError(f"A model needs a key and one of the types {', '.join(FITS)}.")
+    if MODELS.setdefault(model.key, model) is not model:
+        raise ValueError(f"A model is registered as '{model.key}' already.")
+    return model
+
+
+def register_estimator(key: str, name: str, model_type: str, estimator: Estimator) -> type[Model]:
+    """Makes an estimator of Spark's ML library known to runs as a model."""
+    return register_model(adapt(key, name, model_type, estimator))
+
+
 @dataclass
 class Spec:
     model_key: str
@@ -257,24 +279,12 @@ def save_run(run: Run, path: str) -> None:
     base = f"{path.rstrip('/')}/{run.run_id}"
     metrics_table(spark, [run]).coalesce(1).write.parquet(f"{base}/metrics")
     run_metadata(spark, run).coalesce(1).write.parquet(f"{base}/models")
-    rows = []
-    for i, r in enumerate(run.results):
-        state = None
-        if r.fitted is not None:
-            state = {"__class__": type(r.fitted)}
-            for f in fields(r.fitted):
-                value = getattr(r.fitted, f.name)
-                where = f"{base}/parts/{i}-{f.name}"
-                if isinstance(value, DataFrame):
-                    value.write.parquet(where)
-                    value = ("__table__", where)
-                elif hasattr(value, "write") and hasattr(value, "uid"):
-                    value.write().save(where)
-                    value = ("__model__", where, type(value))
-                state[f.name] = value
-        rows.append((i, r.model_key, json.dumps(r.metrics), r.error, bytearray(pickle.dumps(state))))
+    rows = [
+        (i, r.model_key, json.dumps(r.metrics), r.error, None if r.fitted is None else Writer(base, str(i)).text(r.fitted))
+        for i, r in enumerate(run.results)
+    ]
     spark.createDataFrame(
-        rows, "position int, model_key string, metrics string, error string, state binary"
+        rows, "position int, model_key string, metrics string, error string, state string"
     ).coalesce(1).write.parquet(f"{base}/fitted")
     if run.prep.codes is not None:
         run.prep.codes.write.parquet(f"{base}/codes")
@@ -290,19 +300,11 @@ def load_run(spark: SparkSession, path: str, run_id: str) -> Run:
     base = f"{path.rstrip('/')}/{run_id}"
     head = spark.read.parquet(f"{base}/run").first()
     codes = spark.read.parquet(f"{base}/codes") if head["has_codes"] else None
-    results = []
-    for r in spark.read.parquet(f"{base}/fitted").orderBy("position").collect():
-        state = pickle.loads(bytes(r["state"]))
-        fitted = None
-        if state is not None:
-            kind = state.pop("__class__")
-            for name, value in state.items():
-                if isinstance(value, tuple) and value and value[0] == "__table__":
-                    state[name] = spark.read.parquet(value[1])
-                elif isinstance(value, tuple) and value and value[0] == "__model__":
-                    state[name] = value[2].load(value[1])
-            fitted = kind(**state)
-        results.append(Result(r["model_key"], fitted, json.loads(r["metrics"]), r["error"]))
+    reader = Reader(spark, base)
+    results = [
+        Result(r["model_key"], None if r["state"] is None else reader.value(r["state"]), json.loads(r["metrics"]), r["error"])
+        for r in spark.read.parquet(f"{base}/fitted").orderBy("position").collect()
+    ]
     return Run(
         run_id, head["problem_type"], head["target"], FittedPrep.from_json(head["prep"], codes),
         head["test_size"], head["n_rows"], results,
