@@ -26,7 +26,7 @@ score is 0; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,23 +140,32 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(signed(words)), pa.array(n)], ["word", "n"])
 
 
-def _followers(maps, depth: int):
-    """Counts of the words behind candidate contexts of a length.
+def _followers(maps, depths: Sequence[int]):
+    """Counts of the words behind candidate contexts, as ``level, context, word, n``.
 
-    ``maps`` holds the bit maps of the candidate contexts and of the words that may follow.
+    ``maps`` holds the bit maps of the candidate contexts of the first length and of the words
+    that may follow.  A context of the second length is frequent only if its two parts of the
+    first length are, so both lengths are counted in one pass.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (contexts, words) = Hashes(), maps.value
         for batch in pieces(batches, "text", PIECE):
             tokens, offsets = tokens_of(batch.column("text").to_pylist(), cache)
-            levels = Levels(tokens, offsets, depth)
-            use = np.flatnonzero(levels.sound[-1])
-            use = use[contexts.may_hold(levels.contexts[-1][use])]
-            use = use[words.may_hold(tokens[use])]
-            keys, first, n = np.unique(levels.keys[-1][use], return_index=True, return_counts=True)
-            at = use[first]
-            yield pa.record_batch([pa.array(signed(levels.contexts[-1][at])), pa.array(signed(tokens[at])), pa.array(n)], ["context", "word", "n"])
+            levels = Levels(tokens, offsets, depths[-1])
+            first = depths[0] - 1
+            hold = levels.sound[first] & contexts.may_hold(levels.contexts[first])
+            for d in depths:
+                if d > depths[0]:
+                    hold = hold & np.r_[False, hold[:-1]] & levels.sound[d - 1]
+                use = np.flatnonzero(hold)
+                use = use[words.may_hold(tokens[use])]
+                _, start, n = np.unique(levels.keys[d - 1][use], return_index=True, return_counts=True)
+                at = use[start]
+                yield pa.record_batch(
+                    [pa.array(np.full(len(at), d, np.int32)), pa.array(signed(levels.contexts[d - 1][at])), pa.array(signed(tokens[at])), pa.array(n)],
+                    ["level", "context", "word", "n"],
+                )
 
     return count
 
@@ -229,7 +238,8 @@ class SuffixTreeModel:
         context_count: int | None = None, next_count: int | None = None, travel_share: float = TRAVEL_SHARE,
         divergence: float = DIVERGENCE,
     ):
-        self.id_col, self.text_col, self.divergence = id_col, text_col, divergence
+        self.id_col, self.text_col, self.divergence, self.depth = id_col, text_col, divergence, depth
+        self.counted: dict[int, DataFrame] = {}
         self.context = docs.sparkSession.sparkContext
         teach = docs.where(F.coalesce(learn, F.lit(False))).select(docs[text_col].cast("string").cast("binary").alias("text"))
         self.counts = stored(
@@ -275,9 +285,15 @@ class SuffixTreeModel:
         candidates = contexts.count()
         if not candidates:
             return None
-        maps = self.context.broadcast((BitMap.of(contexts.select(F.col("context").alias("h"))), self.next_words))
-        counted = teach.mapInArrow(_followers(maps, depth), "context long, word long, n long")
-        often = counted.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= self.next_count)
+        if depth not in self.counted:
+            maps = self.context.broadcast((BitMap.of(contexts.select(F.col("context").alias("h"))), self.next_words))
+            # One word is counted by itself; longer contexts two lengths at a time.
+            depths = [depth] if depth == 1 or depth == self.depth else [depth, depth + 1]
+            counted = teach.mapInArrow(_followers(maps, depths), "level int, context long, word long, n long")
+            counted = counted.groupBy("level", "context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= self.next_count)
+            counted = stored(counted, "suffix-tree-counts")
+            self.counted |= {d: counted.where(F.col("level") == d).drop("level") for d in depths}
+        often = self.counted[depth]
         shorter = [f"context{d}" for d in range(1, depth)]
         often = often.join(contexts, "context").select("context", "word", "n", "total", *shorter)
         names = ["context", "word", "n", "total", *shorter, "key", "last", *[f"key{d}" for d in range(1, depth)]]

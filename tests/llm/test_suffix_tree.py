@@ -70,7 +70,7 @@ def made(seed, n=150):
     return out
 
 
-@pytest.mark.parametrize("depth,share", [(3, 0.0), (3, 1.0), (3, 0.02), (1, 0.02), (0, 0.02)])
+@pytest.mark.parametrize("depth,share", [(3, 0.0), (3, 1.0), (4, 0.02), (2, 0.02), (1, 0.02), (0, 0.02)])
 def test_equals_plain_tree(spark, depth, share):
     texts = made(1)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
