@@ -142,7 +142,7 @@ _docs_fit("fit_id3", trees.ID3)
 _docs_fit("fit_chaid", trees.CHAID)
 _docs_fit("fit_oblique", oblique.Oblique)
 _docs_fit("fit_random_forest", lambda: library.RandomForest(n_estimators=20, max_depth=6))
-_docs_fit("fit_gbt", boosting.BoostedTrees)
+_docs_fit("fit_gbt", lambda: boosting.BoostedTrees(n_estimators=50))
 _docs_fit("fit_svm_linear", lambda: library.SVM("linear"))
 _docs_fit("fit_svm_rbf", lambda: library.SVM("rbf", n_components=50))
 _docs_fit("fit_mlp", lambda: library.Perceptron((16, 8), 50))

@@ -19,11 +19,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions.scalar import argmax_index
+from ..functions.scalar import argmax_index, number
 from ..session import fan_out
 from .base import Fitted, Model, batch_matrix, label_at, label_index, labels_of, vector_scores
 from .trees import global_edges
@@ -103,10 +102,6 @@ def _state(batch, d: int, start: Sequence[float]) -> tuple[np.ndarray, np.ndarra
     return codes, held.reshape(batch.num_rows, len(start)).astype(np.float64)
 
 
-def _shrunk(g: Column, alpha: float) -> Column:
-    return F.signum(g) * F.greatest(F.abs(g) - alpha, F.lit(0.0)) if alpha else g
-
-
 @dataclass
 class BoostedClassifier(Fitted):
     trees: list[BoostTree] = field(default_factory=list)
@@ -285,21 +280,30 @@ class BoostedTrees(Model):
 
         A node without a cut that is allowed has a null gain.
         """
-        group = W.partitionBy("tree", "node", "feature")
-        before = group.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-        score = lambda g, h: F.pow(_shrunk(g, self.reg_alpha), 2) / (h + self.reg_lambda)
-        rows = sums.select(
-            "tree", "node", "feature", "bin", F.sum("g").over(before).alias("gl"), F.sum("h").over(before).alias("hl"),
-            F.sum("g").over(group).alias("gt"), F.sum("h").over(group).alias("ht"), F.max("bin").over(group).alias("last"),
-        )
-        gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-        gain = 0.5 * (score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht")))
-        allowed = (F.col("bin") < F.col("last")) & (F.col("hl") >= self.min_child_weight) & (hr >= self.min_child_weight)
-        cut = F.when(allowed, F.struct(gain.alias("gain"), (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "gl", "hl"))
-        best = rows.withColumn("cut", cut).groupBy("tree", "node").agg(
-            F.max("cut").alias("cut"), F.max_by("gt", -F.col("feature")).alias("g"), F.max_by("ht", -F.col("feature")).alias("h")
+        return sums.selectExpr(*self._running).selectExpr("tree", "node", "feature", "gt", "ht", self._cut).groupBy("tree", "node").agg(
+            F.expr("max(cut) AS cut"), F.expr("max_by(gt, -feature) AS g"), F.expr("max_by(ht, -feature) AS h")
+        ).selectExpr("tree", "node", "cut.gain", "-cut.feature AS feature", "-cut.bin AS bin", "cut.gl", "cut.hl", "g", "h")
+
+    #: Sums up to each bin and over the whole group, as SQL text: a fit plans this once per level.
+    _running = ["tree", "node", "feature", "bin", *[
+        f"{f} OVER (PARTITION BY tree, node, feature{order}) AS {name}" for f, order, name in (
+            ("sum(g)", " ORDER BY bin ROWS UNBOUNDED PRECEDING", "gl"), ("sum(h)", " ORDER BY bin ROWS UNBOUNDED PRECEDING", "hl"),
+            ("sum(g)", "", "gt"), ("sum(h)", "", "ht"), ("max(bin)", "", "last"),
         )
-        return best.select("tree", "node", "cut.gain", (-F.col("cut.feature")).alias("feature"), (-F.col("cut.bin")).alias("bin"), "cut.gl", "cut.hl", "g", "h")
+    ]]
+
+    @property
+    def _cut(self) -> str:
+        """The gain of an allowed cut with what it is, so that the greatest is the best and the first of equals."""
+        alpha, penalty, least = (number(v) for v in (self.reg_alpha, self.reg_lambda, self.min_child_weight))
+
+        def score(g: str, h: str) -> str:
+            shrunk = f"greatest(abs({g}) - {alpha}, 0D)" if self.reg_alpha else f"({g})"
+            return f"pow({shrunk}, 2) / ({h} + {penalty})"
+
+        gain = f"0.5D * ({score('gl', 'hl')} + {score('gt - gl', '(ht - hl)')} - {score('gt', 'ht')})"
+        allowed = f"bin < last AND hl >= {least} AND ht - hl >= {least}"
+        return f"CASE WHEN {allowed} THEN named_struct('gain', {gain}, 'feature', -feature, 'bin', -bin, 'gl', gl, 'hl', hl) END AS cut"
 
     def _grow(self, held: DataFrame, past, edges, start, chosen, turn: int) -> list[BoostTree]:
         """The trees of one round, all classes level by level together."""

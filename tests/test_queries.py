@@ -1,10 +1,5 @@
-"""Queries against their SQL on the small tables.
+"""Every core query that has SQL against it on the small tables."""
 
-One query per family by default; ``ALL_QUERIES=1`` runs every one, as does
-``tools/compare.py``.
-"""
-
-import os
 import sys
 from pathlib import Path
 
@@ -15,16 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 from compare import TABLES, compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from tabulith.catalog import all_sql  # noqa: E402
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
-FAMILIES = [
-    "src_csv", "audit_predictions", "profile_dataset", "distribution_buckets", "split_stratified", "prepare", "transform_new",
-    "lookback_features", "kfold_assign", "classifier_metrics", "silhouette", "roc_auc", "best_threshold", "compare_models",
-    "knn_classify", "dbscan", "connected_components", "naive_bayes_predict", "class_covariance", "chaid_root_test",
-    "tree_importance", "run_roundtrip", "score_stream",
-]
-CHOSEN = sorted(SQL) if os.environ.get("ALL_QUERIES") else FAMILIES
+QUERIES, SQL = entry.queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +23,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf, duck, name):
     result = compare(QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df())
     spark.catalog.clearCache()
@@ -48,4 +36,4 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(QUERIES)
