@@ -72,3 +72,86 @@ def test_longest_matches(spark):
             got.setdefault(int(m["item"]), []).append((m.start, m.length))
         for k, item in enumerate(texts_[:10]):
             assert sorted(got.get(k, [])) == plain_matches(texts_[10 + r.id], item, 4)
+
+
+def plain_components(sets, numer=80, denom=100):
+    """Smallest id reachable by links of similar sets."""
+    ids = sorted(sets)
+    own = {i: i for i in ids}
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            both = len(sets[a] & sets[b])
+            if both and denom * both >= numer * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                own[y] = x
+    return {i: root(i) for i in ids}
+
+
+def plain_masked(docs):
+    """``docs``: (id, text, owner); live-looking values replaced, widely copied ones left."""
+    spans, owners, repos = {}, {}, {}
+    for i, text, owner in docs:
+        base = secrets.base_spans(text or "")
+        spans[i] = base + secrets.mixed_spans(text or "", base)
+        for value in {s[3] for s in spans[i]}:
+            owners.setdefault(value, set()).add(owner)
+            repos[value] = repos.get(value, 0) + 1
+    out = {}
+    for i, text, _ in docs:
+        parts, at = [], 0
+        for s, _, e, value in sorted(spans[i], key=lambda x: (x[0], -x[2])):
+            if len(owners[value]) > secrets.MAX_OWNERS or repos[value] > secrets.MAX_REPOS:
+                continue
+            if s >= at:
+                parts += [text[at:s], "[secret]"]
+            at = max(at, e)
+        out[i] = None if text is None else "".join([*parts, text[at:]])
+    return out
+
+
+def test_pipeline_equals_plain_stages(spark, sf):
+    """Each stage on what its predecessor kept, against a plain version of it."""
+    import brute
+    import corpus_pipeline
+    from tabulith.llm import language
+    from tabulith.llm.rows import stored
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = [(r.doc_id, r.text, r.source, r.n_chars) for r in docs.collect()]
+    guessed = {r.id: r.lang for r in language.predict_language(docs, language.fit_field(docs)).collect()}
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf), "stage")
+        after[name] = docs
+        if name == "packing":
+            break
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "language":
+            held = [r for r in held if guessed[r[0]] != "und"]
+        elif name == "near duplicates":
+            words = {r[0]: brute.lower(r[1] or "").split() for r in held}
+            sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+            first = plain_components(sets)
+            held = [r for r in held if first[r[0]] == r[0]]
+        elif name == "decontamination":
+            found = brute.contamination([r[:2] for r in held], items)
+            held = [r for r in held if not found[r[0]][4]]
+        else:
+            masked = plain_masked([r[:3] for r in held])
+            held = [(i, masked[i], o, n if masked[i] == t else len(masked[i])) for i, t, o, n in held]
+        got = sorted((r.doc_id, r.text, r.source, r.n_chars) for r in docs.collect())
+        assert got == sorted(held), name
+    tokens = {}
+    for r in docs.collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+    for i, text, _, _ in held:
+        n = len((text or "").split())
+        assert tokens[i] == (n + 1 if n else 0)
+    assert 0 < len(held) < 200
