@@ -14,7 +14,7 @@ from ..plans.validation import cv_metrics
 from ..sources.tables import read_table
 from .common import (
     CLUSTERS, DOCS_LONG, DOCS_RAW, METRICS, ORDER_CELLS, ORDER_PRED, R, big, clusters, docs_prepared, docs_raw,
-    metric_rows, order_predictions, query, rnd, vectors,
+    VECTORS, metric_rows, order_predictions, query, rnd, vectors,
 )
 
 _DENSE = ORDER_CELLS + """,
@@ -94,9 +94,21 @@ def silhouette_query(spark, sf):
     return silhouette(clusters(spark, sf)).select(rnd("silhouette_score").alias("silhouette_score"))
 
 
-@query("silhouette_squared")
+@query("silhouette_squared", f"""
+WITH {VECTORS}, p AS (SELECT row_id, CASE WHEN label = 9 THEN -1 ELSE label END AS c, v FROM vec),
+l AS (SELECT row_id, c, unnest(v) AS x, unnest(range(len(v))) AS j FROM p),
+m AS (SELECT c AS o, j, avg(x) AS mu FROM l GROUP BY 1, 2),
+s AS (SELECT row_id, c, sum(x * x) AS q FROM l GROUP BY 1, 2),
+k AS (SELECT c AS o, count(*) AS n, avg(q) AS mq FROM s GROUP BY 1),
+d AS (
+  SELECT s.row_id, s.c, k.o, k.n, s.q + k.mq - 2 * t.dot AS far
+  FROM (SELECT row_id, o, sum(x * mu) AS dot FROM l JOIN m USING (j) GROUP BY 1, 2) t JOIN s USING (row_id) JOIN k USING (o)),
+r AS (
+  SELECT row_id, max(CASE WHEN o = c THEN n END) AS n, max(CASE WHEN o = c THEN far * n / (n - 1) END) AS a, min(CASE WHEN o <> c THEN far END) AS b
+  FROM d GROUP BY 1)
+SELECT {R('avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette_squared FROM r""")
 def silhouette_squared(spark, sf):
-    return E.silhouette_squared(clusters(spark, sf))
+    return E.silhouette_squared(clusters(spark, sf)).select(rnd("silhouette_squared").alias("silhouette_squared"))
 
 
 @query("reducer_variance_ratio", """

@@ -226,13 +226,6 @@ def fit_pca(spark, sf):
     return out.select("row_id", *[rnd(F.col("components")[i]).alias(f"pc{i + 1}") for i in range(2)])
 
 
-@query("fit_dbscan")
-def fit_dbscan(spark, sf):
-    both = split(places(spark, sf), "row_id")
-    model = density.DBSCAN(0.1, 4).fit(both.where("split = 'train'"))
-    return model.transform(both.where("split = 'test'")).select("row_id", "prediction")
-
-
 @query("fit_poly_regression")
 def fit_poly_regression(spark, sf):
     part = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")

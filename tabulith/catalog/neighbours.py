@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models.density import density_clusters
+from ..models.density import DBSCAN, density_clusters
 from ..models.library import NearestCentre
 from ..operators import distance as D
 from ..operators.evaluate import centroids
 from ..operators.graph import connected_components
+from ..operators.prepare import split
 from ..session import collect_bounded
-from .common import PLACES, VECTOR_SPLIT, VECTORS, R, big, places, query, rnd, vector_split, vectors
+from .common import PLACES, VECTOR_SPLIT, VECTORS, R, big, places, query, random_sql, rnd, vector_split, vectors
 
 _KNN = VECTOR_SPLIT + """,
 pairs AS (SELECT q.row_id AS query_id, t.row_id AS train_id, t.label, list_distance(q.v, t.v) AS distance
@@ -89,17 +90,37 @@ def kmeans_assign(spark, sf):
     return model.transform(v).select("row_id", big("prediction").alias("prediction"))
 
 
-@query("dbscan", f"""
-WITH RECURSIVE {PLACES},
-p AS (SELECT a.id AS i, b.id AS j FROM cust a JOIN cust b ON {_GAP} <= 0.05),
+def _density_sql(rows: str, eps: float) -> str:
+    """Cluster numbers of core and border rows of a table of places."""
+    return f"""
+p AS (SELECT a.id AS i, b.id AS j FROM {rows} a JOIN {rows} b ON {_GAP} <= {eps}),
 core AS (SELECT i AS id FROM p GROUP BY 1 HAVING count(*) >= 4),
 e AS (SELECT p.i, p.j FROM p JOIN core a ON a.id = p.i JOIN core b ON b.id = p.j),
 reach(id, other) AS (SELECT id, id FROM core UNION SELECT r.id, e.j FROM reach r JOIN e ON e.i = r.other),
 comp AS (SELECT id, min(other) AS c FROM reach GROUP BY 1),
 num AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM comp)),
 lab AS (SELECT id, k FROM comp JOIN num USING (c)),
-border AS (SELECT p.i AS id, min(k) AS k FROM p JOIN lab ON lab.id = p.j WHERE p.i NOT IN (SELECT id FROM core) GROUP BY 1)
+border AS (SELECT p.i AS id, min(k) AS k FROM p JOIN lab ON lab.id = p.j WHERE p.i NOT IN (SELECT id FROM core) GROUP BY 1)"""
+
+
+@query("dbscan", f"""
+WITH RECURSIVE {PLACES},{_density_sql("cust", 0.05)}
 SELECT cust.id AS row_id, CAST(coalesce(lab.k, border.k, -1) AS BIGINT) AS prediction, lab.id IS NOT NULL AS is_core
 FROM cust LEFT JOIN lab ON lab.id = cust.id LEFT JOIN border ON border.id = cust.id""")
 def dbscan(spark, sf):
     return density_clusters(places(spark, sf), 0.05, 4).withColumn("prediction", big("prediction"))
+
+
+@query("fit_dbscan", f"""
+WITH RECURSIVE {PLACES},{random_sql("cust", "id", "parted")},
+train AS (SELECT * FROM parted WHERE NOT is_test),{_density_sql("train", 0.1)},
+near AS (
+  SELECT a.id, lab.k, row_number() OVER (PARTITION BY a.id ORDER BY {_GAP}, b.id) AS rn
+  FROM parted a JOIN train b ON {_GAP} <= 0.1 JOIN lab ON lab.id = b.id WHERE a.is_test)
+SELECT c.id AS row_id, CAST(CASE WHEN is_test THEN coalesce(near.k, -1) ELSE coalesce(lab.k, border.k, -1) END AS BIGINT) AS prediction
+FROM parted c LEFT JOIN lab ON lab.id = c.id LEFT JOIN border ON border.id = c.id LEFT JOIN near ON near.id = c.id AND rn = 1""")
+def fit_dbscan(spark, sf):
+    """Clusters of the training part; its rows keep their label, the others take the nearest core row's."""
+    both = split(places(spark, sf), "row_id")
+    model = DBSCAN(0.1, 4).fit(both.where("split = 'train'"))
+    return model.transform(both).select("row_id", big("prediction").alias("prediction"))
