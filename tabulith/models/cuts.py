@@ -18,11 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.node_edges import DIRECT_ROWS, blocks
 from ..functions.quantiles import ordered_codes, value_of
-from ..functions.scalar import impurity
 from ..session import fan_out
 from .base import batch_matrix
 
@@ -38,7 +36,7 @@ def costs(left: np.ndarray, total: np.ndarray, criterion: str) -> np.ndarray:
 
     right = total - left
     nl, nr = left.sum(axis=1), right.sum(axis=1)
-    return (nl * impurity_of(left, criterion) + nr * impurity_of(right, criterion)) / total.sum()
+    return (nl * impurity_of(left, criterion) + nr * impurity_of(right, criterion)) / total.sum(axis=-1)
 
 
 def halfway(low: float, high: float) -> float:
@@ -79,35 +77,51 @@ def _bound(below: np.ndarray, inside: np.ndarray, total: np.ndarray, criterion:
     from .trees import impurity_of
 
     above = total - below - inside
-    return (below.sum(axis=1) * impurity_of(below, criterion) + above.sum(axis=1) * impurity_of(above, criterion)) / total.sum()
+    return (below.sum(axis=1) * impurity_of(below, criterion) + above.sum(axis=1) * impurity_of(above, criterion)) / total.sum(axis=-1)
 
 
 def _survivors(coarse: DataFrame, bars: dict[int, float], k: int, criterion: str, edges) -> list[Interval]:
-    """Coarse bins of two or more rows whose bound lies under the bar of their node."""
+    """Coarse bins of two or more rows whose bound lies under the bar of their node.
+
+    ``coarse`` is dealt out by node and feature, so a task sees all bins of each.
+    """
     names = [f"c{c}" for c in range(k)]
-    group = W.partitionBy("node", "feature")
-    before = group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    table = coarse.select(
-        "node", "feature", "bin", *names,
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in names], *[F.sum(c).over(group).alias(f"t_{c}") for c in names],
-    )
-    low = [F.col(f"b_{c}").cast("double") for c in names]
-    high = [(F.col(f"t_{c}") - F.col(f"b_{c}") - F.col(c)).cast("double") for c in names]
-    n_low, n_high, inside = sum(low[1:], low[0]), sum(high[1:], high[0]), sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    part = lambda n, counts: F.when(n > 0, n * impurity(counts, criterion)).otherwise(0.0)
-    bound = (part(n_low, low) + part(n_high, high)) / (n_low + n_high + inside)
-    listed = coarse.sparkSession.createDataFrame([(n, float(b)) for n, b in bars.items()], "node int, bar double")
-    rows = table.withColumn("bound", bound).where(inside > 1).join(listed, "node").where(F.col("bound") < F.col("bar") - TIE).select(
-        "node", "feature", "bin", *names, *[f"b_{c}" for c in names]
-    ).collect()
-    out = []
-    for r in rows:
-        e, b = edges(r["node"], r["feature"]), r["bin"]
-        low, high = (e[b - 1] if b > 0 else -np.inf), (e[b] if b < len(e) else np.inf)
-        out.append(Interval(
-            r["node"], r["feature"], _code(low), _code(high), np.array([r[f"b_{c}"] for c in names]), np.array([r[c] for c in names])
-        ))
-    return out
+
+    def check(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        node, feature, at = (t.column(c).to_numpy() for c in ("node", "feature", "bin"))
+        table = np.column_stack([t.column(c).to_numpy() for c in names])
+        order = np.lexsort((at, feature, node))
+        node, feature, at, table = node[order], feature[order], at[order], table[order]
+        begin = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (feature[1:] != feature[:-1])])
+        sizes = np.diff(np.r_[begin, len(node)])
+        run = table.cumsum(axis=0)
+        base = run[begin] - table[begin]
+        below = run - table - np.repeat(base, sizes, axis=0)
+        total = np.repeat(run[begin + sizes - 1] - base, sizes, axis=0)
+        bar = np.array([bars.get(int(n), -np.inf) for n in node[begin]])
+        keep = (table.sum(axis=1) > 1) & (_bound(below, table, total, criterion) < np.repeat(bar, sizes) - TIE)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(v[keep]) for v in (node, feature, at)], *[pa.array(table[keep, c]) for c in range(k)], *[pa.array(below[keep, c]) for c in range(k)]],
+            ["node", "feature", "bin", *names, *[f"b_{c}" for c in names]],
+        )
+
+    rows = coarse.mapInArrow(
+        check, "node int, feature int, bin int, " + ", ".join(f"{c} long" for c in [*names, *[f"b_{c}" for c in names]])
+    ).toArrow()
+    column = lambda c: rows.column(c).to_numpy()
+    node, feature, at = column("node"), column("feature"), column("bin")
+    inside = np.column_stack([column(c) for c in names])
+    below = np.column_stack([column(f"b_{c}") for c in names])
+    low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for n, f in {*zip(node.tolist(), feature.tolist())}:
+        own = np.flatnonzero((node == n) & (feature == f))
+        borders = ordered_codes(np.r_[-np.inf, edges(n, f), np.inf])
+        low[own], high[own] = borders[at[own]], borders[at[own] + 1]
+    return [Interval(int(n), int(f), int(a), int(b), u, i) for n, f, a, b, u, i in zip(node, feature, low, high, below, inside)]
 
 
 def _plan(intervals: Sequence[Interval]):
@@ -189,55 +203,81 @@ def _finer(rows, intervals: list[Interval], k: int, place, value: Value, criteri
     return [s for s, b in open_ if b < bars[s.node] - TIE]
 
 
+def _packs(intervals: Sequence[Interval]) -> np.ndarray:
+    """Group of every interval: those of one column together, up to ``DIRECT_ROWS`` rows."""
+    out, pack, held, last = np.zeros(len(intervals), np.int64), -1, 0, None
+    for i in sorted(range(len(intervals)), key=lambda i: (intervals[i].node, intervals[i].column, intervals[i].low)):
+        s = intervals[i]
+        n = int(s.inside.sum())
+        if last != (s.node, s.column) or held + n > DIRECT_ROWS:
+            pack, held, last = pack + 1, 0, (s.node, s.column)
+        out[i], held = pack, held + n
+    return out
+
+
 def _settle(rows, intervals: list[Interval], k: int, place, value: Value, criterion: str, min_leaf: int, totals, best: dict[int, Cut], bars) -> None:
     """Tries every distinct value of the small intervals, and finds the values beside each node's best cut."""
     plan = _plan(intervals)
     asked = {n: (c.column, _code(c.edge)) for n, c in best.items()}
-    names = [f"c{c}" for c in range(k)]
+    packs = _packs(intervals)
 
     def gather(batches):
         for x, y in _rows(batches):
             at = place(x)
+            rows_: list[tuple[int, bytes, bytes, bytes]] = []
             parts = list(_inside(x, y, at, plan, value))
             if parts:
                 slot, codes, classes = (np.concatenate(p) for p in zip(*parts))
-                keys, table = _tables(np.column_stack([slot, codes]), classes, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, 0].astype(np.int32)), pa.array(keys[:, 1]), *[pa.array(table[:, c]) for c in range(k)]], ["slot", "code", *names]
-                )
-            # The largest value that goes left and the smallest that goes right, under slots of their own.
-            near = []
+                order = np.argsort(packs[slot], kind="stable")
+                slot, codes, classes = slot[order].astype(np.int32), codes[order], classes[order].astype(np.int32)
+                own = packs[slot]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                for i, j in zip(starts, np.r_[starts[1:], len(own)]):
+                    rows_.append((int(own[i]), slot[i:j].tobytes(), codes[i:j].tobytes(), classes[i:j].tobytes()))
+            # The largest value that goes left and the smallest that goes right, in packs of their own.
             for node, (column, edge) in asked.items():
                 codes = ordered_codes(value(x[at == node], node, column))
-                near += [(-1 - 2 * node, int(codes[codes <= edge].max()))] if (codes <= edge).any() else []
-                near += [(-2 - 2 * node, int(codes[codes > edge].min()))] if (codes > edge).any() else []
-            if near:
-                slots, codes = zip(*near)
+                for pack, near in ((-1 - 2 * node, np.sort(codes[codes <= edge])[-1:]), (-2 - 2 * node, np.sort(codes[codes > edge])[:1])):
+                    if len(near):
+                        rows_.append((pack, b"", near.tobytes(), b""))
+            if rows_:
+                columns = list(zip(*rows_))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots, pa.int32()), pa.array(codes, pa.int64()), *[pa.array([1] * len(near), pa.int64())] * k], ["slot", "code", *names]
+                    [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["pack", "slots", "codes", "classes"]
                 )
 
-    below = {i: s.below for i, s in enumerate(intervals)}
-    sums = {i: totals[s.node] for i, s in enumerate(intervals)}
+    below = np.array([s.below for s in intervals], np.int64).reshape(-1, k)
+    sums = np.array([totals[s.node] for s in intervals], np.int64).reshape(-1, k)
 
     def try_all(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        slot = int(key[0])
-        codes, inverse = np.unique(pdf["code"].to_numpy(), return_inverse=True)
-        if slot < 0:
-            edge = codes[-1] if slot % 2 else codes[0]
-            return pd.DataFrame({"slot": [slot], "cost": [0.0], "low": [edge], "high": [edge], "left": [[]]})
-        table = np.zeros((len(codes), k), np.int64)
-        np.add.at(table, inverse, pdf[names].to_numpy(np.int64))
-        upto, total = below[slot] + table.cumsum(axis=0)[:-1], sums[slot]
-        n_left = upto.sum(axis=1)
-        ok = (n_left >= min_leaf) & (total.sum() - n_left >= min_leaf)
-        if not ok.any():
+        pack = int(key[0])
+        codes = np.concatenate([np.frombuffer(v, np.int64) for v in pdf["codes"]])
+        if pack < 0:
+            edge = int(codes.max() if pack % 2 else codes.min())
+            return pd.DataFrame({"slot": [pack], "cost": [0.0], "low": [edge], "high": [edge], "left": [[]]})
+        slots, classes = (np.concatenate([np.frombuffer(v, np.int32) for v in pdf[c]]) for c in ("slots", "classes"))
+        order = np.lexsort((codes, slots))
+        slots, codes, classes = slots[order], codes[order], classes[order]
+        new = np.r_[True, (slots[1:] != slots[:-1]) | (codes[1:] != codes[:-1])]
+        first = np.flatnonzero(new)
+        table = np.bincount((np.cumsum(new) - 1) * k + classes, minlength=len(first) * k).reshape(-1, k)
+        slots, codes = slots[first], codes[first]
+        begin = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        run = table.cumsum(axis=0)
+        before = np.repeat(run[begin] - table[begin], np.diff(np.r_[begin, len(slots)]), axis=0)
+        cuts = np.flatnonzero(slots[1:] == slots[:-1])
+        left, total = (run - before)[cuts] + below[slots[cuts]], sums[slots[cuts]]
+        n_left, n_all = left.sum(axis=1), total.sum(axis=1)
+        ok = (n_left >= min_leaf) & (n_all - n_left >= min_leaf)
+        cuts, left, total = cuts[ok], left[ok], total[ok]
+        if not len(cuts):
             return pd.DataFrame([], columns=["slot", "cost", "low", "high", "left"])
-        cost = np.where(ok, costs(upto, total, criterion), np.inf)
+        cost = costs(left, total, criterion)
         i = int(cost.argmin())
-        return pd.DataFrame({"slot": [slot], "cost": [cost[i]], "low": [codes[i]], "high": [codes[i + 1]], "left": [upto[i].tolist()]})
+        at = cuts[i]
+        return pd.DataFrame({"slot": [int(slots[at])], "cost": [float(cost[i])], "low": [int(codes[at])], "high": [int(codes[at + 1])], "left": [left[i].tolist()]})
 
-    found = fan_out(rows.mapInArrow(gather, "slot int, code long, " + ", ".join(f"{c} long" for c in names)), "slot").groupBy("slot").applyInPandas(
+    found = fan_out(rows.mapInArrow(gather, "pack int, slots binary, codes binary, classes binary"), "pack").groupBy("pack").applyInPandas(
         try_all, "slot int, cost double, low long, high long, left array<long>"
     ).collect()
     beside = {r["slot"]: r["low"] for r in found if r["slot"] < 0}
@@ -265,10 +305,14 @@ def exact_cuts(
     best = dict(best)
     bars = {n: best[n].cost if n in best else float(impurity_of(t, criterion)[0]) for n, t in totals.items()}
     open_ = _survivors(coarse, bars, k, criterion, edges)
+    large_seen = False
     while large := [s for s in open_ if s.inside.sum() > DIRECT_ROWS]:
+        large_seen = True
         small = [s for s in open_ if s.inside.sum() <= DIRECT_ROWS]
         open_ = small + _finer(rows, large, k, place, value, criterion, min_leaf, totals, best, bars)
     # What earlier finds have ruled out since falls away.
-    kept = [s for s in open_ if _bound(s.below[None], s.inside[None], totals[s.node], criterion)[0] < bars[s.node] - TIE]
-    _settle(rows, kept, k, place, value, criterion, min_leaf, totals, best, bars)
+    if large_seen and open_:
+        bound = _bound(*(np.array(v) for v in zip(*[(s.below, s.inside, totals[s.node]) for s in open_])), criterion)
+        open_ = [s for s, b in zip(open_, bound) if b < bars[s.node] - TIE]
+    _settle(rows, open_, k, place, value, criterion, min_leaf, totals, best, bars)
     return best
