@@ -9,7 +9,11 @@ A cell holding a third of all rows only means more block pairs for it.
   triangle inequality cannot rule out.
 * ``radius_join`` uses square tiles on the two most spread coordinates; a row
   goes to the tiles its radius touches.
-* ``silhouette`` has one cell, since every row needs its distance to all others.
+* ``silhouette`` has one cell, since every row needs its distance to all others;
+  every unordered pair of blocks is met once and gives the sums of both sides.
+
+Blocks of neighbours and silhouettes multiply matrices: products tell which pairs
+matter, and those whose digits matter are taken again by differences.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import fan_out
+from ..session import cut_lineage, fan_out
 
 BLOCK_ROWS = 4096
+BLOCK_CELLS = 2_097_152  # numbers in a block of products, 32 768 rows at most
+TILE_CELLS = 524_288     # pairs of a block looked at together
 PIVOTS = 64
 
 
@@ -48,6 +54,115 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the listed pairs by differences, some pairs at a time."""
+    out = np.empty(len(i))
+    step = max(1, TILE_CELLS // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        diff = a[i[s:s + step]] - b[j[s:s + step]]
+        out[s:s + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
+
+def _sound(m: np.ndarray) -> bool:
+    """Whether products of the rows can be told from each other: finite and without overflow."""
+    return bool(np.isfinite(m).all()) and (not m.size or float(np.abs(m).max()) < 1e150)
+
+
+def product_rows(d: int) -> int:
+    """Rows of a block of ``d`` features."""
+    return min(32_768, max(1024, BLOCK_CELLS // max(1, d)))
+
+
+def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, distance)`` of the ``k`` rows of ``b`` nearest to each row of ``a``; ties to the first.
+
+    Products bound the k-th distance of a row from above, and all pairs that rounding
+    could put below the bound are measured by differences.
+    """
+    step = max(1, TILE_CELLS // max(1, len(b)))
+    found = []
+    by_product = _sound(a) and _sound(b) and len(b) > k
+    if by_product:
+        middle = b.mean(axis=0)
+        ac, bc = a - middle, b - middle
+        a2, b2 = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
+        size = a2 + b2.max()
+        reach = np.sqrt(max(np.einsum("ij,ij->i", a, a).max(), np.einsum("ij,ij->i", b, b).max()))
+        # rounding of the products, and of the shift to the middle
+        margin = 8 * (a.shape[1] + 8) * np.finfo(float).eps * (size + 2 * np.sqrt(size) * reach)
+        turned = np.ascontiguousarray(-2.0 * bc.T)
+        bunch = max(1, min(64, len(b) // (4 * k)))
+        whole = len(b) // bunch * bunch
+    for s in range(0, len(a), step):
+        if by_product:
+            near = ac[s:s + step] @ turned
+            near += b2
+            # the k-th least of the bunches' least values has k values below it
+            least = near[:, :whole].reshape(len(near), bunch, -1).min(axis=1)
+            bound = np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * margin[s:s + step]
+            i, j = np.divmod(np.flatnonzero(near <= bound[:, None]), len(b))
+            d = pair_distances(a, b, i + s, j)
+        else:
+            exact = np.sqrt(squared_distances(a[s:s + step], b))
+            order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(exact)), order.shape[1]), order.ravel()
+            d = exact[i, j]
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[first] + s, j[first], d[first]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def distance_sums(
+    a: np.ndarray, b: np.ndarray, a_weight: np.ndarray, b_weight: np.ndarray, a_starts: np.ndarray, b_starts: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted distance sums of each row to each run of the other side's rows, both ways.
+
+    ``starts`` are the first rows of the runs.  Pairs so close that their products
+    lose digits are measured by differences.
+    """
+    to_b, to_a = np.zeros((len(a), len(b_starts))), np.zeros((len(b), len(a_starts)))
+    by_product = _sound(a) and _sound(b)
+    if by_product:
+        middle = b.mean(axis=0)
+        ac, bc = a - middle, b - middle
+        a2, b2 = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
+        reach = np.sqrt(max(np.einsum("ij,ij->i", a, a).max(), np.einsum("ij,ij->i", b, b).max()))
+        # below this a product leaves less than nine digits, the shift to the middle included
+        close = np.maximum(1e-5 * (a2 + b2.max()), (1e-6 * reach) ** 2)
+    rows, columns = 256, max(256, TILE_CELLS // 256)
+
+    def runs(starts: np.ndarray, lo: int, hi: int) -> tuple[int, np.ndarray]:
+        first = int(np.searchsorted(starts, lo, side="right")) - 1
+        inside = starts[first + 1:int(np.searchsorted(starts, hi, side="left"))] - lo
+        return first, np.concatenate([[0], inside]).astype(np.int64)
+
+    for s in range(0, len(a), rows):
+        e = min(len(a), s + rows)
+        a_run, a_cuts = runs(a_starts, s, e)
+        for t in range(0, len(b), columns):
+            u = min(len(b), t + columns)
+            if by_product:
+                d = ac[s:e] @ bc[t:u].T
+                d *= -2.0
+                d += a2[s:e, None]
+                d += b2[t:u]
+                i, j = np.divmod(np.flatnonzero(d <= close[s:e, None]), u - t)
+                np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+                if len(i):
+                    d[i, j] = pair_distances(a, b, i + s, j + t)
+            else:
+                d = np.sqrt(squared_distances(a[s:e], b[t:u]))
+            b_run, b_cuts = runs(b_starts, t, u)
+            for n, (lo, hi) in enumerate(zip(b_cuts, [*b_cuts[1:], u - t])):
+                to_b[s:e, b_run + n] += d[:, lo:hi] @ b_weight[t + lo:t + hi]
+            for n, (lo, hi) in enumerate(zip(a_cuts, [*a_cuts[1:], e - s])):
+                to_a[t:u, a_run + n] += a_weight[s + lo:s + hi] @ d[lo:hi]
+    return to_b, to_a
+
+
 # --- blocks ----------------------------------------------------------------
 
 def block_pairs(
@@ -105,12 +220,13 @@ def _pivots(train: DataFrame, key: str, features: str, count: int) -> np.ndarray
 def knn_join(
     query: DataFrame, train: DataFrame, k: int, features: str = "features",
     query_key: str = "row_id", train_key: str = "row_id", extra: str | None = None,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    pivots: int = PIVOTS, block_rows: int | None = None,
 ) -> DataFrame:
     """Exact k nearest training rows: ``(query_id, train_id, distance, rank)``.
 
     Ties go to the smaller training key.  ``extra`` carries one training column
-    along (the class label, for voting).
+    along (the class label, for voting).  Blocks have ``block_rows`` rows, by
+    default as many as hold a bounded count of numbers.
     """
     if k < 1:
         raise ValueError("k must be at least 1.")
@@ -120,6 +236,7 @@ def knn_join(
     train = train.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k).drop("__copy")
     asked = query.select(F.col(query_key).alias("query_id"), F.col(features).cast("array<double>").alias("features"))
     centers = _pivots(train, train_key, features, pivots)
+    block_rows = block_rows or product_rows(centers.shape[1])
     key_type = train.schema[train_key].dataType.simpleString()
     query_type = query.schema[query_key].dataType.simpleString()
     extra_type = train.schema[extra].dataType.simpleString() if extra else "int"
@@ -132,10 +249,10 @@ def knn_join(
             yield pdf
 
     label = F.col(extra) if extra else F.lit(0)
-    right = train.select(
+    right = cut_lineage(train.select(
         F.col(train_key).alias("train_id"), F.col(features).cast("array<double>").alias("features"),
         label.alias("extra"),
-    ).mapInPandas(home, f"train_id {key_type}, features array<double>, extra {extra_type}, cell int, gap double")
+    ).mapInPandas(home, f"train_id {key_type}, features array<double>, extra {extra_type}, cell int, gap double"))
 
     # per pivot: rows, radius and the k smallest gaps - at most pivots * k numbers
     near = W.partitionBy("cell").orderBy("gap")
@@ -153,40 +270,40 @@ def knn_join(
     owner = np.concatenate([np.full(len(close[c]), i) for i, c in enumerate(cells)])
     cell_ids = np.array(cells, dtype="int32")
 
-    def visits(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = np.sqrt(squared_distances(matrix(pdf["features"]), points))
+    @F.pandas_udf("array<int>")
+    def visits(values: pd.Series) -> pd.Series:
+        if not len(values):
+            return pd.Series([], dtype=object)
+        lists = []
+        x = matrix(values)
+        for s in range(0, len(x), 1024):
+            d = np.sqrt(squared_distances(x[s:s + 1024], points))
             upper = d[:, owner] + known[None, :]
             take = min(k, upper.shape[1])
             bound = np.partition(upper, take - 1, axis=1)[:, take - 1]
             if upper.shape[1] < k:
-                bound = np.full(len(pdf), np.inf)
+                bound = np.full(len(d), np.inf)
             # the margin covers rounding of the two distances being compared
             open_cell = d - far[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-            rows, columns = np.nonzero(open_cell)
-            out = pdf.iloc[rows].reset_index(drop=True)
-            out["cell"] = cell_ids[columns]
-            yield out
+            lists += [cell_ids[r] for r in open_cell]
+        return pd.Series(lists, dtype=object)
 
-    left = asked.groupBy("features").agg(F.min("query_id").alias("query_id")).select(
-        "query_id", "features"
-    ).mapInPandas(visits, f"query_id {query_type}, features array<double>, cell int")
+    # a row leaves the function once, with the list of its cells, and is dealt out by Spark
+    asking = asked.groupBy("features").agg(F.min("query_id").alias("query_id"))
+    left = cut_lineage(asking.select("query_id", "features", visits("features").alias("cells"))).select(
+        "query_id", "features", F.explode("cells").alias("cell")
+    )
 
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame()
         t = t.sort_values("train_id", kind="stable").reset_index(drop=True)
-        d = squared_distances(matrix(q["features"]), matrix(t["features"]))
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        picked = order.ravel()
+        rows, picked, d = nearest_pairs(matrix(q["features"]), matrix(t["features"]), k)
         return pd.DataFrame(
             {
                 "query_id": q["query_id"].to_numpy()[rows],
                 "train_id": t["train_id"].to_numpy()[picked],
-                "distance": np.sqrt(d[rows, picked]),
+                "distance": d,
                 "extra": t["extra"].to_numpy()[picked],
             }
         )
@@ -398,40 +515,60 @@ def radius_links(
 
 def silhouette_rows(
     df: DataFrame, features: str = "features", label: str = "prediction", key: str = "row_id",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Exact Euclidean silhouette of every row: ``(row_id, a, b, s)``.
 
     Copies are collapsed per cluster first.  The work is quadratic in the
     distinct points by definition of the metric; what moves is one distance sum
-    per (point, cluster, block).
+    per (point, cluster, block).  Each unordered pair of blocks is one task.
     """
     slim = df.select(
         F.col(key).alias("row_id"), F.col(label).cast("int").alias("label"),
         F.col(features).cast("array<double>").alias("features"),
     )
-    points = slim.groupBy("label", "features").agg(
+    points = cut_lineage(slim.groupBy("label", "features").agg(
         F.count(F.lit(1)).alias("w"), F.min("row_id").alias("id")
-    )
+    ))
     key_type = slim.schema["row_id"].dataType.simpleString()
-    one = points.withColumn("cell", F.lit(0))
-
-    def sums(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    held = points.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d"), F.count_distinct("label").alias("k")
+    ).first()
+    if block_rows is None:
+        # some pairs of blocks for every core; a block's sums are as wide as there are clusters
+        side = np.ceil(np.sqrt(8 * df.sparkSession.sparkContext.defaultParallelism))
+        block_rows = min(product_rows(max(held["d"] or 1, held["k"])), max(512, int(np.ceil(held["n"] / side))))
+    last = max(1, -(-held["n"] // block_rows)) - 1
+    # points without a cluster have no distance sum that counts
+    placed = points.where("label IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(last + 1)).cast("int"))
+    low = placed.withColumns({"lb": F.col("block"), "rb": F.explode(F.sequence("block", F.lit(last)))}).drop("block")
+    high = placed.withColumns({"rb": F.col("block"), "lb": F.explode(F.sequence(F.lit(0), "block"))}).drop("block")
+    # fresh column identities, so the table can be paired with itself
+    high = high.select(*[F.col(c).alias(c) for c in high.columns])
+
+    def listed(p: pd.DataFrame, others: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({
+            "id": np.repeat(p["id"].to_numpy(), len(others)), "label": np.repeat(p["label"].to_numpy(), len(others)),
+            "other": np.tile(others, len(p)), "total": totals.ravel(),
+        })
+
+    def sums(pair, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame()
-        d = np.sqrt(squared_distances(matrix(q["features"]), matrix(t["features"])))
-        d = d * t["w"].to_numpy()[None, :]
-        others = np.unique(t["label"].to_numpy())
-        parts = [
-            pd.DataFrame({"id": q["id"], "label": q["label"], "other": o,
-                          "total": d[:, t["label"].to_numpy() == o].sum(axis=1)})
-            for o in others
-        ]
+        q, t = (p.sort_values("label", kind="stable").reset_index(drop=True) for p in (q, t))
+        q_labels, q_starts = np.unique(q["label"].to_numpy(), return_index=True)
+        t_labels, t_starts = np.unique(t["label"].to_numpy(), return_index=True)
+        to_t, to_q = distance_sums(
+            matrix(q["features"]), matrix(t["features"]), q["w"].to_numpy(float), t["w"].to_numpy(float), q_starts, t_starts
+        )
+        parts = [listed(q, t_labels, to_t)]
+        if pair[0] != pair[1]:
+            parts.append(listed(t, q_labels, to_q))
         return pd.concat(parts, ignore_index=True)
 
-    partial = block_pairs(
-        one, one, ["cell"], "id", "id", sums,
-        f"id {key_type}, label int, other int, total double", block_rows,
+    keys = ["lb", "rb"]
+    partial = fan_out(low, *keys).groupBy(*keys).cogroup(fan_out(high, *keys).groupBy(*keys)).applyInPandas(
+        sums, f"id {key_type}, label int, other int, total double"
     )
     sizes = slim.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     totals = partial.groupBy("id", "label", "other").agg(F.sum("total").alias("total")).join(
@@ -453,7 +590,7 @@ def silhouette_rows(
 
 def silhouette(
     df: DataFrame, features: str = "features", label: str = "prediction", key: str = "row_id",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Mean silhouette in one row; NULL unless 2 <= clusters < rows."""
     rows = silhouette_rows(df, features, label, key, block_rows)

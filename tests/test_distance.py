@@ -64,6 +64,31 @@ def test_radius(spark, cloud, block):
     assert far["n_within"] == 0 and far["nearest_id"] is None
 
 
+def test_products_keep_order_of_near_copies():
+    """Points far from the origin whose products lose the digits that tell them apart."""
+    rng = np.random.default_rng(8)
+    b = 1e6 + np.vstack([rng.normal(0, 1e-3, (300, 6)), rng.integers(0, 2, (300, 6)), np.full((50, 6), 0.5)])
+    a = np.vstack([b[::7], 1e6 + rng.normal(0, 1, (40, 6))])
+    d = distances(a, b)
+    for k in (1, 3, 700):
+        i, j, got = D.nearest_pairs(a, b, k)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        assert (j.reshape(len(a), -1) == order).all() and (i == np.repeat(np.arange(len(a)), order.shape[1])).all()
+        assert got == pytest.approx(d[i, j], rel=1e-12)
+    weight = rng.integers(1, 4, len(b)).astype(float)
+    to_b, to_a = D.distance_sums(a, b, np.ones(len(a)), weight, np.array([0, 10]), np.array([0, 5, 400]))
+    want = d * weight
+    assert to_b == pytest.approx(np.stack([want[:, :5].sum(1), want[:, 5:400].sum(1), want[:, 400:].sum(1)], axis=1))
+    assert to_a == pytest.approx(np.stack([d[:10].sum(0), d[10:].sum(0)], axis=1))
+
+
+def test_knn_rows_cross_once_with_the_list_of_cells(spark, cloud):
+    """The question rows are copied for their cells by Spark, not inside a Python batch."""
+    t = rows(spark, cloud)
+    plan = D.knn_join(t, t, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
 def brute_dbscan(x, eps, m):
     near = distances(x, x) <= eps
     core = near.sum(axis=1) >= m

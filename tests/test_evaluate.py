@@ -70,6 +70,17 @@ def brute_silhouette(x, labels):
     return float(np.mean(out))
 
 
+def test_silhouette_meets_each_pair_of_blocks_once(spark):
+    from tabulith.operators.distance import silhouette_rows
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (40, 3))
+    t = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "row_id bigint, features array<double>, prediction int")
+    silhouette_rows(t, block_rows=10)
+    low = [r for r in silhouette_rows(t, block_rows=10)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "sequence(block" in r]
+    assert low                                             # blocks from its own on, not all
+
+
 def test_silhouette_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 1, (60, 3)), np.zeros((30, 3)), [[9.0, 9.0, 9.0]]])
