@@ -295,7 +295,8 @@ class MicroLinkage(Model):
     def _fit(self, train: DataFrame, d: int) -> NearestCentre:
         slim = train.select(array_to_vector("features").alias("__vec")).persist()
         try:
-            model = KMeans(k=self.micro, seed=SEED, featuresCol="__vec", predictionCol="__pred").fit(slim)
+            model = KMeans(k=self.micro, seed=SEED, featuresCol="__vec", predictionCol="__pred").fit(
+                slim.where("__vec IS NOT NULL"))  # not marked as persisted, so the library keeps its vectors
             centres = np.array(model.clusterCenters())
             sizes = np.zeros(len(centres))
             for r in model.transform(slim).groupBy("__pred").count().collect():

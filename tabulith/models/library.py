@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
@@ -376,6 +379,26 @@ class NearestCentre(Fitted):
         return nearest.withColumn("prediction", label_at(self.names, F.col("prediction")).cast("int"))
 
 
+STARTS_AT_ONCE = 8
+
+
+def each_start(slim: DataFrame, n_init: int, fit: Callable[[DataFrame, int], tuple]) -> list[tuple]:
+    """``fit(rows, i)`` for every start, several at a time, in the order of the starts.
+
+    The library keeps the vectors it goes over in every round only of rows that are
+    not marked as persisted, such as filtered ones; of others it decodes the columns again.
+    """
+    held = slim.persist()
+    try:
+        held.count()
+        rows = held.where("__vec IS NOT NULL")
+        run = inheritable_thread_target(slim.sparkSession)(lambda i: fit(rows, i))
+        with ThreadPool(min(n_init, STARTS_AT_ONCE)) as pool:
+            return pool.map(run, range(n_init), chunksize=1)
+    finally:
+        held.unpersist()
+
+
 class KMeansClusters(Model):
     key, name, model_type, supervised = "kmeans", "K-Means", "clusterer", False
 
@@ -385,17 +408,13 @@ class KMeansClusters(Model):
         self.n_clusters, self.n_init, self.max_iter = n_clusters, n_init, max_iter
 
     def _fit(self, train: DataFrame, d: int) -> NearestCentre:
-        slim = train.select(array_to_vector("features").alias("__vec")).persist()
-        best = None
-        try:
-            for i in range(self.n_init):
-                model = KMeans(k=self.n_clusters, initSteps=2, seed=SEED + i, maxIter=self.max_iter,
-                               tol=1e-4, featuresCol="__vec", predictionCol="__pred").fit(slim)
-                cost = model.summary.trainingCost
-                if best is None or cost < best[0]:
-                    best = (cost, np.array(model.clusterCenters()))
-        finally:
-            slim.unpersist()
+        def start(rows: DataFrame, i: int) -> tuple[float, np.ndarray]:
+            model = KMeans(k=self.n_clusters, initSteps=2, seed=SEED + i, maxIter=self.max_iter,
+                           tol=1e-4, featuresCol="__vec", predictionCol="__pred").fit(rows)
+            return model.summary.trainingCost, np.array(model.clusterCenters())
+
+        slim = train.select(array_to_vector("features").alias("__vec"))
+        best = min(each_start(slim, self.n_init, start), key=lambda found: found[0])
         return self._new(NearestCentre, d, centres=best[1], details={"cost": best[0]})
 
 
@@ -424,19 +443,15 @@ class Mixture(Model):
 
     def _fit(self, train: DataFrame, d: int) -> MixtureClusters:
         """The likeliest of ``n_init`` seeded starts."""
-        slim = as_vectors(train).select("__vec").persist()
-        best = None
-        try:
-            for i in range(self.n_init):
-                model = GaussianMixture(
-                    k=self.n_components, maxIter=self.max_iter, seed=SEED + i, featuresCol="__vec",
-                    predictionCol="__pred", probabilityCol="__prob",
-                ).fit(slim)
-                value = model.summary.logLikelihood
-                if best is None or value > best[0]:
-                    best = (value, model)
-        finally:
-            slim.unpersist()
+        def start(rows: DataFrame, i: int) -> tuple[float, Any]:
+            model = GaussianMixture(
+                k=self.n_components, maxIter=self.max_iter, seed=SEED + i, featuresCol="__vec",
+                predictionCol="__pred", probabilityCol="__prob",
+            ).fit(rows)
+            return model.summary.logLikelihood, model
+
+        slim = as_vectors(train).select("__vec")
+        best = max(each_start(slim, self.n_init, start), key=lambda found: found[0])
         return self._new(MixtureClusters, d, model=best[1], details={"log_likelihood": best[0]})
 
 

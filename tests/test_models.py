@@ -165,3 +165,9 @@ def test_validation_and_comparison(spark, three):
         compare_lda_qda(flat, 4)
     numbers = df.withColumn("label", F.col("row_id").cast("double"))
     assert analyze_suitability(numbers)["target_kind"] == "regression_like"
+
+
+def test_starts_see_rows_the_library_keeps_itself(spark):
+    df = spark.range(20).select(F.array(F.col("id").cast("double")).alias("__vec"))
+    seen = L.each_start(df, 3, lambda rows, i: (i, rows.storageLevel.useMemory, rows.count()))
+    assert seen == [(0, False, 20), (1, False, 20), (2, False, 20)]
