@@ -95,9 +95,23 @@ def _drawn(keys: np.ndarray, turn: int, share: float) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53) < share
 
 
+def _packed(codes: np.ndarray) -> pa.Array:
+    """One binary value per row of bytes."""
+    ends = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def _listed(values: np.ndarray) -> pa.Array:
+    """One list per row of numbers."""
+    ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().astype(np.float64)))
+
+
 def _state(batch, d: int, start: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
     """Bins and margins of a batch."""
-    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, d)
+    packed = batch.column("codes").cast(pa.binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:]
+    codes = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0]:ends[batch.num_rows]].reshape(batch.num_rows, d)
     held = batch.column("margins").flatten().to_numpy(zero_copy_only=False)
     return codes, held.reshape(batch.num_rows, len(start)).astype(np.float64)
 
@@ -202,8 +216,8 @@ class BoostedTrees(Model):
                 x = batch_matrix(batch)
                 codes = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)]).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("y"), batch.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()),
-                     pa.array([list(start)] * batch.num_rows, pa.list_(pa.float64()))], ["y", "key", "codes", "margins"],
+                    [batch.column("y"), batch.column("key"), _packed(codes), _listed(np.tile(start, (len(x), 1)))],
+                    ["y", "key", "codes", "margins"],
                 )
 
         return rows.mapInArrow(cut, _ROWS).persist(StorageLevel.MEMORY_AND_DISK)

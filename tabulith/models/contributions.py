@@ -2,7 +2,9 @@
 
 The trees are small and travel with the tasks; rows stay where they are.  The
 value of a leaf is shared among the features on its path, in closed form over
-the subsets, vectorised over the rows of a batch.
+the subsets, vectorised over the rows of a batch.  The thresholds of a tree cut
+the features into cells with one result each; where these are few, they are worked
+out once and looked up.  A row leaves Python once, with all its contributions.
 """
 
 from __future__ import annotations
@@ -114,6 +116,49 @@ def tree_shap(x: np.ndarray, trees: Sequence[dict[str, np.ndarray]]) -> tuple[np
     return phi, base
 
 
+MOST_CELLS = 4096        # of a tree; larger trees are worked out row by row
+
+
+class CellTables:
+    """``tree_shap`` of an ensemble, by tables for the trees with few cells."""
+
+    def __init__(self, trees: Sequence[dict[str, np.ndarray]], d: int) -> None:
+        self.shape = (d, trees[0]["value"].shape[1])
+        self.base = np.zeros(self.shape[1])
+        self.tables, self.others = [], []
+        for tree in trees:
+            inner = tree["left"] >= 0
+            cuts = {int(f): np.unique(tree["threshold"][inner & (tree["feature"] == f)]) for f in np.unique(tree["feature"][inner])}
+            sizes = [len(c) + 1 for c in cuts.values()]
+            if math.prod(sizes) > MOST_CELLS or not all(np.isfinite(c).all() for c in cuts.values()):
+                self.others.append(tree)
+                continue
+            # a row of each cell: the cell's upper edge on every feature
+            x = np.zeros((math.prod(sizes), d))
+            for (f, c), i in zip(cuts.items(), np.unravel_index(np.arange(len(x)), sizes) if sizes else ()):
+                x[:, f] = np.append(c, np.inf)[i]
+            phi, base = tree_shap(x, [tree])
+            self.base += base
+            used = [k for k in range(self.shape[1]) if phi[:, :, k].any()]
+            self.tables.append((cuts, [(f, k, np.ascontiguousarray(phi[:, f, k])) for f in cuts for k in used]))
+        if self.others:
+            self.base += tree_shap(np.zeros((1, d)), self.others)[1]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Contributions (rows, features, outputs)."""
+        sums = np.zeros((*self.shape, len(x)))
+        columns = [np.ascontiguousarray(x[:, f]) for f in range(self.shape[0])]
+        for cuts, parts in self.tables:
+            cell = np.zeros(len(x), np.int64)
+            for f, c in cuts.items():
+                cell *= len(c) + 1
+                cell += np.searchsorted(c, columns[f], side="left")
+            for f, k, table in parts:
+                sums[f, k] += table[cell]
+        phi = np.ascontiguousarray(sums.transpose(2, 0, 1))
+        return phi + tree_shap(x, self.others)[0] if self.others else phi
+
+
 def tree_contributions(df: DataFrame, fitted: Fitted) -> DataFrame:
     """Long table ``(row_id, feature, class, phi, base)``.
 
@@ -126,28 +171,28 @@ def tree_contributions(df: DataFrame, fitted: Fitted) -> DataFrame:
     names = [str(c) for c in fitted.classes] if outputs > 1 else [str(fitted.classes[1])]
     kind = df.schema["row_id"].dataType
 
+    tables = CellTables(trees, d)
+
     def explain(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
             step = max(1, 65_536 // (d * outputs))
-            for s in range(0, n, step):
+            for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
-                phi, base = tree_shap(batch_matrix(part), trees)
-                size = part.num_rows
-                ids = part.column(part.schema.get_field_index("row_id")).take(
-                    pa.array(np.repeat(np.arange(size), d * outputs))
-                )
+                phi = tables(batch_matrix(part))
+                ends = pa.array(np.arange(0, phi.size + 1, d * outputs, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.tile(np.repeat(np.arange(d), outputs), size), pa.int32()),
-                     pa.array(np.tile(np.array(names, dtype=object), size * d), pa.string()),
-                     pa.array(phi.ravel()), pa.array(np.tile(base, size * d))],
-                    names=["row_id", "feature", "class", "phi", "base"],
+                    [part.column("row_id"), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=["row_id", "phi"]
                 )
 
-    return df.select("row_id", F.col("features").cast("array<double>").alias("features")).mapInArrow(
-        explain, f"row_id {kind.simpleString()}, feature int, class string, phi double, base double"
+    shared = df.select("row_id", F.col("features").cast("array<double>").alias("features")).mapInArrow(
+        explain, f"row_id {kind.simpleString()}, phi array<double>"
+    )
+    named = F.array(*[F.lit(n) for n in names])
+    bases = F.array(*[F.lit(float(v)) for v in tables.base])
+    output = F.col("at") % outputs
+    return shared.select("row_id", F.posexplode("phi").alias("at", "phi")).select(
+        "row_id", F.floor(F.col("at") / outputs).cast("int").alias("feature"), F.get(named, output).alias("class"), "phi",
+        F.get(bases, output).alias("base"),
     )
 
 

@@ -351,3 +351,24 @@ def test_boosting_samples_and_refuses(spark):
     for bad in ({"n_estimators": 0}, {"learning_rate": 0}, {"subsample": 0}, {"reg_lambda": -1}, {"colsample_bytree": 2}):
         with pytest.raises(ValueError):
             BoostedTrees(**bad)
+
+
+def test_contributions_by_cells_equal_those_by_rows(spark):
+    """Looked-up results, those of trees with too many cells, and one row per input row out of Python."""
+    from tabulith.models import contributions as C
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(300, 4)), [[np.inf, -np.inf, 0.0, 1.0]]])
+    df = table(spark, x[:300], (x[:300, 0] > 0).astype(int) + (x[:300, 3] > 0.5))
+    fitted = BoostedTrees(4, 3).fit(df)
+    trees = ensemble_tables(fitted)
+    want, base = tree_shap(x, trees)
+    for most in (C.MOST_CELLS, 9, 0):
+        kept, C.MOST_CELLS = C.MOST_CELLS, most
+        try:
+            tables = C.CellTables(trees, 4)
+        finally:
+            C.MOST_CELLS = kept
+        assert tables(x) == pytest.approx(want, abs=1e-12) and tables.base == pytest.approx(base, abs=1e-12)
+    plan = tree_contributions(df, fitted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan
