@@ -33,7 +33,7 @@ SLOTS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 EPOCHS = 4
 SEQUENCE = 48
-PIECE = 4_000_000
+PIECE = 1_000_000        # bytes of text a task looks at together
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 

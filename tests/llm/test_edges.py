@@ -232,3 +232,25 @@ def test_rows_of_the_query_take_no_place_above_the_bar():
         _, found, scores = topk.group_top(ids, x, np.array([0]), asking, 5)
         want = sorted(((-int(s), i) for i, s in zip(ids, x.astype(object) @ asking[0]) if i), key=lambda p: p)[:5]
         assert list(found) == [i for _, i in want] and list(scores) == [min(-s, 2**63 - 1) for s, _ in want]
+
+
+def test_language_takes_bounded_pieces_of_text(monkeypatch):
+    """What a task holds for its words follows the piece, not the batch, and the pieces do not show in the result."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tabulith.llm import language as L
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (300, 7))) for _ in range(1200)]
+    batch = pa.record_batch([pa.array(range(1200)), pa.array(range(1200)), pa.array(texts)], ["rid", "id", "text"])
+
+    class Sent:
+        value = L.Field(["a", "b"], rng.normal(size=(L.SLOTS, 2)), np.zeros((2, 2)))
+
+    seen, real = [], L.posteriors
+    monkeypatch.setattr(L, "posteriors", lambda s, n, m: (seen.append(len(s)), real(s, n, m))[1])
+    names = [k for out in L._predictor(Sent)(iter([batch])) for k in out.column("lang").to_pylist()]
+    assert max(seen) * 8 <= 1_000_000 and sum(seen) == 300 * 1200
+    monkeypatch.setattr(L, "PIECE", 50_000_000)
+    assert names == [k for out in L._predictor(Sent)(iter([batch])) for k in out.column("lang").to_pylist()]
