@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .rows import Hashes, hash_words, keyed, mix, pieces, plain_words, signed, stored, told_apart
+from .rows import keyed, mix, pieces, signed, stored, told_apart
 
 #: Text bytes handled at once by a task.
 PIECE = 2_000_000
@@ -51,24 +51,57 @@ ITEMS = 2_000_000
 #: Slots of the filter that keeps texts of unwanted documents out of a verification.
 SLOTS = 1 << 24
 
+#: Bytes of the words that are hashed together, at most.
+SHORT = 32
+
 _ODD = [np.uint64(x | 1) for x in np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64).tolist()]
+#: The first bytes of eight, by their number.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and the number of words of each text.
 
-def shingle_sets(texts: list[bytes | None], width: int, cache: Hashes) -> list[np.ndarray]:
+    Words stand between ASCII white space, A-Z lower-cased.  Those of up to ``SHORT``
+    bytes are hashed eight bytes at a time, all together.
+    """
+    whole = b"".join([b" ", b" ".join([t or b"" for t in texts]).lower(), b" " * 8])
+    data = np.frombuffer(whole, np.uint8)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(whole) - 7, np.dtype("<u8"), whole, strides=(1,))
+    h = length.astype(np.uint64) * _ODD[-1]
+    for j in range(0, SHORT, 8):
+        on = np.flatnonzero(length > j) if j else slice(None)
+        part = eight[starts[on] + j] & _BYTES[np.minimum(length[on] - j, 8)]
+        h[on] = mix(h[on] + part)
+    for k in np.flatnonzero(length > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(whole[starts[k] : starts[k] + length[k]])
+    borders = np.cumsum([1] + [len(t or b"") + 1 for t in texts])
+    return h, np.diff(np.searchsorted(starts, borders))
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    words = [plain_words(t) for t in texts]
-    out = []
-    for own in words:
-        if not own:
-            out.append(np.empty(0, np.uint64))
-            continue
-        h = hash_words(cache, own)
-        k = min(width, len(own))
-        total = np.full(len(own) - k + 1, k, np.uint64)
-        for j in range(k):
-            total += mix(h[j : len(own) - k + 1 + j] + _ODD[j]) * _ODD[j + 32]
-        out.append(np.unique(mix(total)))
-    return out
+    h, words = word_hashes(texts)
+    k = np.minimum(words, width)
+    sizes = np.where(words > 0, words - k + 1, 0)
+    ends = np.cumsum(sizes)
+    at = np.repeat(np.cumsum(words) - words - ends + sizes, sizes) + np.arange(ends[-1])
+    k = np.repeat(k, sizes)
+    total = k.astype(np.uint64)
+    for j in range(width):
+        on = slice(None) if not len(k) or k.min() > j else k > j
+        total[on] += (mix(h + _ODD[j]) * _ODD[j + 32])[at[on] + j]
+    total = mix(total)
+    for start, end in zip((ends - sizes).tolist(), ends.tolist()):
+        total[start:end].sort()
+    new = np.ones(len(total), bool)
+    new[1:] = total[1:] != total[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    last = np.cumsum(np.r_[0, new])[ends]
+    return np.split(total[new], last[:-1])
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -88,9 +121,8 @@ def _profile(width: int):
     heavy = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
         for batch in pieces(batches, "text", PIECE):
-            sets = shingle_sets(batch.column("text").to_pylist(), width, cache)
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             every, n = np.unique(np.concatenate(sets), return_counts=True)
             often = n >= max(3, FREQUENT * len(sets))
@@ -113,10 +145,9 @@ def _leading(width: int, numer: int, denom: int, heavy):
     """
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
         tokens, ranks = heavy.value
         for batch in pieces(batches, "text", PIECE):
-            sets = shingle_sets(batch.column("text").to_pylist(), width, cache)
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
             rid = batch.column("rid").to_numpy()
             seen: set[bytes] = set()
             out_t, out_r, out_n, out_m = [], [], [], []
@@ -145,12 +176,12 @@ def _wanted(width: int, slots):
     """The sets of the documents whose slot is marked."""
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, marks = Hashes(), slots.value
+        marks = slots.value
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             keep = (marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             for part in pieces(iter([batch.filter(pa.array(keep == 1))]), "text", PIECE):
-                sets = shingle_sets(part.column("text").to_pylist(), width, cache)
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 yield pa.record_batch([part.column("rid"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "tokens"])
 
     return wanted
